@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxledger.llm import bpe, langid, packing
-from voxledger.llm.common import crc_mod, read_table
+from voxledger.llm import bpe, langid, packing, quality, secret_scan, topk, toxicity
+from voxledger.llm.common import crc_mod, cut, read_table
 
 
 def vocabulary(name: str) -> str:
@@ -23,6 +23,31 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read_table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
 
+def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan(read_table(spark, sf_dir, "documents"), digests=True)
+
+
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = cut(quality.with_statistics(read_table(spark, sf_dir, "documents").select("doc_id", "text"))).withColumn("held_out", crc_mod("doc_id", 4) == 2)
+    labels = read_table(spark, sf_dir, "labels").where(crc_mod("doc_id", 4) != 2).groupBy("doc_id").agg(F.max("quality").alias("y"))
+    model = quality.fit(rows.where("not held_out").join(labels, "doc_id"), "y")
+    scored = quality.predict(rows, model)
+    return scored.select("doc_id", "held_out", "score", F.when(F.col("score") >= 0.7, 1).otherwise(0).alias("predicted"))
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    learned = crc_mod("doc_id", 5) != 0
+    model = toxicity.learn(docs.where(learned), read_table(spark, sf_dir, "labels").where(learned))
+    scored = toxicity.predict(docs, model)
+    return scored.select("doc_id", (~learned).alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
+
+
+def op9_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read_table(spark, sf_dir, "embeddings")
+    return topk.top_k(vectors.where(F.col("vec_id") % 50 == 0), vectors)
+
+
 def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     held = docs.select("doc_id", "text", "lang").withColumn("held_out", crc_mod("doc_id", 4) == 2)
@@ -30,5 +55,5 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(held.drop("lang"), prototypes).select("doc_id", "held_out", "lang_pred", "score")
 
 
-QUERIES = {"op3_bpe": op3_bpe, "op4_packing": op4_packing, "op10_langid": op10_langid}
+QUERIES = {"op2_secrets": op2_secrets, "op5_quality": op5_quality, "op8_toxicity": op8_toxicity, "op9_topk": op9_topk, "op3_bpe": op3_bpe, "op4_packing": op4_packing, "op10_langid": op10_langid}
 ORACLES: dict[str, str] = {}
