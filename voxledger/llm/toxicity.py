@@ -177,26 +177,57 @@ def term_counts(rows: DataFrame) -> DataFrame:
     return rows.mapInPandas(run, "term string, pos long, neg long").groupBy("term").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
 
 
-def choose_terms(counted: list[tuple[str, int, int]], positives: int, negatives: int, least_odds: float) -> dict[str, float]:
-    """Log-odds of terms; of nested beginnings the shortest that is about as telling stands for all."""
-    odds = {t: float(np.log((p + 0.5) / (positives + 1)) - np.log((n + 0.5) / (negatives + 1))) for t, p, n in counted}
-    support = {t: p for t, p, _ in counted}
+def terms_met(text: str, terms: set[str]) -> dict[str, str]:
+    """The given terms that words of the text start with, each with the neighbours of its first word."""
+    words, out = WORD.findall(text.lower()), {}
+    for i, w in enumerate(words):
+        for n in range(SHORTEST, min(LONGEST, len(w)) + 1):
+            if (t := w[:n]) in terms and t not in out:
+                out[t] = " ".join(words[max(0, i - 1) : i] + words[i + 1 : i + 2])
+    return out
+
+
+def choose_terms(documents: list[tuple[int, dict[str, str]]], odds: dict[str, float], least_gain: float, cost: float = 3.0, times: int = 3, least_spread: float = 0.25) -> dict[str, float]:
+    """Terms that cover the toxic documents up to ``times`` each, chosen by what they add.
+
+    ``documents`` are (label, telling terms with their neighbours). Words of a copied text stand between the same
+    neighbours wherever they occur, so a term needs different neighbours in ``least_spread`` of its toxic
+    documents. A term gains the toxic documents that are not covered enough yet and pays ``cost`` for
+    each other document.
+    """
+    having: dict[str, set[int]] = {}
+    around: dict[str, set[str]] = {}
+    price: Counter = Counter()
+    for i, (y, terms) in enumerate(documents):
+        for t, beside in terms.items():
+            if y:
+                having.setdefault(t, set()).add(i)
+                around.setdefault(t, set()).add(beside)
+            else:
+                price[t] += 1
+    having = {t: have for t, have in having.items() if len(around[t]) >= max(least_gain, least_spread * len(have))}
     out: dict[str, float] = {}
-    for t in sorted(odds, key=lambda t: (len(t), t)):
-        if odds[t] < least_odds:
-            continue
-        shorter = next((t[:n] for n in range(SHORTEST, len(t)) if t[:n] in out), None)
-        if shorter is None:
-            # a beginning only stands for a term if words go on from it in different ways, or end there
-            longer = [u for u in (t + c for c in "abcdefghijklmnopqrstuvwxyzàâäáçéèêëíîïñóôöúùûüß") if u in support]
-            if len(longer) == 1 and support[longer[0]] >= support[t] and len(t) < LONGEST:
-                continue
-            out[t] = odds[t]
+    covered: Counter = Counter()
+    while having:
+        gains = {t: len(have) - cost * price[t] for t, have in having.items()}
+        best = max(gains, key=lambda t: (gains[t], len(t), t))
+        if gains[best] < least_gain:
+            break
+        out[best] = odds[best]
+        won = having.pop(best)
+        covered.update(won)
+        done = {i for i in won if covered[i] >= times}
+        # what a chosen beginning starts is met by it already
+        having = {t: rest for t, have in having.items() if not t.startswith(best) and (rest := have - done)}
     return out
 
 
-def learn(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", each: int = 6000, least_docs: int = 4, least_odds: float = 2.5, most_terms: int = 4000) -> Model:
-    """Fit on at most ``each`` labelled documents of either class and ``most_terms`` terms."""
+def learn(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", each: int = 6000, least_docs: int = 4, least_share: float = 0.01, least_odds: float = 1.5, most_terms: int = 2000) -> Model:
+    """Fit on at most ``each`` labelled documents of either class and ``most_terms`` terms.
+
+    A term is in at least ``least_docs`` documents and ``least_share`` of the toxic ones, so that a copied text
+    makes none of its words a term, and its log-odds less 1.64 standard errors are ``least_odds`` or more.
+    """
     chosen = sample(labels, label_col, each)
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "y")
     totals = {r["y"]: r["n"] for r in chosen.groupBy("y").agg(F.count("*").alias("n")).collect()}
@@ -204,8 +235,18 @@ def learn(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", each: in
     if not positives:
         return Model({}, [-35.0, 0, 0, 0, 0, 0])
     ratio = F.log((F.col("pos") + 0.5) / (positives + 1.0)) - F.log((F.col("neg") + 0.5) / (negatives + 1.0))
-    telling = term_counts(rows).where((F.col("pos") >= least_docs) & (ratio >= least_odds)).orderBy(F.desc(F.col("pos") * ratio), "term").limit(most_terms)
-    weights = choose_terms([tuple(r) for r in telling.collect()], positives, negatives, least_odds)
+    sure = ratio - 1.64 * F.sqrt(1 / (F.col("pos") + 0.5) + 1 / (F.col("neg") + 0.5))
+    telling = term_counts(rows).where((F.col("pos") >= max(least_docs, least_share * positives)) & (sure >= least_odds)).orderBy(F.desc(F.col("pos") * ratio), "term").limit(most_terms)
+    odds = {t: float(np.log((p + 0.5) / (positives + 1)) - np.log((n + 0.5) / (negatives + 1))) for t, p, n in telling.collect()}
+
+    known = set(odds)
+
+    def incidence(batches):
+        for b in batches:
+            yield pd.DataFrame({"y": b["y"], "terms": [list(terms_met(t, known).items()) for t in b["text"]]})
+
+    met = rows.mapInPandas(incidence, "y int, terms map<string,string>")
+    weights = choose_terms([(r["y"], r["terms"]) for r in met.collect()], odds, max(3, least_share * positives / 4))
 
     def features(batches):
         lexicon = Lexicon(weights)
