@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxledger.llm import bpe, langid, packing, quality, secret_scan, topk, toxicity
+from voxledger.llm import bpe, langid, line_dedup, near_vectors, ngram_join, packing, quality, secret_scan, topk, toxicity
 from voxledger.llm.common import crc_mod, cut, read_table
 
 
@@ -23,6 +23,10 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read_table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
 
+def op1_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors.near_duplicates(read_table(spark, sf_dir, "embeddings"))
+
+
 def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan(read_table(spark, sf_dir, "documents"), digests=True)
 
@@ -35,6 +39,14 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "held_out", "score", F.when(F.col("score") >= 0.7, 1).otherwise(0).alias("predicted"))
 
 
+def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_components(read_table(spark, sf_dir, "documents"))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     learned = crc_mod("doc_id", 5) != 0
@@ -55,5 +67,5 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(held.drop("lang"), prototypes).select("doc_id", "held_out", "lang_pred", "score")
 
 
-QUERIES = {"op2_secrets": op2_secrets, "op5_quality": op5_quality, "op8_toxicity": op8_toxicity, "op9_topk": op9_topk, "op3_bpe": op3_bpe, "op4_packing": op4_packing, "op10_langid": op10_langid}
+QUERIES = {f.__name__: f for f in (op1_near_vectors, op2_secrets, op3_bpe, op4_packing, op5_quality, op6_ngram_join, op7_line_dedup, op8_toxicity, op9_topk, op10_langid)}
 ORACLES: dict[str, str] = {}

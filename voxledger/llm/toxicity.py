@@ -243,7 +243,7 @@ def learn(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", each: in
 
     def incidence(batches):
         for b in batches:
-            yield pd.DataFrame({"y": b["y"], "terms": [list(terms_met(t, known).items()) for t in b["text"]]})
+            yield pd.DataFrame({"y": b["y"], "terms": [terms_met(t, known) for t in b["text"]]})
 
     met = rows.mapInPandas(incidence, "y int, terms map<string,string>")
     weights = choose_terms([(r["y"], r["terms"]) for r in met.collect()], odds, max(3, least_share * positives / 4))
