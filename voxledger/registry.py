@@ -2,5 +2,10 @@
 
 from __future__ import annotations
 
+from voxledger.plans import returns_report, usage_report
+
 QUERIES: dict = {}
 ORACLES: dict = {}
+for _module in (returns_report, usage_report):
+    QUERIES |= _module.QUERIES
+    ORACLES |= _module.ORACLES
