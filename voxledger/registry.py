@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from voxledger.plans import returns_report, usage_report
+from voxledger.plans import feedback, returns_report, usage_report
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-for _module in (returns_report, usage_report):
+for _module in (returns_report, usage_report, feedback):
     QUERIES |= _module.QUERIES
     ORACLES |= _module.ORACLES
