@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Words without content, degree words, contractions in order, idioms that mean "works well",
 # suffixes in order, and product-name endings.
@@ -27,7 +28,7 @@ def normalize_ascii(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(F.lower(text), r"[^\w\s]", " "), r"\s+", " "))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _normalize_unicode(text: pd.Series) -> pd.Series:
     import re
     import unicodedata
