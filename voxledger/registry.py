@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from voxledger.plans import feedback, returns_report, usage_report
+from voxledger.plans import feedback, returns_report, taxonomy_flow, usage_report
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-for _module in (returns_report, usage_report, feedback):
+for _module in (returns_report, usage_report, feedback, taxonomy_flow):
     QUERIES |= _module.QUERIES
     ORACLES |= _module.ORACLES
