@@ -117,3 +117,31 @@ def context(groups: DataFrame, canonicals: DataFrame, votes: DataFrame, most: in
     rows = canonicals.join(total, "canonical_id").withColumn("place", F.row_number().over(Window.partitionBy("group_id").orderBy(F.desc("v"), "ord")))
     shown = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("place") <= most, F.struct("place", "text")))), lambda x: x["text"]), " / ")
     return rows.groupBy("group_id").agg(F.sum("v").alias("total"), F.greatest(F.count("*") - most, F.lit(0)).alias("more"), shown.alias("shown")).join(groups.select("group_id", "category", "name"), "group_id")
+
+
+def variant_counts(canonicals: DataFrame, votes: DataFrame, phrases: DataFrame) -> DataFrame:
+    """Distinct raw quotes of each row and product with the phrases that said them, whether a quote is the row's own
+    text, and whether the phrases fall short of the votes."""
+    said = phrases.groupBy("product", normalize_ascii(F.col("quote")).alias("norm")).agg(F.count("*").alias("n"))
+    quotes = votes.select("canonical_id", "product", normalize_ascii(F.col("quote")).alias("norm")).distinct()
+    rows = quotes.join(said, ["product", "norm"], "left").join(canonicals.select("canonical_id", normalize_ascii(F.col("text")).alias("own")), "canonical_id")
+    rows = rows.select("canonical_id", "product", "norm", F.coalesce("n", F.lit(1)).alias("n"), (F.col("norm") == F.col("own")).alias("is_own"))
+    covered = F.sum("n").over(Window.partitionBy("canonical_id", "product"))
+    return rows.withColumn("_covered", covered).join(counted(votes), ["canonical_id", "product"]).withColumn("gap", F.col("_covered") < F.col("votes")).drop("_covered")
+
+
+def by_name(wanted: DataFrame, named: DataFrame, name: str, key: str) -> DataFrame:
+    """``wanted(name)`` with the first id whose normalised name it is, over all categories, or null; ``valid`` says
+    whether there is one."""
+    first = named.groupBy(normalize_ascii(F.col(name)).alias("_n")).agg(F.min_by(key, "ord").alias(key))
+    out = wanted.withColumn("_w", normalize_ascii(F.col("wanted"))).join(first, F.col("_w") == F.col("_n"), "left")
+    return out.select("wanted", key, F.col(key).isNotNull().alias("valid"))
+
+
+def relocated(canonicals: DataFrame, votes: DataFrame, moves: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows moved to other groups of their category by ``moves(group_id, to_group)``; a row whose text the target already
+    has, or that another moved row brings, gives its votes to the first such row."""
+    placed = canonicals.join(moves, "group_id", "left").withColumn("group_id", F.coalesce("to_group", "group_id")).drop("to_group").withColumn("_n", normalize_ascii(F.col("text")))
+    twins = placed.withColumn("keep_id", F.first("canonical_id").over(Window.partitionBy("group_id", "_n").orderBy("ord")))
+    merges = twins.where("canonical_id <> keep_id").select(F.col("canonical_id").alias("merge_id"), "keep_id")
+    return twins.where("canonical_id = keep_id").drop("_n", "keep_id"), merged(votes, merges)

@@ -74,3 +74,15 @@ def answered(raw: DataFrame, categories: DataFrame) -> DataFrame:
     parsed = raw.withColumn("j", F.from_json(F.regexp_extract("response_text", r"(?s)\{.*\}", 0), shape))
     rows = parsed.select("batch_key", "n_reviews", F.explode("j.quotes").alias("q")).select("batch_key", "n_reviews", "q.index", "q.quote", F.explode("q.categories").alias("category"))
     return rows.where("index between 1 and n_reviews and trim(quote) <> ''").join(categories.select("category"), "category", "left_semi")
+
+
+def cache_key(requests: DataFrame, columns: tuple[str, ...]) -> DataFrame:
+    """Requests with the SHA-256 of all that an answer depends on."""
+    return requests.withColumn("cache_key", F.sha2(F.to_json(F.struct(*columns)), 256))
+
+
+def rendered(batches: DataFrame, by: tuple[str, ...], order: str, text: str) -> DataFrame:
+    """The numbered texts of each batch as one request text."""
+    listed = F.array_sort(F.collect_list(F.struct(order, text)))
+    lines = F.transform(listed, lambda x, i: F.concat(F.lit("["), (i + 1).cast("string"), F.lit("] "), x[text]))
+    return batches.groupBy(*by).agg(F.array_join(lines, "\n").alias("request"))

@@ -100,3 +100,18 @@ def newest(reviews: DataFrame, cutoff: str | None = None, most: int | None = Non
         reviews = reviews.where(F.col("review_date").isNull() | (F.col("review_date") >= F.lit(cutoff).cast("date")))
     out = reviews.withColumn("place", F.row_number().over(Window.partitionBy("file").orderBy(F.desc_nulls_last("review_date"), "seq")))
     return out if most is None else out.where(F.col("place") <= most)
+
+
+def lost_contexts(exports: DataFrame, before_: int = 150, after_: int = 250, most: int = 10) -> DataFrame:
+    """Text around the date marks of each file that became no review's, ``most`` a file for the log."""
+    text = F.regexp_replace("raw_text", r"(?U)\s+", " ")
+    rows = exports.select("file_stem", text.alias("t")).withColumn("segs", F.split("t", RATING, -1))
+    # in a segment after a rating mark, the first date before its trailer has an owner; any other date has none
+    rows = rows.select("file_stem", F.posexplode("segs").alias("i", "seg"))
+    parts = rows.select("file_stem", "i", "seg", F.split("seg", DATE, -1).alias("p"), F.regexp_extract_all("seg", F.lit(DATE), 0).alias("d"), F.length(before(F.col("seg"), TRAILER)).alias("cut"))
+    dates = parts.select("file_stem", "i", "p", "d", "cut", F.posexplode("d").alias("k", "mark"))
+    head = F.aggregate(F.slice(F.arrays_zip(F.col("p"), F.col("d")), 1, F.greatest(F.col("k"), F.lit(0))), F.lit(""), lambda a, x: F.concat(a, F.coalesce(x["p"], F.lit("")), F.coalesce(x["d"], F.lit(""))))
+    placed = dates.withColumn("head", F.concat(head, F.element_at("p", F.col("k") + 1))).withColumn("owned", (F.col("i") > 0) & (F.col("k") == 0) & (F.length("head") < F.col("cut")))
+    tail = F.substring(F.element_at("p", F.col("k") + 2), 1, after_)
+    lost = placed.where("not owned").select("file_stem", "i", "k", cleaned(F.concat(F.expr(f"right(head, {before_})"), F.col("mark"), tail)).alias("context"))
+    return lost.withColumn("n", F.row_number().over(Window.partitionBy("file_stem").orderBy("i", "k"))).where(F.col("n") <= most).select("file_stem", "n", "context")

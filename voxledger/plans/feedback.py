@@ -131,7 +131,14 @@ QUERIES = {
     "j7_nearest_row": lambda s, d: S.nearest(names(s, d), names(s, d), name_pairs(0.3)(s, d).withColumn("sim", F.round("sim", 9))),
     "j8_new_group_suspects": lambda s, d: name_pairs(0.25)(s, d).select("l").distinct(),
     "j9_contained_phrases": on_phrases(P.contained),
+    "j10_uncached_requests": on_reviews(lambda r: P.uncached(P.cache_key(r, ("author", "body")), P.first_written(P.cache_key(r.where("seq % 2 = 0"), ("author", "body")).select("cache_key", F.col("body").alias("response_text"), "seq"))).select("review_id")),
     "j11_exact_precedents": on_labels(G.exact_precedents),
+    "j12_near_precedents": on_labels(lambda x: G.near_precedents(x.select(F.col("ts").alias("id"), "category", "reason", "phrase", "into"), x.where("ts % 2 = 0"))),
+    "j13_variant_counts": lambda s, d: L.variant_counts(*ledger(s, d)[1:], phrases(s, d)),
+    "j15_override_targets": lambda s, d: L.by_name(phrases(s, d).select(F.split("quote", " ")[0].alias("wanted")).distinct(), ledger(s, d)[0], "name", "group_id"),
+    "t8_relocated_rows": on_ledger(lambda g, c, v: L.counted(L.relocated(c, v, g.where("length(name) > 6").join(g.groupBy("category").agg(F.min_by("group_id", "ord").alias("to_group")), "category").select("group_id", "to_group"))[1])),
+    "f15_lost_contexts": lambda s, d: R.lost_contexts(exports(s, d).withColumn("raw_text", F.replace("raw_text", F.lit("3 out of 5"), F.lit("3 ou t of 5")))),
+    "f18_requests": on_reviews(lambda r: P.rendered(P.request_batches(r.withColumn("product", F.col("stem"))).withColumn("title", F.substring("body", 1, 40)), ("file", "run", "batch"), "seq", "title")),
     "a8_unique_phrases": on_phrases(P.unique_phrases),
     "a9_votes": on_ledger(lambda g, c, v: L.counted(v)),
     "a9_reconciled": on_ledger(lambda g, c, v: L.reconciled(v.groupBy("canonical_id", "product").agg((F.count("*") + 2).alias("votes")), v)),
@@ -196,6 +203,14 @@ ORACLES = {
     "j7_nearest_row": name_pairs_sql(0.3) + "SELECT i.id, coalesce(b.r, f.first) AS nearest FROM items i LEFT JOIN (SELECT l, r FROM (SELECT l, r, row_number() OVER (PARTITION BY l ORDER BY round(sim, 9) DESC, r) AS k FROM near) WHERE k = 1) b ON i.id = b.l LEFT JOIN (SELECT category, arg_min(id, ord) AS first FROM items GROUP BY 1) f ON i.category = f.category",
     "j8_new_group_suspects": name_pairs_sql(0.25) + "SELECT DISTINCT l FROM near",
     "j9_contained_phrases": PHR + ", w AS (SELECT *, array_to_string(regexp_extract_all(lower(quote), '[a-z0-9_]+'), ' ') AS w FROM phrases) SELECT a.phrase_seq AS a, b.phrase_seq AS b FROM w a JOIN w b ON a.product = b.product AND a.review_id = b.review_id AND a.category = b.category WHERE a.phrase_seq <> b.phrase_seq AND a.w <> '' AND len(string_split(a.w, ' ')) < len(string_split(b.w, ' ')) AND contains(' ' || b.w || ' ', ' ' || a.w || ' ')",
+    "j10_uncached_requests": REV + "SELECT review_id FROM reviews WHERE NOT EXISTS (SELECT 1 FROM reviews c WHERE c.seq % 2 = 0 AND c.author = reviews.author AND c.body = reviews.body)",
+    "j13_variant_counts": LED + """, said AS (SELECT product, text AS norm, count(*) AS n FROM norm GROUP BY ALL), q AS (SELECT DISTINCT canonical_id, product, trim(regexp_replace(regexp_replace(lower(quote), '[^a-z0-9_ ]', ' ', 'g'), ' +', ' ', 'g')) AS norm FROM votes)
+        SELECT q.canonical_id, q.product, q.norm, coalesce(s.n, 1) AS n, q.norm = c.text AS is_own, t.votes, sum(coalesce(s.n, 1)) OVER (PARTITION BY q.canonical_id, q.product) < t.votes AS gap
+        FROM q LEFT JOIN said s ON s.product = q.product AND s.norm = q.norm JOIN canonicals c ON c.canonical_id = q.canonical_id JOIN counted t ON t.canonical_id = q.canonical_id AND t.product = q.product""",
+    "j15_override_targets": LED + """, w AS (SELECT DISTINCT string_split(quote, ' ')[1] AS wanted FROM phrases), f AS (SELECT name, arg_min(group_id, ord) AS group_id FROM groups GROUP BY name)
+        SELECT wanted, group_id, group_id IS NOT NULL AS valid FROM w LEFT JOIN f ON name = trim(regexp_replace(regexp_replace(lower(wanted), '[^a-z0-9_ ]', ' ', 'g'), ' +', ' ', 'g'))""",
+    "t8_relocated_rows": LED + """, home AS (SELECT category, arg_min(group_id, ord) AS h FROM groups GROUP BY category), placed AS (SELECT canonical_id, text, c.ord, CASE WHEN length(g.name) > 6 THEN h ELSE g.group_id END AS grp FROM canonicals c JOIN groups g ON g.group_id = c.group_id JOIN home USING (category)),
+        kept AS (SELECT canonical_id, first_value(canonical_id) OVER (PARTITION BY grp, text ORDER BY ord) AS keep FROM placed) SELECT keep AS canonical_id, product, count(DISTINCT review_id) AS votes FROM votes JOIN kept USING (canonical_id) GROUP BY ALL""",
     "j11_exact_precedents": LAB + "SELECT category, a, b, arg_max(label, ts * 2 + o) AS label FROM (SELECT category, phrase AS a, into_ AS b, label, ts, 0 AS o FROM gate_labels UNION ALL SELECT category, into_, phrase, label, ts, 1 FROM gate_labels) GROUP BY ALL",
     "a8_unique_phrases": PHR + "SELECT category, norm, product, n, quotes, reviews, CAST(sum(n) OVER w AS BIGINT) AS total, first_value(q) OVER (PARTITION BY category, norm ORDER BY s) AS text, min(s) OVER w AS first_seq FROM (SELECT category, norm, product, count(*) AS n, count(DISTINCT quote) AS quotes, count(DISTINCT review_id) AS reviews, arg_min(quote, phrase_seq) AS q, min(phrase_seq) AS s FROM normed GROUP BY ALL) WINDOW w AS (PARTITION BY category, norm)",
     "a9_votes": LED + "SELECT * FROM counted",
