@@ -239,6 +239,7 @@ ORACLES = {
         FROM gate_labels g LEFT JOIN known k ON k.category = g.category AND k.a = g.into_ AND k.b = g.phrase LEFT JOIN rules r ON r.reason = g.reason""",
     "k2_captured_labels": LAB + "SELECT * FROM (SELECT category || ' | ' || phrase || ' | ' || into_ AS key, arg_max(CASE WHEN ts % 6 = 0 THEN 'undo' ELSE label END, ts) AS label, max(ts) AS ts FROM gate_labels GROUP BY 1) WHERE label <> 'undo'",
     "u1_review_union": REV + "SELECT file, count(*) AS n FROM reviews GROUP BY file",
+    "u3_set_operations": PHR + ", l AS (SELECT phrase_seq, list_distinct(string_split(lower(quote), ' ')) AS w, list_distinct(string_split(lower(product), '')) AS x FROM phrases), b AS (SELECT *, len(list_intersect(w, x)) AS n FROM l) SELECT phrase_seq, CAST(len(w) + len(x) - n AS INTEGER) AS either, CAST(n AS INTEGER) AS both, CAST(len(w) - n AS INTEGER) AS only FROM b",
     "u4_distinct_records": LAB + "SELECT category, phrase, reason, label, min(ts) AS ts FROM gate_labels GROUP BY ALL",
     "u5_training_pairs": LAB + ", l AS (SELECT phrase AS a, into_ AS b, label FROM gate_labels WHERE ts % 2 = 0), u AS (SELECT into_ AS a, phrase AS b, label FROM gate_labels WHERE ts % 2 = 1) SELECT * FROM l UNION ALL SELECT * FROM u WHERE NOT EXISTS (SELECT 1 FROM l WHERE (l.a = u.a AND l.b = u.b) OR (l.a = u.b AND l.b = u.a))",
     "w1_review_dedup": REV + "SELECT review_id, file FROM (SELECT *, row_number() OVER (PARTITION BY file, author, review_date, body ORDER BY seq) AS n FROM reviews) WHERE n = 1",
