@@ -116,7 +116,8 @@ def train(docs: DataFrame, label_col: str = "lang", text_col: str = "text", dime
                     if label not in sums:
                         sums[label] = np.zeros(dimensions)
                     sums[label] += v
-        yield pd.DataFrame({"label": list(sums), "bundle": [v.tolist() for v in sums.values()]})
+        if sums:
+            yield pd.DataFrame({"label": list(sums), "bundle": [v.tolist() for v in sums.values()]})
 
     rows = docs.where(F.col(label_col).isNotNull()).select(label_col, text_col).mapInPandas(run, "label string, bundle array<double>")
     by_place = rows.select("label", F.posexplode("bundle")).groupBy("label", "pos").agg(F.sum("col").alias("x"))
@@ -128,7 +129,7 @@ def predict(docs: DataFrame, prototypes: dict[str, list[float]], text_col: str =
     import numpy as np
 
     labels = sorted(prototypes)
-    matrix = np.array([prototypes[k] for k in labels]).reshape(len(labels), -1)
+    matrix = np.array([prototypes[k] for k in labels]).reshape(len(labels), dimensions)
     norms = np.linalg.norm(matrix, axis=1, keepdims=True)
     matrix = matrix / np.where(norms == 0, 1, norms) if len(labels) else matrix
 
