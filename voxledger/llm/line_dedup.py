@@ -1,11 +1,16 @@
 """Fuzzy line deduplication by MinHash, in DataFrame functions only.
 
 Each line is the set of its character shingles. Its MinHash signature is aggregated from the exploded shingles,
-map-side first, by distinct line. Lines that agree in a band of the signature are compared with the band's
-leader: the bucket's least line in an order of the band's own, so that other bands give other leaders and a
-large bucket costs a row per line, not a pair per two lines. The Jaccard index of each such pair is then
-computed exactly, and distributed union-find joins what reaches the threshold. Of each component the first
-occurrence (smallest document, then line number) stays.
+map-side first, by distinct line. All lines that agree in a band of the signature are compared, in two steps:
+
+* each with the band's leader, the bucket's least line in an order of the band's own;
+* then all other pairs of a bucket that the first step's links leave in different components (pairs within one
+  cannot change the result). Large buckets are cut into blocks, and the pairs of blocks are dealt over the tasks.
+  Two bounds that no pair at the threshold exceeds come before the exact comparison: the sizes of the two sets,
+  and the bits in which sketches of the sets differ, which are never more than the shingles in which the sets do.
+
+The Jaccard index of each pair left is computed exactly, and distributed union-find joins what reaches the
+threshold. Of each component the first occurrence (smallest document, then line number) stays.
 
 Lines are known by 64-bit hashes of their text: among n distinct lines n*n/2**65 pairs are expected to share one.
 
@@ -23,6 +28,8 @@ from voxledger.llm.common import components, cut
 #: Shingles of eight characters are rarely shared by unlike lines, so three rows a band keep buckets small; eight such
 #: bands miss a pair at the threshold of 0.8 with a chance of 0.003.
 SIZE, BANDS, ROWS = 8, 8, 3
+#: Lines of a block of a large bucket, and 64-bit words of a line's sketch.
+BLOCK, WORDS = 256, 4
 #: Bits of the bitmaps by which rows are sorted out before a shuffle: 8 MB, whatever the corpus.
 BITS = 1 << 26
 
@@ -77,13 +84,50 @@ def maybe_in(rows: DataFrame, column: str, bitmap: DataFrame, bits: int = BITS)
     return met.where(F.getbit(byte, (bit % 8).cast("int")) == 1).select(*rows.columns)
 
 
-def candidate_pairs(signed: DataFrame) -> DataFrame:
-    """``a, b`` (a < b): each line with its bucket's leader, for each band."""
+def bucket_members(signed: DataFrame) -> DataFrame:
+    """``key, line_id, leader, n``: the lines of each bucket of two or more, for each band."""
     keyed = signed.select("line_id", F.explode("keys").alias("key"))
     salt = F.xxhash64("key")
-    leaders = cut(keyed.groupBy("key").agg(F.min(F.col("line_id").bitwiseXOR(salt)).alias("l"), F.count("*").alias("n")).where("n > 1").select("key", "l"))
-    met = maybe_in(keyed, "key", bitmap_of(leaders, "key")).join(leaders, "key").withColumn("leader", F.col("l").bitwiseXOR(salt)).where("line_id <> leader")
-    return met.select(F.least("line_id", "leader").alias("a"), F.greatest("line_id", "leader").alias("b")).distinct()
+    leaders = cut(keyed.groupBy("key").agg(F.min(F.col("line_id").bitwiseXOR(salt)).alias("l"), F.count("*").alias("n")).where("n > 1"))
+    return maybe_in(keyed, "key", bitmap_of(leaders, "key")).join(leaders, "key").select("key", "line_id", F.col("l").bitwiseXOR(salt).alias("leader"), "n")
+
+
+def leader_pairs(members: DataFrame) -> DataFrame:
+    """``a, b`` (a < b): each line with its bucket's leader, for each band."""
+    return members.where("line_id <> leader").select(F.least("line_id", "leader").alias("a"), F.greatest("line_id", "leader").alias("b")).distinct()
+
+
+def texts_of(ids: DataFrame, rows: DataFrame) -> DataFrame:
+    """``line_id, line`` of the distinct ``ids``."""
+    some = maybe_in(rows.select("line_id", "line"), "line_id", bitmap_of(ids, "line_id"))
+    return some.join(ids, "line_id", "left_semi").dropDuplicates(["line_id"])
+
+
+def sketches(texts: DataFrame, size: int) -> DataFrame:
+    """``line_id, shingles, w0..``: the size of each line's shingle set, and its shingles as bits of WORDS words."""
+    each = texts.select("line_id", F.explode(shingle_set("line", size)).alias("h"))
+    bit = F.expr("shiftleft(1L, cast(shiftrightunsigned(h, 58) as int))")
+    return each.groupBy("line_id").agg(F.count("*").alias("shingles"), *(F.bit_or(F.when(F.pmod("h", F.lit(WORDS)) == k, bit).otherwise(F.lit(0).cast("long"))).alias(f"w{k}") for k in range(WORDS)))
+
+
+def other_pairs(members: DataFrame, found: DataFrame, rows: DataFrame, size: int, threshold: float) -> DataFrame:
+    """``a, b`` (a < b): the pairs of a bucket without its leader that ``found(node, component)`` leaves apart and
+    that can reach the threshold by the sizes and the sketches of their sets."""
+    others = members.where("n > 2 and line_id <> leader").select("key", "line_id")
+    others = others.join(found.withColumnRenamed("node", "line_id"), "line_id", "left").withColumn("component", F.coalesce("component", "line_id"))
+    split = others.groupBy("key").agg(F.count("*").alias("m"), F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
+    others = cut(others.join(split.select("key", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks")), "key"))
+    known = cut(sketches(texts_of(others.select("line_id").distinct(), rows), size))
+    dealt = others.join(known, "line_id").withColumn("block", F.pmod(F.xxhash64("line_id"), F.col("blocks")).cast("int"))
+    values = ["line_id", "component", "shingles", *(f"w{k}" for k in range(WORDS))]
+    one = dealt.select("key", F.col("block").alias("i"), F.explode(F.sequence("block", F.col("blocks") - 1)).alias("j"), *(F.col(c).alias(f"a_{c}") for c in values))
+    two = dealt.select("key", F.explode(F.sequence(F.lit(0), "block")).alias("i"), F.col("block").alias("j"), *(F.col(c).alias(f"b_{c}") for c in values))
+    differ = " + ".join(f"bit_count(a_w{k} ^ b_w{k})" for k in range(WORDS))
+    # of two sets with s and t members, J >= x leaves at most (s + t) * (1 - x) / (1 + x) members to one alone
+    near = F.expr(f"({differ}) <= (a_shingles + b_shingles) * {(1 - threshold) / (1 + threshold)!r}D + 1e-6")
+    sizes = F.least("a_shingles", "b_shingles") >= threshold * F.greatest("a_shingles", "b_shingles") - 1e-9
+    met = one.join(two, ["key", "i", "j"]).where((F.expr("i < j or a_line_id < b_line_id")) & F.expr("a_component <> b_component") & sizes & near)
+    return met.select(F.least("a_line_id", "b_line_id").alias("a"), F.greatest("a_line_id", "b_line_id").alias("b")).distinct()
 
 
 def shingle_set(line: str, size: int) -> Column:
@@ -95,20 +139,22 @@ def shingle_set(line: str, size: int) -> Column:
 def verified(pairs: DataFrame, rows: DataFrame, size: int, threshold: float) -> DataFrame:
     """The pairs whose shingle sets have a Jaccard index of ``threshold`` or more."""
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("line_id")).distinct()
-    some = maybe_in(rows.select("line_id", "line"), "line_id", bitmap_of(wanted, "line_id"))
-    texts = some.join(wanted, "line_id", "left_semi").dropDuplicates(["line_id"])
+    texts = texts_of(wanted, rows)
     both = pairs.join(texts.select(F.col("line_id").alias("a"), F.col("line").alias("s")), "a").join(texts.select(F.col("line_id").alias("b"), F.col("line").alias("t")), "b")
     # a length below the threshold's share of the other's cannot reach it: sets differ by that many shingles
     sets = both.select("a", "b", shingle_set("s", size).alias("s"), shingle_set("t", size).alias("t"))
-    close = sets.where(F.least(F.size("s"), F.size("t")) >= threshold * F.greatest(F.size("s"), F.size("t"))).withColumn("common", F.size(F.array_intersect("s", "t")))
+    close = sets.where(F.least(F.size("s"), F.size("t")) >= threshold * F.greatest(F.size("s"), F.size("t")) - 1e-9).withColumn("common", F.size(F.array_intersect("s", "t")))
     return close.where(F.col("common") >= threshold * (F.size("s") + F.size("t") - F.col("common")) - 1e-9).select("a", "b")
 
 
 def line_components(docs: DataFrame, size: int = SIZE, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col, line_no, line_id, component_id, kept`` of all lines that aren't blank."""
     rows = lines(docs, id_col, text_col)
-    pairs = cut(candidate_pairs(cut(signatures(rows, size))))
-    found = components(verified(pairs, rows, size, threshold).select(F.col("a").alias("src"), F.col("b").alias("dst"))).withColumnRenamed("node", "line_id")
+    members = cut(bucket_members(cut(signatures(rows, size))))
+    led = cut(components(verified(cut(leader_pairs(members)), rows, size, threshold).select(F.col("a").alias("src"), F.col("b").alias("dst"))))
+    others = verified(cut(other_pairs(members, led, rows, size, threshold)), rows, size, threshold)
+    links = led.select(F.col("node").alias("src"), F.col("component").alias("dst")).unionByName(others.select(F.col("a").alias("src"), F.col("b").alias("dst")))
+    found = components(links).withColumnRenamed("node", "line_id")
     every = rows.select(id_col, "line_no", "line_id")
     # the first place of each distinct line, then of each component among the lines that have one
     first = every.groupBy("line_id").agg(F.min(F.struct(id_col, "line_no")).alias("own"))
