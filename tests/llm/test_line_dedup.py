@@ -3,6 +3,8 @@
 import itertools
 import random
 
+from pyspark.sql import functions as F
+
 from voxledger.llm import line_dedup
 from tests.llm.test_llm import docs_of, roots
 
@@ -32,6 +34,22 @@ def test_a_large_bucket_of_templated_lines_is_compared_whole(spark, monkeypatch)
     assert sum(r != i for i, r in enumerate(root)) >= 20
     # one key for all lines: a single bucket, whose leader is near to at most a few of them
     rows = line_dedup.lines(docs_of(spark, texts))
-    monkeypatch.setattr(line_dedup, "signatures", lambda rows, size: rows.selectExpr("line_id", "array(1L) as keys").distinct())
+    signatures = line_dedup.signatures
+    monkeypatch.setattr(line_dedup, "signatures", lambda rows, size: signatures(rows, size).withColumn("keys", F.array(F.lit(1).cast("long"))))
     kept = {r["doc_id"] for r in line_dedup.line_components(docs_of(spark, texts), size).where("kept").collect()}
     assert rows.count() == len(texts) and kept == {i for i, r in enumerate(root) if r == i}
+
+
+def test_a_changed_character_inside_a_short_line_is_near(spark):
+    rng = random.Random(22)
+    line = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz     ") for _ in range(n))
+    texts = [line(49 + i) for i in range(30)]
+    texts += [t[:24] + "#" + t[25:] for t in texts]
+    root = brute_force(texts, 5)
+    assert root == [*range(30)] * 2 and brute_force(texts, 8) != root
+    kept = {r["doc_id"] for r in line_dedup.line_components(docs_of(spark, texts)).where("kept").collect()}
+    assert kept == set(range(30))
+
+
+def test_chance_of_a_miss_at_the_threshold():
+    assert (1 - 0.8**line_dedup.ROWS) ** line_dedup.BANDS <= (1 - 0.8**2) ** 6

@@ -6,10 +6,9 @@ map-side first, by distinct line. All lines that agree in a band of the signatur
 * each with the band's leader, the bucket's least line in an order of the band's own;
 * then all other pairs of a bucket that the first step's links leave in different components (pairs within one
   cannot change the result). Large buckets are cut into blocks, and the pairs of blocks are dealt over the tasks.
-  Two bounds that no pair at the threshold exceeds come before the exact comparison: the sizes of the two sets,
-  and the bits in which sketches of the sets differ, which are never more than the shingles in which the sets do.
 
-The Jaccard index of each pair left is computed exactly, and distributed union-find joins what reaches the
+Before a pair's texts are fetched, the bits in which sketches of the two sets differ are counted: they are never more
+than the shingles in which the sets do, so a pair with more than the threshold allows is far for certain. The Jaccard index of each pair left is computed exactly, and distributed union-find joins what reaches the
 threshold. Of each component the first occurrence (smallest document, then line number) stays.
 
 Lines are known by 64-bit hashes of their text: among n distinct lines n*n/2**65 pairs are expected to share one.
@@ -25,11 +24,12 @@ from pyspark.sql import functions as F
 
 from voxledger.llm.common import components, cut
 
-#: Shingles of eight characters are rarely shared by unlike lines, so three rows a band keep buckets small; eight such
-#: bands miss a pair at the threshold of 0.8 with a chance of 0.003.
-SIZE, BANDS, ROWS = 8, 8, 3
+#: Nine bands of three rows miss a pair at the threshold of 0.8 with a chance of 0.0016 (six of two rows: 0.0022), and
+#: unlike lines share a bucket less often.
+SIZE, BANDS, ROWS = 5, 9, 3
 #: Lines of a block of a large bucket, and 64-bit words of a line's sketch.
-BLOCK, WORDS = 256, 4
+BLOCK, WORDS = 256, 8
+SKETCH = ["places", *(f"w{k}" for k in range(WORDS))]
 #: Bits of the bitmaps by which rows are sorted out before a shuffle: 8 MB, whatever the corpus.
 BITS = 1 << 26
 
@@ -51,7 +51,8 @@ def starts(width: Column, size: int) -> Column:
 
 
 def signatures(rows: DataFrame, size: int, bands: int = BANDS, per_band: int = ROWS) -> DataFrame:
-    """``line_id, keys``: one 64-bit key for each band. The signature's hash functions are one hash, each time
+    """``line_id, keys, places, w0..``: one 64-bit key for each band, and a sketch: the number of places where shingles
+    start, and the shingles as bits of WORDS words. The signature's hash functions are one hash, each time
     rotated so that other bits of it come first, under a mask of its own."""
     count = bands * per_band
 
@@ -62,10 +63,13 @@ def signatures(rows: DataFrame, size: int, bands: int = BANDS, per_band: int = R
         return F.shiftright(turned.bitwiseXOR(F.lit(mask)), 32).cast("int")
 
     at = rows.select("line_id", wide("line").alias("w")).withColumn("n", F.octet_length("w"))
-    hashed = at.select("line_id", "w", F.explode(starts(F.col("n"), size)).alias("i")).select("line_id", F.xxhash64(F.substring(F.col("w"), F.col("i"), F.lit(2 * size))).alias("h"))
-    least = hashed.groupBy("line_id").agg(*(F.min(ordered(i)).alias(f"m{i}") for i in range(count)))
+    hashed = at.select("line_id", "w", "n", F.explode(starts(F.col("n"), size)).alias("i")).select("line_id", "n", F.xxhash64(F.substring(F.col("w"), F.col("i"), F.lit(2 * size))).alias("h"))
+    bit = F.expr("shiftleft(1L, cast(shiftrightunsigned(h, 58) as int))")
+    words = (F.bit_or(F.when(F.pmod("h", F.lit(WORDS)) == k, bit).otherwise(F.lit(0).cast("long"))).alias(f"w{k}") for k in range(WORDS))
+    places = F.greatest(F.max("n") / 2 - size + 1, F.lit(1)).cast("int").alias("places")
+    least = hashed.groupBy("line_id").agg(*(F.min(ordered(i)).alias(f"m{i}") for i in range(count)), places, *words)
     band = lambda b: F.xxhash64(F.lit(b), *(f"m{b * per_band + k}" for k in range(per_band)))
-    return least.select("line_id", F.array(*map(band, range(bands))).alias("keys"))
+    return least.select("line_id", F.array(*map(band, range(bands))).alias("keys"), *SKETCH)
 
 
 def bitmap_of(ids: DataFrame, column: str, bits: int = BITS) -> DataFrame:
@@ -97,36 +101,31 @@ def leader_pairs(members: DataFrame) -> DataFrame:
     return members.where("line_id <> leader").select(F.least("line_id", "leader").alias("a"), F.greatest("line_id", "leader").alias("b")).distinct()
 
 
-def texts_of(ids: DataFrame, rows: DataFrame) -> DataFrame:
-    """``line_id, line`` of the distinct ``ids``."""
-    some = maybe_in(rows.select("line_id", "line"), "line_id", bitmap_of(ids, "line_id"))
-    return some.join(ids, "line_id", "left_semi").dropDuplicates(["line_id"])
+def near(pairs: DataFrame, signed: DataFrame, threshold: float) -> DataFrame:
+    """Those of the pairs ``a, b`` that can reach the threshold by their sketches."""
+    one, two = (signed.select(F.col("line_id").alias(x), *(F.col(c).alias(f"{x}_{c}") for c in SKETCH)) for x in "ab")
+    return pairs.join(one, "a").join(two, "b").where(sketches_near(threshold)).select("a", "b")
 
 
-def sketches(texts: DataFrame, size: int) -> DataFrame:
-    """``line_id, shingles, w0..``: the size of each line's shingle set, and its shingles as bits of WORDS words."""
-    each = texts.select("line_id", F.explode(shingle_set("line", size)).alias("h"))
-    bit = F.expr("shiftleft(1L, cast(shiftrightunsigned(h, 58) as int))")
-    return each.groupBy("line_id").agg(F.count("*").alias("shingles"), *(F.bit_or(F.when(F.pmod("h", F.lit(WORDS)) == k, bit).otherwise(F.lit(0).cast("long"))).alias(f"w{k}") for k in range(WORDS)))
+def sketches_near(threshold: float) -> Column:
+    """Whether the sketches ``a_`` and ``b_`` differ in no more bits than their sets may in shingles: of sets with s and
+    t members, J >= x leaves at most (s + t) * (1 - x) / (1 + x) members to one alone, and places are no fewer."""
+    differ = " + ".join(f"bit_count(a_w{k} ^ b_w{k})" for k in range(WORDS))
+    return F.expr(f"({differ}) <= (a_places + b_places) * {(1 - threshold) / (1 + threshold)!r}D + 1e-6D")
 
 
-def other_pairs(members: DataFrame, found: DataFrame, rows: DataFrame, size: int, threshold: float) -> DataFrame:
+def other_pairs(members: DataFrame, found: DataFrame, signed: DataFrame, threshold: float) -> DataFrame:
     """``a, b`` (a < b): the pairs of a bucket without its leader that ``found(node, component)`` leaves apart and
-    that can reach the threshold by the sizes and the sketches of their sets."""
+    that can reach the threshold by their sketches."""
     others = members.where("n > 2 and line_id <> leader").select("key", "line_id")
     others = others.join(found.withColumnRenamed("node", "line_id"), "line_id", "left").withColumn("component", F.coalesce("component", "line_id"))
     split = others.groupBy("key").agg(F.count("*").alias("m"), F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
-    others = cut(others.join(split.select("key", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks")), "key"))
-    known = cut(sketches(texts_of(others.select("line_id").distinct(), rows), size))
-    dealt = others.join(known, "line_id").withColumn("block", F.pmod(F.xxhash64("line_id"), F.col("blocks")).cast("int"))
-    values = ["line_id", "component", "shingles", *(f"w{k}" for k in range(WORDS))]
+    others = others.join(split.select("key", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks")), "key")
+    dealt = cut(others.join(signed.select("line_id", *SKETCH), "line_id").withColumn("block", F.pmod(F.xxhash64("line_id"), F.col("blocks")).cast("int")))
+    values = ["line_id", "component", *SKETCH]
     one = dealt.select("key", F.col("block").alias("i"), F.explode(F.sequence("block", F.col("blocks") - 1)).alias("j"), *(F.col(c).alias(f"a_{c}") for c in values))
     two = dealt.select("key", F.explode(F.sequence(F.lit(0), "block")).alias("i"), F.col("block").alias("j"), *(F.col(c).alias(f"b_{c}") for c in values))
-    differ = " + ".join(f"bit_count(a_w{k} ^ b_w{k})" for k in range(WORDS))
-    # of two sets with s and t members, J >= x leaves at most (s + t) * (1 - x) / (1 + x) members to one alone
-    near = F.expr(f"({differ}) <= (a_shingles + b_shingles) * {(1 - threshold) / (1 + threshold)!r}D + 1e-6")
-    sizes = F.least("a_shingles", "b_shingles") >= threshold * F.greatest("a_shingles", "b_shingles") - 1e-9
-    met = one.join(two, ["key", "i", "j"]).where((F.expr("i < j or a_line_id < b_line_id")) & F.expr("a_component <> b_component") & sizes & near)
+    met = one.join(two, ["key", "i", "j"]).where(F.expr("(i < j or a_line_id < b_line_id) and a_component <> b_component") & sketches_near(threshold))
     return met.select(F.least("a_line_id", "b_line_id").alias("a"), F.greatest("a_line_id", "b_line_id").alias("b")).distinct()
 
 
@@ -136,6 +135,12 @@ def shingle_set(line: str, size: int) -> Column:
     return F.element_at(F.transform(F.array(wide(line)), shingles), 1)
 
 
+def texts_of(ids: DataFrame, rows: DataFrame) -> DataFrame:
+    """``line_id, line`` of the distinct ``ids``."""
+    some = maybe_in(rows.select("line_id", "line"), "line_id", bitmap_of(ids, "line_id"))
+    return some.join(ids, "line_id", "left_semi").dropDuplicates(["line_id"])
+
+
 def verified(pairs: DataFrame, rows: DataFrame, size: int, threshold: float) -> DataFrame:
     """The pairs whose shingle sets have a Jaccard index of ``threshold`` or more."""
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("line_id")).distinct()
@@ -150,9 +155,10 @@ def verified(pairs: DataFrame, rows: DataFrame, size: int, threshold: float) ->
 def line_components(docs: DataFrame, size: int = SIZE, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col, line_no, line_id, component_id, kept`` of all lines that aren't blank."""
     rows = lines(docs, id_col, text_col)
-    members = cut(bucket_members(cut(signatures(rows, size))))
-    led = cut(components(verified(cut(leader_pairs(members)), rows, size, threshold).select(F.col("a").alias("src"), F.col("b").alias("dst"))))
-    others = verified(cut(other_pairs(members, led, rows, size, threshold)), rows, size, threshold)
+    signed = cut(signatures(rows, size))
+    members = cut(bucket_members(signed))
+    led = cut(components(verified(cut(near(leader_pairs(members), signed, threshold)), rows, size, threshold).select(F.col("a").alias("src"), F.col("b").alias("dst"))))
+    others = verified(cut(other_pairs(members, led, signed, threshold)), rows, size, threshold)
     links = led.select(F.col("node").alias("src"), F.col("component").alias("dst")).unionByName(others.select(F.col("a").alias("src"), F.col("b").alias("dst")))
     found = components(links).withColumnRenamed("node", "line_id")
     every = rows.select(id_col, "line_no", "line_id")
