@@ -6,10 +6,12 @@ the search for fillings runs on it, and Spark deals the pieces out to the places
 A plan is a list of fillings with the number of times that each is used, so the search is as long for
 a billion pieces as for a thousand.
 
-The search takes the largest length left and enumerates undominated fillings of the room beside it,
-largest lengths first, starting from the best-fit filling as incumbent. A branch is cut when the room
-it must leave free reaches the incumbent's waste; a filling that wastes nothing ends the search. The
-filling found is used until one of its lengths runs out.
+The incumbent is the whole best-fit-decreasing plan. The search then takes the largest length left, branches
+over the undominated fillings of the room beside it, best first, uses each as often as its lengths last, and goes on
+with what is left; it comes back to the next filling of a bin when a branch is done. A branch is cut when its
+sequences so far and the lower bound of what is left reach the incumbent. The search ends when the incumbent
+meets the lower bound, or when a budget of nodes is spent: ``Plan.gap`` then says by how many sequences the plan
+may be longer than the best one.
 
 Edge cases: null text is the empty text, which still has its end token; repeated rows and ties are
 pieces like others (each row keeps its own place); an empty table gives no rows.
@@ -17,8 +19,12 @@ pieces like others (each row keeps its own place); an empty table gives no rows.
 
 from __future__ import annotations
 
+import bisect
+import itertools
+import logging
 import zlib
 from functools import lru_cache
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -31,6 +37,8 @@ CACHE_ENTRIES = 700_000
 SALTS = 64
 #: Nodes that the search for one filling may visit before it settles for its incumbent.
 NODES = 4000
+#: Nodes that the search over whole plans may visit, in all.
+BUDGET = 200_000
 
 
 class WordCache:
@@ -95,10 +103,90 @@ def pieces(docs: DataFrame, vocabulary: str, size: int, end_id: int = 0, id_col:
     return docs.select(id_col, text_col).mapInArrow(run, f"{id_col} {kind}, piece int, start long, length long, ids_crc32 long")
 
 
+class Plan(NamedTuple):
+    """Fillings ``(lengths, times)`` that use up a histogram, and how many sequences more than the best plan they may
+    take: 0 where the search came to its end or met the lower bound."""
+
+    fillings: list[tuple[list[int], int]]
+    gap: int
+
+
+def fillings(left: list[int], count: dict[int, int], room: int, nodes: int = NODES) -> tuple[list[list[int]], int, bool]:
+    """Undominated fillings of ``room`` from ``left`` (decreasing) with at most ``count`` of each, least waste first;
+    the nodes visited, and whether all fillings were seen. A filling beside which a length left over would fit is
+    dominated by the one with it."""
+    rising, falling = left[::-1], [-x for x in left]
+    found: list[tuple[int, list[int]]] = []
+    visited = 0
+
+    def branch(at: int, room: int, chosen: list[int]) -> bool:
+        nonlocal visited
+        if visited >= nodes:
+            return False
+        visited += 1
+        if all(chosen.count(x) >= count[x] for x in itertools.takewhile(lambda x: x <= room, rising)):
+            found.append((room, chosen))
+        for k in range(max(at, bisect.bisect_left(falling, -room)), len(left)):
+            x = left[k]
+            for n in range(min(room // x, count[x]), 0, -1):
+                if not branch(k + 1, room - n * x, chosen + [x] * n):
+                    return False
+        return True
+
+    whole = branch(0, room, [])
+    found.sort(key=lambda f: (f[0], [-x for x in f[1]]))
+    return [f for _, f in found], visited, whole
+
+
+def lower_bound(count: dict[int, int], size: int) -> int:
+    """Sequences that any plan needs: for each least length k, pieces above size / 2 have one each, and pieces from k
+    on must fit beside those that leave k or more, or in sequences of their own (Martello and Toth)."""
+    xs = sorted(count)
+    n, total = [0], [0]
+    for x in xs:
+        n.append(n[-1] + count[x])
+        total.append(total[-1] + x * count[x])
+    half = bisect.bisect_right(xs, size // 2)
+    best = max(-(-total[-1] // size), n[-1] - n[half])
+    for at in range(half):
+        large = bisect.bisect_right(xs, size - xs[at])
+        beside = (n[large] - n[half]) * size - (total[large] - total[half])
+        best = max(best, n[-1] - n[half] + max(0, -(-(total[half] - total[at] - beside) // size)))
+    return best
+
+
+def best_fit(histogram: dict[int, int], size: int) -> list[tuple[list[int], int]]:
+    """The best-fit-decreasing plan: each piece, largest first, to the fullest sequence that has room for it. Alike
+    sequences are kept as one, so it takes as long for a billion pieces as for a thousand."""
+    rooms: list[int] = []
+    open_: dict[int, list[tuple[list[int], int]]] = {}
+
+    def put(room: int, chosen: list[int], times: int) -> None:
+        if room not in open_:
+            bisect.insort(rooms, room)
+        open_.setdefault(room, []).append((chosen, times))
+
+    for x in sorted(histogram, reverse=True):
+        left = histogram[x]
+        while left:
+            if (at := bisect.bisect_left(rooms, x)) < len(rooms):
+                room = rooms[at]
+                chosen, times = open_[room].pop()
+                if not open_[room]:
+                    del open_[room], rooms[at]
+            else:
+                room, chosen, times = size, [], -(-left // (size // x))
+            each = min(room // x, left)
+            used = min(times, left // each)
+            put(room - each * x, chosen + [x] * each, used)
+            if chosen and times > used:
+                put(room, chosen, times - used)
+            left -= each * used
+    return [group for room in rooms for group in open_[room]]
+
+
 def best_filling(left: list[int], count: dict[int, int], room: int, nodes: int = NODES) -> list[int]:
     """Lengths that fill ``room`` best, from ``left`` (decreasing) with at most ``count`` of each."""
-    import bisect
-
     rising = left[::-1]
 
     def fitting(x: int, below: int) -> int:
@@ -139,18 +227,14 @@ def best_filling(left: list[int], count: dict[int, int], room: int, nodes: int =
                 used[x] = used.get(x, 0) + 1
                 branch(rest, x, [*chosen, x], used)
                 used[x] -= 1
-            # what is smaller than this can only fill the room with more pieces; stop where even copies
-            # of the next length, as many as there are places, would leave the incumbent's waste free
             x = fitting(room, x - 1)
 
     branch(room, room, [], {})
     return best
 
 
-def plan(histogram: dict[int, int], size: int, nodes: int = NODES) -> list[tuple[list[int], int]]:
-    """Fillings ``(lengths, times)`` that use up the histogram."""
-    import bisect
-
+def fill_in_turn(histogram: dict[int, int], size: int, nodes: int = NODES) -> list[tuple[list[int], int]]:
+    """The plan that fills the largest length's sequence best, as often as its lengths last, and so on."""
     count = {k: v for k, v in histogram.items() if v > 0 and k > 0}
     rising, out = sorted(count), []
     while rising:
@@ -172,6 +256,58 @@ def plan(histogram: dict[int, int], size: int, nodes: int = NODES) -> list[tuple
     return out
 
 
+def plan(histogram: dict[int, int], size: int, nodes: int = NODES, budget: int = BUDGET) -> Plan:
+    """The best plan that branch and bound over whole plans finds within its budget."""
+    count = {k: v for k, v in histogram.items() if v > 0 and k > 0}
+    bound = lower_bound(count, size)
+    length = lambda p: sum(times for _, times in p)
+    best = best_fit(count, size)
+    if length(best) > bound:
+        best = min(best, fill_in_turn(count, size, nodes), key=length)
+    fewest, whole = length(best), True
+
+    def choices(count: dict[int, int]):
+        """Fillings with the largest length, each with its numbers of times, and what each leaves."""
+        nonlocal budget, whole
+        top = max(count)
+        spare = {k: v - (k == top) for k, v in count.items() if k <= size - top and v > (k == top)}
+        found, visited, all_seen = fillings(sorted(spare, reverse=True), spare, size - top, min(nodes, budget))
+        budget -= visited
+        whole = whole and all_seen
+        for chosen in found:
+            need: dict[int, int] = {}
+            for x in [top, *chosen]:
+                need[x] = need.get(x, 0) + 1
+            for times in range(min(count[x] // n for x, n in need.items()), 0, -1):
+                after = count | {x: count[x] - n * times for x, n in need.items()}
+                yield [top, *chosen], times, {x: n for x, n in after.items() if n}
+
+    # the way to the node looked at: the choices left at each bin, and sequences so far
+    way = [(choices(count), 0)] if fewest > bound else []
+    taken: list[tuple[list[int], int]] = []
+    while way:
+        if budget <= 0:
+            whole = False
+            break
+        todo, used = way[-1]
+        del taken[len(way) - 1 :]
+        if (choice := next(todo, None)) is None:
+            way.pop()
+            continue
+        chosen, times, left = choice
+        budget -= 1
+        if used + times + lower_bound(left, size) >= fewest:
+            continue
+        taken.append((chosen, times))
+        if left:
+            way.append((choices(left), used + times))
+            continue
+        best, fewest = list(taken), used + times
+        if fewest == bound:
+            break
+    return Plan(best, 0 if whole else fewest - bound)
+
+
 def pack(parts: DataFrame, size: int = 2048, keys: tuple[str, ...] = ("doc_id", "piece"), nodes: int = NODES) -> DataFrame:
     """Give each piece of ``parts`` (with a ``length``) its ``sequence_id`` and ``offset``.
 
@@ -184,7 +320,10 @@ def pack(parts: DataFrame, size: int = 2048, keys: tuple[str, ...] = ("doc_id",
     counts = salted.groupBy("length", "_salt").agg(F.count("*").alias("_n"))
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("_n").alias("n")).collect()}
     ranges, sequence, used = [], 0, dict.fromkeys(histogram, 0)
-    for chosen, times in plan(histogram, size, nodes):
+    best = plan(histogram, size, nodes)
+    if best.gap:
+        logging.getLogger(__name__).warning("packing: at most %d of the planned sequences are more than needed", best.gap)
+    for chosen, times in best.fillings:
         at, place = 0, {}
         for x in chosen:
             place.setdefault(x, []).append(at)
