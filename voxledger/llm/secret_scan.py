@@ -1,8 +1,9 @@
 """Secret scan by assignment-aware lexing.
 
 A text is read as source or configuration: at every assignment sign (``=``, ``:=``, ``=>``, ``:``) the lexer
-takes the name before it and the literal or the other name after it, keeps the constants that it has
-seen, and follows names to the literals that they stand for. A literal is scored by how sensitive its
+takes the name before it, across a type if one is declared, and the literal (on one line or several) or the
+other name after it. Names are then followed to the literals that they stand for: the latest definition before
+the place, or else the first after it. A literal is scored by how sensitive its
 target's name is and by how random it looks; those above the threshold are ``lexed`` spans. The
 fixed base patterns (assignments to password-like names, cloud access ids, long hexadecimal strings)
 are always reported as they match.
@@ -13,6 +14,7 @@ merged only when text is redacted. The scan is a narrow map over whole texts.
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import math
 import re
@@ -29,8 +31,17 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
 SIGN = re.compile(r":=|=>|[=:]")
-NAME_BEFORE = re.compile(r"""([A-Za-z_$][\w$.\-]*)["'\])]?[ \t]*\Z""", re.A)
-LITERAL = re.compile(r"""[ \t]*(?:"((?:[^"\\\n]|\\.)*)"|'((?:[^'\\\n]|\\.)*)'|`([^`\n]*)`|([^\s"'`,;(){}\[\]<>]+))""")
+NAME = re.compile(r"[A-Za-z_$][\w$.\-]*", re.A)
+ONE_TYPE = r"(?:[&*?]|\[\d*\]|'static[ \t]+)*[A-Za-z_][\w.]*(?:::[\w.]+)*(?:\[[^\[\]\n=]*(?:\[[^\[\]\n=]*\][^\[\]\n=]*)*\]|<[^<>\n=]*(?:<[^<>\n=]*>[^<>\n=]*)*>)*+[?!]?"
+TYPE = rf"{ONE_TYPE}(?:[ \t]*[|&][ \t]*{ONE_TYPE})*"
+#: What follows the colon of a declaration, up to its sign; and declarations with the type after the name.
+TYPED = re.compile(rf"[ \t]*{TYPE}[ \t]*=(?![=>])", re.A)
+DECLARED = re.compile(rf"\b(?:var|const|let|static|val)[ \t]+([A-Za-z_$][\w$]*)[ \t]+{TYPE}[ \t]*=(?![=>])", re.A)
+LITERAL = re.compile(
+    r"""[ \t]*(?:(?:\\\r?\n[ \t]*|\(\s*)?(?:[rRbBuUfF]{1,2}(?=["']))?(?:\"{3}((?:[^\\]|\\.)*?)\"{3}|'{3}((?:[^\\]|\\.)*?)'{3}|"((?:[^"\\\n]|\\.)*)"|'((?:[^'\\\n]|\\.)*)'|`([^`]*)`)|([^\s"'`,;(){}\[\]<>]+))""",
+    re.S,
+)
+BARE = 6
 SENSITIVE = {"password": 3.0, "passwd": 3.0, "pwd": 2.5, "pass": 2.0, "passphrase": 3.0, "secret": 3.0, "token": 2.5, "apikey": 3.0, "key": 1.2, "credential": 2.5, "auth": 1.5, "private": 1.5, "access": 1.0, "signature": 1.5, "salt": 1.5, "bearer": 2.5}
 HARMLESS = {"public": 2.0, "example": 2.0, "test": 0.5, "primary": 1.5, "foreign": 1.5, "path": 1.0, "url": 1.0, "name": 1.0, "length": 1.5, "count": 1.5, "type": 1.0}
 PLACEHOLDER = re.compile(r"(?i)^(?:x+|\*+|\.+|none|null|true|false|undefined|changeme|your[-_ ]?\w*|example\w*|\$\{?.*|<.*|%.*|\{\{.*)$")
@@ -76,31 +87,67 @@ def lexed_spans(text: str, threshold: float = 4.0) -> list[Span]:
     """Literals whose target, directly or through constants, is named like a secret."""
     if "=" not in text and ":" not in text:
         return []
-    constants: dict[str, tuple[str, int, int]] = {}
-    out: dict[tuple[int, int], Span] = {}
+    ends = {m.end(): m[0] for m in NAME.finditer(text)}
+    declared = {m.end() - 1: m[1] for m in DECLARED.finditer(text)}
+    found: list[tuple[set[str], str, int, int, bool]] = []
     for sign in SIGN.finditer(text):
-        before = NAME_BEFORE.search(text[max(0, sign.start() - 130) : sign.start()])
-        if before is None:
-            continue
-        name = before[1]
-        literal = LITERAL.match(text, sign.end())
-        if literal is None:
+        at = sign.start()
+        name = name_before(text, at, ends)
+        if name is not None and sign[0] == ":" and (typed := TYPED.match(text, sign.end())):
+            declared[typed.end() - 1] = name
+        names = {x for x in (name, declared.get(at)) if x is not None}
+        if not names or (literal := LITERAL.match(text, sign.end())) is None:
             continue
         which = literal.lastindex
         value, start, end = literal[which], literal.start(which), literal.end(which)
-        if which == 4:
+        if which == BARE:
             value = value.rstrip(".:")
             end = start + len(value)
-            if value in constants:  # the name of a constant: its literal is what is assigned
-                value, start, end = constants[value]
-        if not value:
-            continue
-        constants[name] = constants[name.rpartition(".")[2]] = (value, start, end)
-        if (sensitive := name_score(name)) > 0.9 and sensitive + literal_score(value) >= threshold:
+        if value:
+            found.append((names, value, start, end, which == BARE))
+    out: dict[tuple[int, int], Span] = {}
+    for (names, *_), (value, start, end) in zip(found, resolved(found)):
+        if (sensitive := max(map(name_score, names))) > 0.9 and sensitive + literal_score(value) >= threshold:
             out[start, end] = Span("lexed", start, end)
     return list(out.values())
 
 
+def name_before(text: str, at: int, ends: dict[int, str]) -> str | None:
+    """The name that ends before ``at``, but for blanks and one closing mark."""
+    while at and text[at - 1] in " \t":
+        at -= 1
+    if at and text[at - 1] in "\"'])":
+        at -= 1
+    elif at and text[at - 1] in "?!" and at - 1 in ends:  # an optional member
+        at -= 1
+    return ends.get(at)
+
+
+def resolved(found: list[tuple[set[str], str, int, int, bool]]) -> list[tuple[str, int, int]]:
+    """The literal that each assignment stands for, through names of constants defined anywhere in the text."""
+    where: dict[str, list[int]] = {}
+    for i, (names, *_) in enumerate(found):
+        for x in {y for name in names for y in (name, name.rpartition(".")[2])}:
+            where.setdefault(x, []).append(i)
+    out: list[tuple[str, int, int] | None] = [None] * len(found)
+    for first in range(len(found)):
+        way, i = [], first
+        while out[i] is None:
+            _, value, start, end, bare = found[i]
+            way.append(i)
+            places = where.get(value, []) if bare else []
+            k = bisect.bisect_left(places, i)
+            later = k + (k < len(places) and places[k] == i)
+            following = places[k - 1] if k else places[later] if later < len(places) else None
+            out[i] = (value, start, end)
+            if following is None:
+                break
+            i = following
+        for j in way:
+            out[j] = out[i]
+    return out
+
+
 def all_spans(text: str | None, threshold: float = 4.0) -> list[Span]:
     """Spans by start, then kind as listed in KINDS."""
     if not text:
