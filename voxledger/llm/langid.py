@@ -57,7 +57,10 @@ class Profile:
         import numpy as np
 
         codes = np.frombuffer(text.lower().encode("utf-32-le", "replace"), np.uint32).astype(np.int64)
-        letter = self.is_letter[np.minimum(codes, 0xFFFF)] | (codes > 0xFFFF)
+        letter = self.is_letter[np.minimum(codes, 0xFFFF)]
+        if (high := codes > 0xFFFF).any():
+            distinct, at = np.unique(codes[high], return_inverse=True)
+            letter[high] = np.array([chr(c).isalpha() for c in distinct.tolist()])[at]
         if not letter.any():
             return None
         codes = np.where(letter, codes, 32)
