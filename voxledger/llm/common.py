@@ -5,10 +5,15 @@ from __future__ import annotations
 import tempfile
 import zlib
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Whether the files of a query's shuffles are removed when the query has ended.
+GIVEN_BACK = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -17,12 +22,22 @@ def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the cluster's shared checkpoint folder and read it from there.
 
     The folder is the one the session names in ``spark.checkpoint.dir``; one of our own is set only
-    where the session names none, as in tests.
+    where a session on a single machine names none, as in tests. What the plan shuffled is given back once the rows
+    are written, since nothing can ask for it again.
     """
-    context = df.sparkSession.sparkContext
+    spark = df.sparkSession
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-"))
-    return df.checkpoint()
+        folder = context.getConf().get("spark.checkpoint.dir")
+        if folder is None and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-"))
+    before = spark.conf.get(GIVEN_BACK, "false")
+    spark.conf.set(GIVEN_BACK, "true")
+    try:
+        return df.select("*").checkpoint()  # a new plan: a plan keeps the setting that it was made under
+    finally:
+        spark.conf.set(GIVEN_BACK, before)
 
 
 def crc_mod(column: str, n: int) -> Column:
@@ -70,3 +85,13 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     roots = pairs.select(F.col("v").alias("node")).distinct().withColumn("component", F.col("node"))
     return pairs.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
+
+
+def hook(labels: np.ndarray, x: np.ndarray, y: np.ndarray) -> None:
+    """Union-find of a task, in place: ``labels[i]`` is the least node known to be joined to i; joins each x with its y."""
+    while (differ := labels[x] != labels[y]).any():
+        x, y = x[differ], y[differ]
+        a, b = labels[x], labels[y]
+        np.minimum.at(labels, np.maximum(a, b), np.minimum(a, b))
+        while ((up := labels[labels]) != labels).any():
+            labels[:] = up

@@ -1,18 +1,21 @@
 """Near-duplicate join of documents by the Jaccard index of their word n-grams, through a MinHash LSH forest.
 
-Each tree of the forest sorts documents by a signature of its own and is a trie of signature prefixes. Prefixes
-begin at full depth and are shortened until documents at the threshold would share one in some tree with the
-target recall; the prefixes of that depth are the nodes whose members are candidates of each other. Candidates
-are grouped first: documents with the same n-grams are one class, and classes that share a node belong to one
-candidate component. Within a component all pairs of classes are verified exactly, in blocks of bounded size
-dealt over tasks, so a pair that meets in many trees is verified once, and a large component is no single
-task's. Counts of links, and edges that keep a block's components together, are all that leaves a block.
+Each tree of the forest orders documents by a signature of its own, DEPTH values long, and is a trie of signature
+prefixes. Matched prefixes are shortened adaptively. At full depth few unlike documents meet, so depth is first given up
+only until a pair at the threshold shares a prefix in some tree with a chance of FLOOR. The links verified there then
+tell how many more there are: a link of similarity s is found at depth d with the chance P(s, d), so it stands for
+1 / P(s, d) links. While the links found are less than the target recall of those, prefixes are one value shorter.
+
+Documents with the same n-grams are one class; classes that share a prefix belong to one candidate component. Within a
+component all pairs of classes are verified exactly, in blocks of bounded size dealt over tasks, so a pair that meets in
+many trees is verified once, and a large component is no single task's. Counts of links, and edges that keep a block's
+components together, are all that leaves a block.
 
 Words are split at white space in lower case; a document of fewer than n words is one n-gram, one without
-words links with nothing. N-grams are compared by 64-bit hashes.
+words links with nothing. N-grams are compared by 64-bit hashes, classes are known by a 128-bit hash of theirs.
 
-Edge cases: null text is the empty text; repeated rows and copies are classes of one; ties (which document
-stands for a class or component) go to the smallest id.
+Edge cases: null text is the empty text; repeated rows and copies are one class; rows that repeat an id with another
+text are documents of their own; ties (which document stands for a class or component) go to the smallest id.
 """
 
 from __future__ import annotations
@@ -23,22 +26,36 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxledger.llm.common import components, cut
+from voxledger.llm.common import components, cut, hook
 
 TREES, DEPTH = 28, 8
+#: Chance with which a pair at the threshold is found at the depth that the search starts from.
+FLOOR = 0.999
 #: Classes in a block of a candidate component.
 BLOCK = 1024
 #: A hash multiplier and increment, odd and fixed, that word hashes are chained with.
 CHAIN = np.uint64(0x9E3779B97F4A7C15)
 
 
-def chosen_depth(threshold: float, recall: float, trees: int = TREES, depth: int = DEPTH) -> int:
-    """Shorten prefixes from ``depth`` until a pair at the threshold shares one with the target recall."""
-    while depth > 1 and 1 - (1 - threshold**depth) ** trees < recall:
+def chance(similarity, depth: int, trees: int = TREES):
+    """Chance that two documents share a prefix of ``depth`` values in some tree."""
+    return 1 - (1 - similarity**depth) ** trees
+
+
+def first_depth(threshold: float, floor: float = FLOOR, trees: int = TREES, depth: int = DEPTH) -> int:
+    while depth > 1 and chance(threshold, depth, trees) < floor:
         depth -= 1
     return depth
 
 
+def orders(trees: int, depth: int) -> np.ndarray:
+    """For each tree the MinHash functions that its values come from: the first half of them are its own, the second half
+    are taken from as many other trees, one of each."""
+    own = -(-depth // 2)
+    t, level = np.arange(trees)[:, None], np.arange(depth)[None, :]
+    return np.where(level < own, t * own + level, (t + 5 * (level - own + 1)) % trees * own + level % own)
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(31))) * np.uint64(0x7FB5D329728EA185)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x81DADEF4BC2DD44D)
@@ -72,126 +89,128 @@ class Shingler:
         return np.unique(mixed(out))
 
 
-def forest_keys(shingles: np.ndarray, seeds: np.ndarray, trees: int, depth: int) -> np.ndarray:
-    """One key per tree: the hash of the tree's signature prefix of length ``depth``."""
-    least = np.full(trees * depth, np.iinfo(np.uint32).max, np.uint32)
+def signature(shingles: np.ndarray, seeds: np.ndarray) -> np.ndarray:
+    """The least value of each MinHash function."""
+    least = np.full(seeds.shape[1], np.iinfo(np.uint32).max, np.uint32)
     low = (shingles & np.uint64(0xFFFFFFFF)).astype(np.uint32)
     for at in range(0, len(low), 512):
         part = low[at : at + 512, None] * seeds[0] + seeds[1]
         part ^= part >> np.uint32(15)
         np.minimum(least, part.min(axis=0), out=least)
-    key = np.arange(trees, dtype=np.uint64) + np.uint64(1)
-    for column in least.reshape(trees, depth).T.astype(np.uint64):
-        key = mixed(key * CHAIN + column)
+    return least
+
+
+def prefix_keys(signatures: np.ndarray, trees: int, depth: int, full: int = DEPTH) -> np.ndarray:
+    """One key for each signature and tree: the hash of the tree's prefix of ``depth`` values."""
+    key = np.broadcast_to(np.arange(trees, dtype=np.uint64) + np.uint64(1), (len(signatures), trees))
+    for column in orders(trees, full).T[:depth]:
+        key = mixed(key * CHAIN + signatures[:, column].astype(np.uint64))
     return key.view(np.int64)
 
 
-def sketches(docs: DataFrame, n: int, trees: int, depth: int, id_col: str, text_col: str) -> DataFrame:
-    """``id_col, c1, c2, keys``: a 128-bit hash of the n-gram set and the forest's keys (none without words)."""
+def sketches(docs: DataFrame, n: int, trees: int, id_col: str, text_col: str) -> DataFrame:
+    """``id_col, version, c1, c2, sig``: a hash of the text, a 128-bit hash of the n-gram set and its MinHash values (none
+    without words)."""
+    count = trees * -(-DEPTH // 2)
 
     def run(batches):
-        rng = np.random.default_rng(5)
-        seeds = (rng.integers(0, 2**31, trees * depth).astype(np.uint32) * np.uint32(2) + np.uint32(1), rng.integers(0, 2**32, trees * depth).astype(np.uint32))
         import xxhash
 
+        rng = np.random.default_rng(5)
+        seeds = np.stack([rng.integers(0, 2**31, count).astype(np.uint32) * np.uint32(2) + np.uint32(1), rng.integers(0, 2**32, count).astype(np.uint32)])
         shingler = Shingler(n)
         for batch in batches:
-            first, second, keys = [], [], []
-            for text in batch.column(1).to_pylist():
+            first, second, found = [], [], []
+            for text in batch.column(2).to_pylist():
                 s = shingler(text)
                 whole = xxhash.xxh128_digest(s.tobytes())
                 first.append(int.from_bytes(whole[:8], "little", signed=True))
                 second.append(int.from_bytes(whole[8:], "little", signed=True))
-                keys.append(forest_keys(s, seeds, trees, depth) if len(s) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(first, pa.int64()), pa.array(second, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=[id_col, "c1", "c2", "keys"])
+                found.append(signature(s, seeds).tobytes() if len(s) else None)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(first, pa.int64()), pa.array(second, pa.int64()), pa.array(found, pa.binary())], names=[id_col, "version", "c1", "c2", "sig"])
 
-    return docs.select(id_col, text_col).mapInArrow(run, f"{id_col} {docs.schema[id_col].dataType.simpleString()}, c1 long, c2 long, keys array<long>")
+    return docs.select(id_col, F.xxhash64(text_col).alias("version"), text_col).mapInArrow(run, f"{id_col} {docs.schema[id_col].dataType.simpleString()}, version long, c1 long, c2 long, sig binary")
 
 
-def shared_counts(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
-    """How many n-grams each of ``a`` shares with each of ``b``: frequent n-grams by a matrix product,
-    rare ones by their lists of members."""
-    every = np.concatenate([*a, *b])
-    owner = np.concatenate([np.full(len(x), i, np.int32) for i, x in enumerate([*a, *b])])
+def shared_counts(a: list[np.ndarray], b: list[np.ndarray] | None = None) -> np.ndarray:
+    """How many n-grams each of ``a`` shares with each of ``b``, or of ``a``: frequent n-grams by a matrix product, rare
+    ones by their lists of members."""
+    sets = a if b is None else [*a, *b]
+    every = np.concatenate(sets)
+    owner = np.repeat(np.arange(len(sets)), np.fromiter(map(len, sets), np.int64, len(sets)))
     order = np.argsort(every, kind="stable")
     every, owner = every[order], owner[order]
     first = np.flatnonzero(np.concatenate([[True], every[1:] != every[:-1]]))
     size = np.diff(np.concatenate([first, [len(every)]]))
-    counts = np.zeros((len(a), len(b)), np.float32)
+    left = len(a)
+    width, off = (left, 0) if b is None else (len(b), left)
+    counts = np.zeros((left, width), np.float32)
     dense = np.flatnonzero(size >= 12)
-    for at in range(0, len(dense), 4096):
-        some = dense[at : at + 4096]
-        matrix = np.zeros((len(a) + len(b), len(some)), np.float32)
-        for k, s in enumerate(some.tolist()):
-            matrix[owner[first[s] : first[s] + size[s]], k] = 1
-        counts += matrix[: len(a)] @ matrix[len(a) :].T
-    left, right = [], []
-    for s in np.flatnonzero((size >= 2) & (size < 12)).tolist():
-        who = owner[first[s] : first[s] + size[s]]
-        x, y = who[who < len(a)], who[who >= len(a)]
-        if len(x) and len(y):
-            left.append(np.repeat(x, len(y)))
-            right.append(np.tile(y, len(x)) - len(a))
-    if left:
-        np.add.at(counts, (np.concatenate(left), np.concatenate(right)), 1)
+    for at in range(0, len(dense), 2048):
+        some = dense[at : at + 2048]
+        wide = size[some]
+        places = np.arange(wide.sum()) + np.repeat(first[some] - np.concatenate([[0], np.cumsum(wide)[:-1]]), wide)
+        matrix = np.zeros((len(sets), len(some)), np.float32)
+        matrix[owner[places], np.repeat(np.arange(len(some)), wide)] = 1
+        counts += matrix[:left] @ matrix[off:].T
+    for z in range(2, 12):
+        who = owner[first[size == z][:, None] + np.arange(z)]
+        met = [(who[:, p], who[:, q]) for p in range(z) for q in range(p + 1, z)] if len(who) else []
+        if met:
+            x, y = (np.concatenate(c) for c in zip(*met))  # owners rise within an n-gram, so x < y
+            if b is not None:
+                x, y = x[keep := (x < left) & (y >= left)], y[keep]
+            part = np.bincount(x * width + y - off, minlength=left * width).reshape(left, width)
+            counts += part if b is not None else part + part.T
     return counts
 
 
-def block_links(one: pd.DataFrame, two: pd.DataFrame, threshold: float, same: bool):
-    """(class, links) and spanning edges between two blocks, or within one, of ``class_id, copies, grams``."""
+def block_links(one: pd.DataFrame, two: pd.DataFrame | None, threshold: float, depth: int, trees: int):
+    """Links between two blocks, or within one, of ``c, copies, grams``: (classes, links) of either side, spanning edges,
+    the number of pairs and how many more that number stands for at this depth."""
     a = [np.frombuffer(x, np.uint64) for x in one["grams"]]
-    b = a if same else [np.frombuffer(x, np.uint64) for x in two["grams"]]
-    na, nb = (np.fromiter(map(len, x), np.float32, len(x)) for x in (a, b))
+    b = None if two is None else [np.frombuffer(x, np.uint64) for x in two["grams"]]
     common = shared_counts(a, b)
+    na = np.fromiter(map(len, a), np.float32, len(a))
+    nb = na if b is None else np.fromiter(map(len, b), np.float32, len(b))
     linked = (common > 0) & (common >= np.float32(threshold) * (na[:, None] + nb[None, :] - common) - 1e-3)
-    if same:
+    if b is None:
         np.fill_diagonal(linked, False)
-    ia, ib = one["class_id"].to_numpy(), two["class_id"].to_numpy()
-    links = [(ia, linked @ two["copies"].to_numpy(np.float64))]
-    if not same:
-        links.append((ib, linked.T @ one["copies"].to_numpy(np.float64)))
-    # spanning edges: label propagation within the block pair keeps one edge for each new member
-    nodes = len(a) + (0 if same else len(b))
-    root = list(range(nodes))
-
-    def find(x: int) -> int:
-        while root[x] != x:
-            root[x] = root[root[x]]
-            x = root[x]
-        return x
-
-    edges = []
-    x, y = np.nonzero(linked)
-    if len(x):
-        y = y + (0 if same else len(a))
-        keep = x < y
-        ids = ia if same else np.concatenate([ia, ib])
-        for i, j in zip(x[keep].tolist(), y[keep].tolist()):
-            p, q = find(i), find(j)
-            if p != q:
-                root[max(p, q)] = min(p, q)
-                edges.append((int(ids[i]), int(ids[j])))
-    return links, edges
-
-
-def near_duplicates(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float = 0.99999, trees: int = TREES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: ``id_col, class_id`` (smallest id with the same n-grams), ``n_links`` (other
-    documents at the threshold or above, copies included), ``component_id`` (smallest id reached by links) and
-    ``kept`` (whether it is that document)."""
-    depth = chosen_depth(threshold, recall, trees)
-    sketched = cut(sketches(docs, n, trees, depth, id_col, text_col))
-    some = sketched.where("keys is not null")
-    classes = some.groupBy("c1", "c2").agg(F.min(id_col).alias("class_id"), F.count("*").alias("copies"), F.first("keys").alias("keys"))
-    classes = cut(classes)
-    node = classes.select("class_id", F.posexplode("keys").alias("tree", "key"))
-    shared = node.groupBy("tree", "key").agg(F.min("class_id").alias("lead"), F.count("*").alias("n")).where("n > 1")
-    touching = node.join(shared, ["tree", "key"]).where("class_id <> lead").select(F.col("class_id").alias("src"), F.col("lead").alias("dst"))
+    ids = one["c"].to_numpy() if b is None else np.concatenate([one["c"].to_numpy(), two["c"].to_numpy()])
+    other = one if b is None else two
+    links = [(one["c"].to_numpy(), linked @ other["copies"].to_numpy(np.float64))]
+    if b is not None:
+        links.append((two["c"].to_numpy(), linked.T @ one["copies"].to_numpy(np.float64)))
+    x, y = np.nonzero(linked if b is not None else np.triu(linked))
+    found = chance(common[x, y].astype(np.float64) / (na[x] + nb[y] - common[x, y]), depth, trees)
+    y = y + (0 if b is None else len(a))
+    labels = np.arange(len(ids))
+    hook(labels, x, y)
+    moved = np.flatnonzero(labels != np.arange(len(ids)))
+    return links, np.stack([ids[moved], ids[labels[moved]]], axis=1), len(x), float((1 / found - 1).sum())
+
+
+def links_at(classes: DataFrame, docs: DataFrame, depth: int, n: int, threshold: float, trees: int, id_col: str, text_col: str) -> DataFrame:
+    """What is linked among candidates at this depth, in rows ``src, dst, n, more``: counts (no dst), edges, and totals of
+    pairs (no src)."""
+
+    def keyed(batches):
+        for batch in batches:
+            sig = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint32).reshape(batch.num_rows, -1)
+            keys = prefix_keys(sig, trees, depth)
+            flat = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, trees), pa.int32()), pa.array(keys.ravel(), pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), flat], names=["c", "keys"])
+
+    node = classes.select("c", "sig").mapInArrow(keyed, "c long, keys array<long>").select("c", F.explode("keys").alias("key"))
+    shared = node.groupBy("key").agg(F.min("c").alias("lead"), F.count("*").alias("n")).where("n > 1")
+    touching = node.join(shared, "key").where("c <> lead").select(F.col("c").alias("src"), F.col("lead").alias("dst"))
     candidates = components(touching)
     # members of a candidate component are numbered within parts of it, and parts make its blocks
     sizes = candidates.groupBy("component").agg(F.count("*").alias("size")).withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
-    members = candidates.join(sizes, "component").select(F.col("node").alias("class_id"), "component", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"))
-    members = members.join(classes.select("class_id", "copies"), "class_id")
-    texts = members.join(docs.select(F.col(id_col).alias("class_id"), F.col(text_col).alias("_text")).dropDuplicates(["class_id"]), "class_id")
+    members = candidates.join(sizes, "component").select(F.col("node").alias("c"), "component", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"))
+    members = members.join(classes.select("c", "copies", "least"), "c")
+    whole = docs.select(F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_version"), F.col(text_col).alias("_text"))
+    texts = members.join(whole, (F.col("least.id") == F.col("_id")) & (F.col("least.version") == F.col("_version"))).dropDuplicates(["c"])
 
     def grams(batches):
         shingler = Shingler(n)
@@ -200,29 +219,48 @@ def near_duplicates(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall:
             sets = pa.array([shingler(t).tobytes() for t in b.column(at).to_pylist()], pa.binary())
             yield pa.RecordBatch.from_arrays([b.column(i) for i in range(b.num_columns) if i != at] + [sets], names=[x for x in b.schema.names if x != "_text"] + ["grams"])
 
-    whole = cut(texts.select("component", "blocks", "block", "class_id", "copies", "_text").mapInArrow(grams, "component long, blocks int, block int, class_id long, copies long, grams binary"))
+    sets = cut(texts.select("component", "blocks", "block", "c", "copies", "_text").mapInArrow(grams, "component long, blocks int, block int, c long, copies long, grams binary"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    pairs = whole.withColumn("o", other).select("component", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"), "block", "class_id", "copies", "grams")
+    pairs = sets.withColumn("o", other).select("component", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"), "block", "c", "copies", "grams")
 
     def verify(key, rows: pd.DataFrame) -> pd.DataFrame:
         _, i, j = key
         one = rows[rows["block"] == i]
-        links, edges = block_links(one, one if i == j else rows[rows["block"] == j], threshold, i == j)
-        out = [pd.DataFrame({"src": ids, "dst": None, "n": n.astype("int64")}) for ids, n in links]
-        out.append(pd.DataFrame(edges, columns=["src", "dst"]).assign(n=0))
-        out = pd.concat([x.astype({"dst": "Int64"}) for x in out])
+        links, edges, count, more = block_links(one, None if i == j else rows[rows["block"] == j], threshold, depth, trees)
+        out = [pd.DataFrame({"src": ids, "dst": None, "n": k.astype("int64"), "more": 0.0}) for ids, k in links]
+        out.append(pd.DataFrame(edges, columns=["src", "dst"]).assign(n=0, more=0.0))
+        out.append(pd.DataFrame({"src": [None], "dst": [None], "n": [count], "more": [more]}))
+        out = pd.concat([x.astype({"src": "Int64", "dst": "Int64"}) for x in out])
         return out[(out["n"] > 0) | out["dst"].notna()]
 
-    found = cut(pairs.groupBy("component", "i", "j").applyInPandas(verify, "src long, dst long, n long"))
-    linked = found.where("dst is null").groupBy(F.col("src").alias("class_id")).agg(F.sum("n").alias("others"))
-    joined = components(found.where("dst is not null").select("src", "dst"))
-    told = classes.select("c1", "c2", "class_id", "copies").join(linked, "class_id", "left").join(joined.withColumnRenamed("node", "class_id"), "class_id", "left")
-    told = told.select("c1", "c2", "class_id", (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).alias("_links"), F.coalesce("component", "class_id").alias("_component"))
-    alone = F.col("keys").isNull()
-    rows = sketched.join(told, ["c1", "c2"], "left")
+    return cut(pairs.groupBy("component", "i", "j").applyInPandas(verify, "src long, dst long, n long, more double"))
+
+
+def near_duplicates(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float = 0.9999, trees: int = TREES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per document: ``id_col, class_id`` (smallest id with the same n-grams), ``n_links`` (other
+    documents at the threshold or above, copies included), ``component_id`` (smallest id reached by links), ``kept``
+    (whether it is that document) and ``version``, the xxhash64 of its text."""
+    sketched = cut(sketches(docs, n, trees, id_col, text_col))
+    some = sketched.where("sig is not null")
+    classes = cut(some.groupBy("c1", "c2").agg(F.min(F.struct(F.col(id_col).alias("id"), "version")).alias("least"), F.count("*").alias("copies"), F.first("sig").alias("sig")).withColumn("c", F.xxhash64("c1", "c2")))
+    depth = first_depth(threshold, trees=trees)
+    while True:
+        found = links_at(classes, docs, depth, n, threshold, trees, id_col, text_col)
+        total = found.where("src is null").agg(F.sum("n").alias("n"), F.sum("more").alias("more")).first()
+        if depth == 1 or (total["n"] or 0) >= recall * ((total["n"] or 0) + (total["more"] or 0)):
+            break
+        depth -= 1
+    linked = found.where("src is not null and dst is null").groupBy(F.col("src").alias("c")).agg(F.sum("n").alias("others"))
+    joined = components(found.where("dst is not null").select("src", "dst")).withColumnRenamed("node", "c")
+    told = classes.select("c1", "c2", "c", "least", "copies").join(linked, "c", "left").join(joined, "c", "left")
+    told = cut(told.select("c1", "c2", F.col("least.id").alias("_class"), (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).alias("_links"), F.coalesce("component", "c").alias("_component")))
+    named = told.groupBy("_component").agg(F.min("_class").alias("_stays"))
+    rows = sketched.join(told.join(named, "_component"), ["c1", "c2"], "left")
+    alone = F.col("sig").isNull()
     return rows.select(
         id_col,
-        F.when(alone, F.col(id_col)).otherwise(F.col("class_id")).alias("class_id"),
+        F.when(alone, F.col(id_col)).otherwise(F.col("_class")).alias("class_id"),
         F.when(alone, F.lit(0)).otherwise(F.col("_links")).cast("long").alias("n_links"),
-        F.when(alone, F.col(id_col)).otherwise(F.col("_component")).alias("component_id"),
-    ).withColumn("kept", F.col(id_col) == F.col("component_id"))
+        F.when(alone, F.col(id_col)).otherwise(F.col("_stays")).alias("component_id"),
+        "version",
+    ).select(id_col, "class_id", "n_links", "component_id", (F.col(id_col) == F.col("component_id")).alias("kept"), "version")
