@@ -1,14 +1,16 @@
 """Exact top-k by integer inner product with the threshold algorithm.
 
 Candidates are dealt into blocks and queries into blocks; a task takes one block of each. It sorts the
-candidates' components into one list per dimension and reads the lists of each query from their best end, a
-stretch at a time. A candidate met in any list gets its whole score at once; the sum over dimensions of what the
-next entries could still add bounds every candidate not met yet. The task stops when that bound is below
-the k-th score found. The blocks' best k are then merged by rank.
+candidates' components into one list per dimension, and their lengths into one more, and reads the lists of each query
+from their best end, a stretch at a time: first the half of the lists in which the bound drops most. A candidate met in
+any list gets its whole score at once. Candidates not met yet have no better component than the next entry of each list
+and are no longer than the next entry of the lengths; the best score that such a vector could have bounds them all. The
+task stops when that bound is below the k-th score found, or when every candidate has been met. The blocks' best k are
+then merged by rank.
 
 Edge cases: vectors that are null, or hold a null or non-finite component, take no part; vectors of different
 lengths score over the components both have; ties go to the smaller id; repeated vectors are candidates like
-others, and only a query's own id is left out; fewer than k candidates give fewer rows.
+others, and only a query's own id is left out; fewer than k candidates give fewer rows; an empty vector scores 0.
 """
 
 from __future__ import annotations
@@ -19,9 +21,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Vectors in a block of candidates and of queries, on average.
-CANDIDATES, QUERIES = 8192, 1024
-#: Entries read from each list between two looks at the bound.
-STRETCH = 24
+CANDIDATES, QUERIES = 4096, 8192
+#: Entries first read from a list; each time it is read again, as many as before in all.
+STRETCH = 64
 
 
 def whole(vectors: DataFrame, vector_col: str) -> DataFrame:
@@ -30,50 +32,83 @@ def whole(vectors: DataFrame, vector_col: str) -> DataFrame:
     return vectors.where(v.isNotNull() & ~bad)
 
 
-def block_best(queries: np.ndarray, query_ids: np.ndarray, items: np.ndarray, ids: np.ndarray, k: int) -> list[tuple[int, int, int]]:
-    """(query, item, score) of each query's k best among the block's items by the threshold algorithm."""
-    order = np.argsort(items, axis=0, kind="stable")  # per dimension, rising
-    n, dims = items.shape
-    columns = np.take_along_axis(items, order, axis=0)
-    out = []
-    for q, own in zip(queries, query_ids.tolist()):
-        positive = q >= 0
-        active = np.flatnonzero(q)
-        met = np.zeros(n, bool)
-        scores = np.zeros(n, np.int64)
-        depth, fill = 0, 0
-        while True:
-            step = slice(depth, min(n, depth + STRETCH))
-            down = slice(max(0, n - step.stop), n - depth)
-            rows = np.concatenate([order[down][:, active[positive[active]]].ravel(), order[step][:, active[~positive[active]]].ravel()]) if len(active) else np.arange(n)
-            rows = np.unique(rows)
-            rows = rows[~met[rows]]
-            met[rows] = True
-            scores[rows] = items[rows] @ q
-            depth = step.stop
-            fill += len(rows)
-            if fill >= n or depth >= n:
-                break
+def best_left(weights: np.ndarray, ceilings: np.ndarray, length: float) -> float:
+    """Largest inner product with ``weights`` (all positive) of a vector that is nowhere above ``ceilings`` and not longer
+    than ``length``: the ceilings where they are low for their weight, elsewhere in proportion to the weights."""
+    low = ceilings <= 0
+    score, energy = float(weights[low] @ ceilings[low]), length * length - float(ceilings[low] @ ceilings[low])
+    if energy < 0:
+        return -np.inf
+    w, t = weights[~low], ceilings[~low]
+    order = np.argsort(t / w)
+    w, t = w[order], t[order]
+    used = np.concatenate([[0.0], np.cumsum(t * t)])
+    rest = np.concatenate([np.cumsum((w * w)[::-1])[::-1], [0.0]])
+    # with the first i at their ceilings, the others may go up to the i-th ceiling's share of their weights
+    needed = used[:-1] + (t / w) ** 2 * rest[:-1]
+    i = int(np.searchsorted(needed, energy, side="right"))
+    return score + float(w[:i] @ t[:i]) + float(np.sqrt(max(0.0, energy - used[i]) * rest[i]))
+
+
+class Lists:
+    """The sorted lists of a block of candidates."""
+
+    def __init__(self, items: np.ndarray, ids: np.ndarray):
+        # whole numbers below 2**53 have exact sums and products in double precision, where products are faster
+        small = np.abs(items.astype(np.float64)).max(initial=0) < 2**26
+        self.items, self.ids, self.small = items.astype(np.float64) if small else items, ids, small
+        self.order = np.argsort(items, axis=0, kind="stable")  # per dimension, rising
+        self.values = np.take_along_axis(items, self.order, axis=0)
+        lengths = np.sqrt((items.astype(np.float64) ** 2).sum(axis=1))
+        self.by_length = np.argsort(-lengths, kind="stable")
+        self.lengths = lengths[self.by_length]
+
+    def best(self, query: np.ndarray, own: int, k: int) -> tuple[list[tuple[int, int]], int]:
+        """``(id, score)`` of the query's k best, and how many candidates were met."""
+        items, ids, n = self.items, self.ids, len(self.items)
+        if self.small and np.abs(query).max(initial=0) < 2**26 / max(1, len(query)):
+            query = query.astype(np.float64)
+        elif self.small:
+            items = items.astype(np.int64)
+        dims = np.flatnonzero(query)
+        q = query[dims]
+        weights = np.abs(q).astype(np.float64)
+        depth = np.zeros(len(dims) + 1, np.int64)  # of each list, and of the lengths
+        met, scores, count, kth = np.zeros(n, bool), np.zeros(n, np.int64), 0, -np.inf
+
+        def entry(at: np.ndarray) -> np.ndarray:
+            """What the lists have at these depths, with the sign of the query's component."""
+            at = np.minimum(at, n - 1)
+            return np.where(q > 0, self.values[n - 1 - at, dims], -self.values[at, dims]).astype(np.float64)
+
+        while count < n:
+            step = np.maximum(STRETCH, depth)
+            here = entry(depth[:-1])
+            drop = weights * (here - entry(depth[:-1] + step[:-1]))
+            chosen = np.argsort(-drop, kind="stable")[: (len(dims) + 1) // 2]
+            rows = [self.order[n - depth[d] - step[d] if depth[d] + step[d] < n else 0 : n - depth[d], dims[d]] if q[d] > 0 else self.order[depth[d] : depth[d] + step[d], dims[d]] for d in chosen.tolist()]
+            rows.append(self.by_length[depth[-1] : depth[-1] + step[-1]])
+            depth[chosen] += step[chosen]
+            depth[-1] += step[-1]
+            fresh = np.zeros(n, bool)
+            fresh[np.concatenate(rows)] = True
+            fresh = np.flatnonzero(fresh & ~met)
+            met[fresh] = True
+            count += len(fresh)
+            scores[fresh] = items[fresh] @ query
             found = np.flatnonzero(met)
             found = found[ids[found] != own]
             if len(found) >= k:
                 kth = np.partition(scores[found], len(found) - k)[len(found) - k]
-                bound = int((q[active] * np.where(positive[active], columns[n - 1 - depth, active], columns[depth, active])).sum())
-                if bound < kth:
-                    break
-            if fill > n // 2:  # most are met: the rest is read in one go
-                rows = np.flatnonzero(~met)
-                met[rows] = True
-                scores[rows] = items[rows] @ q
+            if (depth >= n).any():
+                break  # a list read to its end has met them all
+            if best_left(weights, entry(depth[:-1]), float(self.lengths[depth[-1]])) < kth - 1e-6 * (1 + abs(kth)):
                 break
-        found = np.flatnonzero(met)
-        found = found[ids[found] != own]
+        found = np.flatnonzero(met & (ids != own))
         if len(found) > k:  # all that reach the k-th score, so that ties are settled by id
-            kth = np.partition(scores[found], len(found) - k)[len(found) - k]
-            found = found[scores[found] >= kth]
+            found = found[scores[found] >= np.partition(scores[found], len(found) - k)[len(found) - k]]
         found = found[np.lexsort((ids[found], -scores[found]))][:k]
-        out += [(own, int(ids[i]), int(scores[i])) for i in found]
-    return out
+        return [(int(ids[i]), int(scores[i])) for i in found], count
 
 
 def top_k(queries: DataFrame, candidates: DataFrame, k: int = 5, scale: int = 256, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -92,7 +127,8 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int = 5, scale: int = 25
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype("int64")
         dims = max(max(map(len, left["v"])), max(map(len, right["v"])))
         square = lambda vs: np.stack([np.pad(np.asarray(v, np.int64), (0, dims - len(v))) for v in vs])
-        best = block_best(square(left["v"]), left["id"].to_numpy(), square(right["v"]), right["id"].to_numpy(), k)
+        lists = Lists(square(right["v"]), right["id"].to_numpy())
+        best = [(own, *found) for own, q in zip(left["id"].tolist(), square(left["v"])) for found in lists.best(q, own, k)[0]]
         return pd.DataFrame(best, columns=["query_id", "vec_id", "score"]).astype("int64")
 
     found = q.groupBy("qb", "cb").cogroup(c.groupBy("qb", "cb")).applyInPandas(run, "query_id long, vec_id long, score long")
