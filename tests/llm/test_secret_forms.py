@@ -36,3 +36,24 @@ def test_names_that_stand_for_each_other_end():
 def test_the_latest_constant_before_counts():
     text = f'A = "{VALUE}"\nA = "short"\nsecret_key = A'
     assert secret_scan.lexed_spans(text) == []
+
+
+def lexed(text):
+    return [text[s.start : s.end] for s in secret_scan.lexed_spans(text)]
+
+
+def test_parts_blocks_elements_and_comparisons():
+    assert lexed('secret_key = "Zx9$kLm2" + "!pQrT71"') == ['Zx9$kLm2" + "!pQrT71']
+    assert lexed('if DB == x:\n  DB = "Zx9$kLm2!pQr71"\nmy_secret = DB') == ["Zx9$kLm2!pQr71"]
+    assert lexed("<password>Zx9$kLm2!pQr</password>") == ["Zx9$kLm2!pQr"]
+    assert lexed("api_secret: |\n  Zx9$kLm2!pQr\n  aB3$\nother: 1") == ["Zx9$kLm2!pQr\n  aB3$"]
+    assert lexed("url = http://h?db_password=Zx9$kLm2!pQr&x=1") == ["Zx9$kLm2!pQr"]
+
+
+def test_time_is_linear_in_a_long_text():
+    import time
+
+    for unit in ("a=b&", "a=a=", "a::a", 'a="a='):
+        began = time.perf_counter()
+        secret_scan.all_spans(unit * 50_000)
+        assert time.perf_counter() - began < 30

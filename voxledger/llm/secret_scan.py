@@ -1,8 +1,8 @@
 """Secret scan by assignment-aware lexing.
 
-A text is read as source or configuration: at every assignment sign (``=``, ``:=``, ``=>``, ``:``) the lexer
-takes the name before it, across a type if one is declared, and the literal (on one line or several) or the
-other name after it. Names are then followed to the literals that they stand for: the latest definition before
+A text is read as source or configuration: at every assignment sign (``=``, ``:=``, ``=>``, ``:``; comparisons are
+none) the lexer takes the name before it, across a type if one is declared, and the literal after it (on one line or
+several, put together with plus signs, or an indented block) or the other name; an element's text goes by its name. Names are then followed to the literals that they stand for: the latest definition before
 the place, or else the first after it. A literal is scored by how sensitive its
 target's name is and by how random it looks; those above the threshold are ``lexed`` spans. The
 fixed base patterns (assignments to password-like names, cloud access ids, long hexadecimal strings)
@@ -30,7 +30,8 @@ KINDS = ("assign", "access", "hex", "lexed")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
-SIGN = re.compile(r":=|=>|[=:]")
+#: Assignment signs; comparisons are none.
+SIGN = re.compile(r":=|=>|(?<![=!<>])=(?![=>~])|:")
 NAME = re.compile(r"[A-Za-z_$][\w$.\-]*", re.A)
 ONE_TYPE = r"(?:[&*?]|\[\d*\]|'static[ \t]+)*[A-Za-z_][\w.]*(?:::[\w.]+)*(?:\[[^\[\]\n=]*(?:\[[^\[\]\n=]*\][^\[\]\n=]*)*\]|<[^<>\n=]*(?:<[^<>\n=]*>[^<>\n=]*)*>)*+[?!]?"
 TYPE = rf"{ONE_TYPE}(?:[ \t]*[|&][ \t]*{ONE_TYPE})*"
@@ -38,10 +39,16 @@ TYPE = rf"{ONE_TYPE}(?:[ \t]*[|&][ \t]*{ONE_TYPE})*"
 TYPED = re.compile(rf"[ \t]*{TYPE}[ \t]*=(?![=>])", re.A)
 DECLARED = re.compile(rf"\b(?:var|const|let|static|val)[ \t]+([A-Za-z_$][\w$]*)[ \t]+{TYPE}[ \t]*=(?![=>])", re.A)
 LITERAL = re.compile(
-    r"""[ \t]*(?:(?:\\\r?\n[ \t]*|\(\s*)?(?:[rRbBuUfF]{1,2}(?=["']))?(?:\"{3}((?:[^\\]|\\.)*?)\"{3}|'{3}((?:[^\\]|\\.)*?)'{3}|"((?:[^"\\\n]|\\.)*)"|'((?:[^'\\\n]|\\.)*)'|`([^`]*)`)|([^\s"'`,;(){}\[\]<>]+))""",
+    r"""[ \t]*(?:(?:\\\r?\n[ \t]*|\(\s*)?(?:[rRbBuUfF]{1,2}(?=["']))?(?:\"{3}((?:[^\\]|\\.)*?)\"{3}|'{3}((?:[^\\]|\\.)*?)'{3}|"((?:[^"\\\n]|\\.)*)"|'((?:[^'\\\n]|\\.)*)'|`([^`]*)`)|([^\s"'`,;(){}\[\]<>&?]+))""",
     re.S,
 )
 BARE = 6
+#: A further part of a literal that is put together with plus signs; a block under a name; an element with text.
+PART = re.compile(r"""["'`][ \t]*\\?\n?[ \t]*\+[ \t]*\n?[ \t]*(?:"([^"\\\n]*)"|'([^'\\\n]*)'|`([^`]*)`)""")
+BLOCK = re.compile(r"[ \t]*[|>][+-]?\d?[ \t]*\n((?:[ \t]+[^\n]*\n?)+)")
+ELEMENT = re.compile(r"<([A-Za-z_][\w.\-]*)(?:[ \t][^<>\n]*)?>([^<>]+)</\1")
+#: Characters that a type, or a literal inside another bare literal, may have: so the scan takes linear time.
+TYPE_LENGTH, NESTED_LENGTH = 128, 1024
 SENSITIVE = {"password": 3.0, "passwd": 3.0, "pwd": 2.5, "pass": 2.0, "passphrase": 3.0, "secret": 3.0, "token": 2.5, "apikey": 3.0, "key": 1.2, "credential": 2.5, "auth": 1.5, "private": 1.5, "access": 1.0, "signature": 1.5, "salt": 1.5, "bearer": 2.5}
 HARMLESS = {"public": 2.0, "example": 2.0, "test": 0.5, "primary": 1.5, "foreign": 1.5, "path": 1.0, "url": 1.0, "name": 1.0, "length": 1.5, "count": 1.5, "type": 1.0}
 PLACEHOLDER = re.compile(r"(?i)^(?:x+|\*+|\.+|none|null|true|false|undefined|changeme|your[-_ ]?\w*|example\w*|\$\{?.*|<.*|%.*|\{\{.*)$")
@@ -85,26 +92,42 @@ def literal_score(value: str) -> float:
 
 def lexed_spans(text: str, threshold: float = 4.0) -> list[Span]:
     """Literals whose target, directly or through constants, is named like a secret."""
-    if "=" not in text and ":" not in text:
+    if "=" not in text and ":" not in text and "</" not in text:
         return []
     ends = {m.end(): m[0] for m in NAME.finditer(text)}
     declared = {m.end() - 1: m[1] for m in DECLARED.finditer(text)}
-    found: list[tuple[set[str], str, int, int, bool]] = []
+    found: list[tuple[set[str], str, int, int, bool]] = [({m[1]}, m[2].strip(), *trimmed(text, m.start(2), m.end(2)), False) for m in ELEMENT.finditer(text)] if "</" in text else []
+    covered = 0
     for sign in SIGN.finditer(text):
         at = sign.start()
         name = name_before(text, at, ends)
-        if name is not None and sign[0] == ":" and (typed := TYPED.match(text, sign.end())):
+        if name is not None and sign[0] == ":" and (typed := TYPED.match(text, sign.end(), sign.end() + TYPE_LENGTH)):
             declared[typed.end() - 1] = name
         names = {x for x in (name, declared.get(at)) if x is not None}
-        if not names or (literal := LITERAL.match(text, sign.end())) is None:
+        if not names:
+            continue
+        if sign[0] == ":" and (block := BLOCK.match(text, sign.end())):
+            start, end = trimmed(text, block.start(1), block.end(1))
+            found.append((names, text[start:end], start, end, False))
+            continue
+        literal = LITERAL.match(text, sign.end(), len(text) if at >= covered else sign.end() + NESTED_LENGTH)
+        if literal is None:
             continue
         which = literal.lastindex
         value, start, end = literal[which], literal.start(which), literal.end(which)
         if which == BARE:
+            covered = max(covered, end)
             value = value.rstrip(".:")
             end = start + len(value)
+        else:
+            parts = [value]
+            while part := PART.match(text, end):
+                parts.append(part[part.lastindex])
+                end = part.end(part.lastindex)
+            value = "".join(parts)
         if value:
             found.append((names, value, start, end, which == BARE))
+    found.sort(key=lambda x: x[2])
     out: dict[tuple[int, int], Span] = {}
     for (names, *_), (value, start, end) in zip(found, resolved(found)):
         if (sensitive := max(map(name_score, names))) > 0.9 and sensitive + literal_score(value) >= threshold:
@@ -112,6 +135,12 @@ def lexed_spans(text: str, threshold: float = 4.0) -> list[Span]:
     return list(out.values())
 
 
+def trimmed(text: str, start: int, end: int) -> tuple[int, int]:
+    """The place without white space at its ends."""
+    part = text[start:end]
+    return start + len(part) - len(part.lstrip()), end - len(part) + len(part.rstrip())
+
+
 def name_before(text: str, at: int, ends: dict[int, str]) -> str | None:
     """The name that ends before ``at``, but for blanks and one closing mark."""
     while at and text[at - 1] in " \t":
