@@ -48,8 +48,9 @@ def statistics(text: str | None) -> list[float]:
 
 
 def with_statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """``docs`` with its texts replaced by ``stats array<double>``: a narrow map."""
-    keep = [c for c in docs.columns if c != text_col]
+    """``docs`` with its texts, and a column of that name if there is one, replaced by ``stats array<double>``: a narrow
+    map."""
+    keep = [c for c in docs.columns if c not in (text_col, "stats")]
 
     def run(batches):
         for batch in batches:

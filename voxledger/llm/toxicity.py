@@ -1,18 +1,19 @@
 """Toxicity: a learned lexicon held as a trie, met by Levenshtein automata, weighed by context.
 
-Learning. On a bounded sample of labelled documents the words and word beginnings are counted by the
+Learning. On a bounded sample of labelled documents the words and the beginnings of their forms are counted by the
 documents that have them; those much commoner in toxic documents become terms with their log-odds as
 weight. A logistic regression on the sample then sets how far exact hits, misspelled hits and hits inside a
 quotation each count.
 
 Scoring. Each distinct word of a text is run as a Levenshtein automaton through the trie of terms: a
-term is met by a word that starts with it, or that is it but for one edit (two from nine letters on). Terms
-are cut into pieces of which one must be left whole by so few edits, so most words never start the
-automaton. Each place of a hit is looked at in a window: between quotation marks it counts as
+term is met by a word that starts with it and has at most REST letters more, or whose beginning is the term but for one
+edit (two from nine letters on). A term of three to five letters is met with an edit only by a word in which a digit or
+sign stands among the letters. Terms are cut into pieces of which one must be left whole by so few edits, so most words
+never start the automaton. Each place of a hit is looked at in a window: between quotation marks it counts as
 quoted.
 
 Edge cases: null and empty texts have no hits and get the score of a text without any; repeated labels
-of a document count once; without toxic labels every score is 0; ties in the sample go by hash, then id.
+of a document count once; without toxic labels, or without their documents, every score is 0; ties in the sample go by hash, then id.
 """
 
 from __future__ import annotations
@@ -25,17 +26,26 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-WORD = re.compile(r"[^\W\d_]+")
+#: Letters and digits, with signs that stand for letters among them.
+WORD = re.compile(r"[^\W_]+(?:[*@$!#]+[^\W_]+)*")
 QUOTES = re.compile("[\"“”„«»‹›]")
 CACHE_ENTRIES = 300_000
 #: Characters on either side of a hit that its context is read from.
 WINDOW = 60
-SHORTEST, LONGEST = 4, 10
+#: Letters of a term at least, of a word's beginning that is a term at least, and letters that may follow a term.
+SHORTEST, STEM, REST = 3, 4, 4
 
 
-def edits(length: int) -> int:
+def edits(length: int, disguised: bool = False) -> int:
     """Edits that a misspelled term of this length may have."""
-    return 0 if length < 6 else 1 if length < 9 else 2
+    return int(disguised) if length < 6 else 1 if length < 9 else 2
+
+
+def terms_of(word: str) -> list[str]:
+    """The terms that a word may be met by: itself, and its beginnings that leave at most REST letters."""
+    if not word.isalpha() or len(word) < SHORTEST:
+        return []
+    return [word[:n] for n in range(max(STEM, len(word) - REST), len(word))] + [word]
 
 
 class Automaton:
@@ -84,10 +94,13 @@ class Lexicon:
             for c in word:
                 if (node := node.get(c)) is None:
                     break
-                if "" in node and (found is None or self.weights[node[""]] > found[0]):
-                    found = (self.weights[node[""]], 0)
-        if found is None and 5 <= len(word) <= 40 and self.near(word):
-            found = self.intersect(word)
+                if (term := node.get("")) is not None and len(word) - len(term) <= REST and (found is None or self.weights[term] > found[0]):
+                    found = (self.weights[term], 0)
+        if found is None:
+            letters = sum(map(str.isalpha, word))
+            disguised = letters < len(word)
+            if (SHORTEST <= letters and 3 * letters >= 2 * len(word) and len(word) <= 40) if disguised else (len(word) >= 5 and self.near(word)):
+                found = self.intersect(word, disguised)
         if len(self.cache) < CACHE_ENTRIES:
             self.cache[word] = found
         return found
@@ -99,16 +112,17 @@ class Lexicon:
                     return True
         return False
 
-    def intersect(self, word: str) -> tuple[float, int] | None:
-        """Walk the trie for as long as the word's automaton can still accept."""
+    def intersect(self, word: str, disguised: bool = False) -> tuple[float, int] | None:
+        """Walk the trie for as long as the word's automaton can still accept; it accepts in any state in which at most
+        REST letters of the word are left."""
         automaton, best = Automaton(word, 2), None
         todo = [(self.trie, automaton.start())]
         while todo:
             node, state = todo.pop()
             for c, child in node.items():
                 if c == "":
-                    d = state[-1]
-                    if 0 < d <= edits(len(child)) and (best is None or (d, -self.weights[child]) < (best[1], -best[0])):
+                    d = min(state[-1 - REST :])
+                    if 0 < d <= edits(len(child), disguised) and (best is None or (d, -self.weights[child]) < (best[1], -best[0])):
                         best = (self.weights[child], d)
                 elif min(after := automaton.step(state, c)) <= automaton.k:
                     todo.append((child, after))
@@ -169,7 +183,7 @@ def term_counts(rows: DataFrame) -> DataFrame:
             pos, neg = Counter(), Counter()
             for text, y in zip(b["text"], b["y"]):
                 words = set(WORD.findall((text or "").lower()))
-                terms = {w[:n] for w in words for n in range(SHORTEST, min(LONGEST, len(w)) + 1)}
+                terms = {t for w in words for t in terms_of(w)}
                 (pos if y else neg).update(terms)
             terms = list({**pos, **neg})
             yield pd.DataFrame({"term": terms, "pos": [pos[t] for t in terms], "neg": [neg[t] for t in terms]})
@@ -181,8 +195,8 @@ def terms_met(text: str, terms: set[str]) -> dict[str, str]:
     """The given terms that words of the text start with, each with the neighbours of its first word."""
     words, out = WORD.findall(text.lower()), {}
     for i, w in enumerate(words):
-        for n in range(SHORTEST, min(LONGEST, len(w)) + 1):
-            if (t := w[:n]) in terms and t not in out:
+        for t in terms_of(w):
+            if t in terms and t not in out:
                 out[t] = " ".join(words[max(0, i - 1) : i] + words[i + 1 : i + 2])
     return out
 
@@ -218,7 +232,7 @@ def choose_terms(documents: list[tuple[int, dict[str, str]]], odds: dict[str, fl
         covered.update(won)
         done = {i for i in won if covered[i] >= times}
         # what a chosen beginning starts is met by it already
-        having = {t: rest for t, have in having.items() if not t.startswith(best) and (rest := have - done)}
+        having = {t: rest for t, have in having.items() if not (t.startswith(best) and len(t) - len(best) <= REST) and (rest := have - done)}
     return out
 
 
@@ -254,6 +268,8 @@ def learn(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", each: in
             yield pd.DataFrame({"x": [hit_features(t, lexicon) for t in b["text"]], "y": b["y"].astype(float)})
 
     seen = rows.select("text", "y").mapInPandas(features, "x array<double>, y double").toPandas()
+    if not len(seen):
+        return Model({}, [-35.0, 0, 0, 0, 0, 0])
     x, y = np.hstack([np.ones((len(seen), 1)), np.stack(seen["x"].to_numpy())]), seen["y"].to_numpy()
     beta = np.zeros(x.shape[1])
     damp = 0.05 * np.eye(len(beta))
