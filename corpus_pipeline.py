@@ -27,15 +27,17 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates: the one with the smallest id."""
-    gone = ngram_join.near_duplicates(docs).where("not kept").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    gone = ngram_join.near_duplicates(docs).where("not kept").select(F.col("doc_id").alias("id"), F.col("version").alias("hash")).distinct()
+    same = (docs["doc_id"] == gone["id"]) & (F.xxhash64(docs["text"]) == gone["hash"])
+    return docs.join(gone, same, "left_anti").select(*docs.columns)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose secrets are replaced by a mark."""
-    out = secret_scan.redact(docs.withColumn("_before", F.col("text")))
+    before = "_".join(["before", *docs.columns])  # a name that no column has
+    out = secret_scan.redact(docs.withColumn(before, F.col("text")))
     if "n_chars" in docs.columns:
-        changed = ~F.col("text").eqNullSafe(F.col("_before"))
+        changed = ~F.col("text").eqNullSafe(F.col(before))
         out = out.withColumn("n_chars", F.when(changed, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return out.select(*docs.columns)
 
