@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+import unicodedata
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -9,8 +12,17 @@ from pyspark.sql.types import StringType
 
 # Words without content, degree words, contractions in order, idioms that mean "works well",
 # suffixes in order, and product-name endings.
-STOPWORDS = "a an the it its is are was were be been i my me we our you your this that these they them those she he her him his hers us to of for and or in on at with so very really just have has had do does did not will would gonna going am s re ll ve get gets got item items product products thing things stuff one ones also too as what".split()
-INTENSIFIERS = "very really so quite extremely pretty super surprisingly truly incredibly absolutely totally definitely certainly".split()
+STOPWORDS = [
+    "a", "an", "the", "it", "its", "is", "are", "was", "were", "be", "been", "i", "my", "me", "we", "our", "you",
+    "your", "this", "that", "these", "they", "them", "those", "she", "he", "her", "him", "his", "hers", "us", "to",
+    "of", "for", "and", "or", "in", "on", "at", "with", "so", "very", "really", "just", "have", "has", "had", "do",
+    "does", "did", "not", "will", "would", "gonna", "going", "am", "s", "re", "ll", "ve", "get", "gets", "got",
+    "item", "items", "product", "products", "thing", "things", "stuff", "one", "ones", "also", "too", "as", "what",
+]
+INTENSIFIERS = [
+    "very", "really", "so", "quite", "extremely", "pretty", "super", "surprisingly", "truly", "incredibly",
+    "absolutely", "totally", "definitely", "certainly",
+]
 CONTRACTIONS = [("’", "'"), ("n't", " not"), ("'re", " are"), ("'ll", " will"), ("'ve", " have"), ("'m", " am"), ("'d", " would")]
 IDIOMS = [
     (r"\b(do|does|did|doing|done|doin) the (trick|job)\b", "works well"),
@@ -23,16 +35,25 @@ SUFFIXES = ["ing", "edly", "ied", "ies", "ed", "ly", "es", "s"]
 PRODUCT_ENDING = r"(?i)(?:[ _]+\+?[ _]*(?:pp?ositive|negative)\b)+$"
 
 
-def normalize_ascii(text: Column) -> Column:
-    """Lower case, other than word characters to blanks, blanks collapsed. Exact for ASCII texts."""
-    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(text), r"[^\w\s]", " "), r"\s+", " "))
+def _accented() -> dict[str, str]:
+    """Small Latin letters that decompose into an ASCII letter and one mark, with that letter."""
+    parts = {chr(c): unicodedata.normalize("NFKD", chr(c)) for c in range(0xC0, 0x180)}
+    return {c: p[0] for c, p in parts.items() if len(p) == 2 and p[0].islower() and p[0].isascii() and unicodedata.combining(p[1])}
+
+
+ACCENTED = _accented()
+#: Texts of these characters are normalised by built-in functions.
+PLAIN = rf"^[\x00-\x7F{''.join(ACCENTED)}{''.join(c.upper() for c in ACCENTED if len(c.upper()) == 1)}ß¿¡«»‘’“”–—•€°]*$"
+
+
+def _normalize_plain(text: Column) -> Column:
+    spaced = F.regexp_replace(F.replace(F.lower(text), F.lit("ß"), F.lit("ss")), f"([{''.join(ACCENTED)}])", "$1 ")
+    bare = F.translate(spaced, "".join(ACCENTED), "".join(ACCENTED.values()))
+    return F.trim(F.regexp_replace(F.regexp_replace(bare, r"[^\w\s]", " "), r"\s+", " "))
 
 
 @F.pandas_udf(StringType())
 def _normalize_unicode(text: pd.Series) -> pd.Series:
-    import re
-    import unicodedata
-
     def one(t):
         t = unicodedata.normalize("NFKD", t).casefold()
         return re.sub(r"\s+", " ", re.sub(r"[^\w\s]", " ", t)).strip()
@@ -41,28 +62,30 @@ def _normalize_unicode(text: pd.Series) -> pd.Series:
 
 
 def normalize(text: Column) -> Column:
-    """Compatibility decomposition and case folding first; combining marks become blanks. Built-in where the text is
-    ASCII; Spark has no decomposition, so other texts go through an Arrow function."""
-    return F.when(text.rlike(r"^[\x00-\x7F]*$"), normalize_ascii(text)).otherwise(_normalize_unicode(text))
+    """Compatibility decomposition, case folding, other than word characters to blanks, blanks collapsed; the marks of
+    accented letters become blanks. Built-in for ASCII and accented Latin letters; Spark has no decomposition, so other
+    texts alone go to an Arrow function."""
+    plain = text.rlike(PLAIN)
+    return F.when(plain, _normalize_plain(text)).otherwise(_normalize_unicode(F.when(~plain, text)))
 
 
-def prepare(text: Column) -> Column:
-    """Normalised text with contractions written out and idioms replaced (ASCII)."""
+def _contracted(text: Column) -> Column:
     out = F.lower(text)
     for short, long in CONTRACTIONS:
         out = F.replace(out, F.lit(short), F.lit(long))
-    out = normalize_ascii(out)
+    return normalize(out)
+
+
+def prepare(text: Column) -> Column:
+    """Normalised text with contractions written out and idioms replaced."""
+    out = _contracted(text)
     for pattern, words in IDIOMS:
         out = F.regexp_replace(out, pattern, words)
     return out
 
 
 def idiom_fired(text: Column) -> Column:
-    out = F.lower(text)
-    for short, long in CONTRACTIONS:
-        out = F.replace(out, F.lit(short), F.lit(long))
-    plain = normalize_ascii(out)
-    found = F.lit(False)
+    plain, found = _contracted(text), F.lit(False)
     for pattern, _ in IDIOMS:
         found = found | plain.rlike(pattern)
     return found

@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from voxledger.functions.text import normalize_ascii
+from voxledger.functions.text import normalize
+from voxledger.operators.lineage import placed
 
 
 def counted(votes: DataFrame) -> DataFrame:
@@ -69,8 +70,11 @@ def two_level(groups: DataFrame, canonicals: DataFrame, votes: DataFrame) -> Dat
     """Rows by group and product with subtotals and the places of group, product and row."""
     cells = counted(votes).where("votes > 0").join(canonicals.select("canonical_id", "group_id", "text", "ord"), "canonical_id").join(groups.select("group_id", "category", "name"), "group_id")
     out = cells.withColumn("subtotal", F.sum("votes").over(Window.partitionBy("group_id", "product"))).withColumn("group_total", F.sum("votes").over(Window.partitionBy("group_id")))
+    # groups are ranked among themselves, so a category's cells are in no one task
+    totals_ = cells.groupBy("category", "group_id", "name").agg(F.sum("votes").alias("group_total")).select("category", "group_total", "name").distinct()
+    places = placed(totals_, ("category",), [F.desc("group_total"), F.col("name")], "group_place")
+    out = out.join(places, ["category", "group_total", "name"])
     ranks = {
-        "group_place": F.dense_rank().over(Window.partitionBy("category").orderBy(F.desc("group_total"), "name")),
         "product_place": F.dense_rank().over(Window.partitionBy("group_id").orderBy(F.desc("subtotal"), "product")),
         "row_place": F.row_number().over(Window.partitionBy("group_id", "product").orderBy(F.desc("votes"), "ord")),
     }
@@ -95,7 +99,7 @@ def wish_report(canonicals: DataFrame, votes: DataFrame, sample: int = 2) -> Dat
 def search(canonicals: DataFrame, votes: DataFrame, query: str) -> DataFrame:
     """Rows whose normalised text contains the query's, with their totals."""
     total = counted(votes).groupBy("canonical_id").agg(F.sum("votes").alias("votes"))
-    return canonicals.where(F.contains(normalize_ascii(F.col("text")), normalize_ascii(F.lit(query)))).join(total, "canonical_id", "left").select("canonical_id", "text", F.coalesce("votes", F.lit(0)).alias("votes"))
+    return canonicals.where(F.contains(normalize(F.col("text")), normalize(F.lit(query)))).join(total, "canonical_id", "left").select("canonical_id", "text", F.coalesce("votes", F.lit(0)).alias("votes"))
 
 
 def product_view(canonicals: DataFrame, votes: DataFrame, product: str, least: int) -> DataFrame:
@@ -122,9 +126,9 @@ def context(groups: DataFrame, canonicals: DataFrame, votes: DataFrame, most: in
 def variant_counts(canonicals: DataFrame, votes: DataFrame, phrases: DataFrame) -> DataFrame:
     """Distinct raw quotes of each row and product with the phrases that said them, whether a quote is the row's own
     text, and whether the phrases fall short of the votes."""
-    said = phrases.groupBy("product", normalize_ascii(F.col("quote")).alias("norm")).agg(F.count("*").alias("n"))
-    quotes = votes.select("canonical_id", "product", normalize_ascii(F.col("quote")).alias("norm")).distinct()
-    rows = quotes.join(said, ["product", "norm"], "left").join(canonicals.select("canonical_id", normalize_ascii(F.col("text")).alias("own")), "canonical_id")
+    said = phrases.groupBy("product", normalize(F.col("quote")).alias("norm")).agg(F.count("*").alias("n"))
+    quotes = votes.select("canonical_id", "product", normalize(F.col("quote")).alias("norm")).distinct()
+    rows = quotes.join(said, ["product", "norm"], "left").join(canonicals.select("canonical_id", normalize(F.col("text")).alias("own")), "canonical_id")
     rows = rows.select("canonical_id", "product", "norm", F.coalesce("n", F.lit(1)).alias("n"), (F.col("norm") == F.col("own")).alias("is_own"))
     covered = F.sum("n").over(Window.partitionBy("canonical_id", "product"))
     return rows.withColumn("_covered", covered).join(counted(votes), ["canonical_id", "product"]).withColumn("gap", F.col("_covered") < F.col("votes")).drop("_covered")
@@ -133,15 +137,15 @@ def variant_counts(canonicals: DataFrame, votes: DataFrame, phrases: DataFrame)
 def by_name(wanted: DataFrame, named: DataFrame, name: str, key: str) -> DataFrame:
     """``wanted(name)`` with the first id whose normalised name it is, over all categories, or null; ``valid`` says
     whether there is one."""
-    first = named.groupBy(normalize_ascii(F.col(name)).alias("_n")).agg(F.min_by(key, "ord").alias(key))
-    out = wanted.withColumn("_w", normalize_ascii(F.col("wanted"))).join(first, F.col("_w") == F.col("_n"), "left")
+    first = named.groupBy(normalize(F.col(name)).alias("_n")).agg(F.min_by(key, "ord").alias(key))
+    out = wanted.withColumn("_w", normalize(F.col("wanted"))).join(first, F.col("_w") == F.col("_n"), "left")
     return out.select("wanted", key, F.col(key).isNotNull().alias("valid"))
 
 
 def relocated(canonicals: DataFrame, votes: DataFrame, moves: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Rows moved to other groups of their category by ``moves(group_id, to_group)``; a row whose text the target already
     has, or that another moved row brings, gives its votes to the first such row."""
-    placed = canonicals.join(moves, "group_id", "left").withColumn("group_id", F.coalesce("to_group", "group_id")).drop("to_group").withColumn("_n", normalize_ascii(F.col("text")))
+    placed = canonicals.join(moves, "group_id", "left").withColumn("group_id", F.coalesce("to_group", "group_id")).drop("to_group").withColumn("_n", normalize(F.col("text")))
     twins = placed.withColumn("keep_id", F.first("canonical_id").over(Window.partitionBy("group_id", "_n").orderBy("ord")))
     merges = twins.where("canonical_id <> keep_id").select(F.col("canonical_id").alias("merge_id"), "keep_id")
     return twins.where("canonical_id = keep_id").drop("_n", "keep_id"), merged(votes, merges)

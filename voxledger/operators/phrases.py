@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from voxledger.functions.text import normalize_ascii
+from voxledger.functions.text import normalize
+from voxledger.operators.lineage import placed
 
 
 def with_review(phrases: DataFrame, reviews: DataFrame) -> DataFrame:
@@ -14,19 +15,21 @@ def with_review(phrases: DataFrame, reviews: DataFrame) -> DataFrame:
 
 
 def contained(phrases: DataFrame) -> DataFrame:
-    """``a, b``: phrases of one (product, review, category) where a's words are a proper run of b's."""
-    words = phrases.select("product", "review_id", "category", "phrase_seq", F.array_join(F.regexp_extract_all(F.lower("quote"), F.lit(r"(?U)\w+"), 0), " ").alias("w"))
-    size = lambda c: F.size(F.split(c, " "))
-    a = words.where("w <> ''").select("product", "review_id", "category", F.col("phrase_seq").alias("a"), F.col("w").alias("aw"))
-    b = words.select("product", "review_id", "category", F.col("phrase_seq").alias("b"), F.col("w").alias("bw"))
+    """``a, b``: phrases of one (product, review, category) where a's words are a proper run of b's. They meet on the
+    first word of a, so that only phrases that share it are compared."""
+    key = ["product", "review_id", "category", "word"]
+    words = phrases.select(*key[:-1], "phrase_seq", F.regexp_extract_all(F.lower("quote"), F.lit(r"(?U)\w+"), 0).alias("ws"))
+    text = F.array_join("ws", " ")
+    a = words.where(F.size("ws") > 0).select(*key[:-1], F.get("ws", F.lit(0)).alias("word"), F.col("phrase_seq").alias("a"), text.alias("aw"), F.size("ws").alias("an"))
+    b = words.select(*key[:-1], F.explode(F.array_distinct("ws")).alias("word"), F.col("phrase_seq").alias("b"), text.alias("bw"), F.size("ws").alias("bn"))
     padded = lambda c: F.concat(F.lit(" "), F.col(c), F.lit(" "))
-    return a.join(b, ["product", "review_id", "category"]).where((F.col("a") != F.col("b")) & (size("aw") < size("bw")) & F.contains(padded("bw"), padded("aw"))).select("a", "b")
+    return a.join(b, key).where((F.col("a") != F.col("b")) & (F.col("an") < F.col("bn")) & F.contains(padded("bw"), padded("aw"))).select("a", "b")
 
 
 def unique_phrases(phrases: DataFrame) -> DataFrame:
     """Phrases by category and normalised text: first wording, and per product counts of phrases, raw quotes and
     reviews; ordered by total, then first seen."""
-    rows = phrases.withColumn("norm", normalize_ascii(F.col("quote")))
+    rows = phrases.withColumn("norm", normalize(F.col("quote")))
     cells = rows.groupBy("category", "norm", "product").agg(F.count("*").alias("n"), F.countDistinct("quote").alias("quotes"), F.countDistinct("review_id").alias("reviews"), F.min_by("quote", "phrase_seq").alias("q"), F.min("phrase_seq").alias("s"))
     total = Window.partitionBy("category", "norm")
     return cells.select("category", "norm", "product", "n", "quotes", "reviews", F.sum("n").over(total).alias("total"), F.first("q").over(total.orderBy("s")).alias("text"), F.min("s").over(total).alias("first_seq"))
@@ -34,13 +37,13 @@ def unique_phrases(phrases: DataFrame) -> DataFrame:
 
 def placed_exactly(uniques: DataFrame, canonicals: DataFrame) -> DataFrame:
     """Phrases whose normalised text is a row's: all rows of that text, in whatever group, get them."""
-    rows = canonicals.withColumn("norm", normalize_ascii(F.col("text"))).select("category", "norm", "canonical_id")
+    rows = canonicals.withColumn("norm", normalize(F.col("text"))).select("category", "norm", "canonical_id")
     return uniques.join(rows, ["category", "norm"])
 
 
 def chunked(rows: DataFrame, by: str, order: str, size: int) -> DataFrame:
     """Rows of each ``by`` in runs of ``size``."""
-    return rows.withColumn("chunk", F.floor((F.row_number().over(Window.partitionBy(by).orderBy(order)) - 1) / size))
+    return placed(rows, (by,), [F.col(order)], "_place").withColumn("chunk", F.floor((F.col("_place") - 1) / size)).drop("_place")
 
 
 def request_batches(reviews: DataFrame, size: int = 8) -> DataFrame:

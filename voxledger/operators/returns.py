@@ -7,10 +7,13 @@ built-in expressions, so one scan computes them; shuffles are only on ``asin``.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from voxledger.functions import returns_vocabulary as V
+from voxledger.operators.lineage import placed
 
 REQUIRED, OPTIONAL = ("asin", "product-name", "reason", "customer-comments"), ("return-date", "quantity")
 
@@ -25,7 +28,7 @@ def comment_topic(comment: Column, keywords: dict[str, list[str]] = V.TOPIC_KEYW
     c = F.lower(F.regexp_replace(comment, r"(?U)^\s+|\s+$", ""))
     out = F.when(comment.isNull() | c.isin(trivial) | (F.length(c) <= 2), "NO_COMMENT")
     for topic, words in keywords.items():
-        out = out.when(c.rlike("|".join(words)), topic)
+        out = out.when(c.rlike("|".join(map(re.escape, words))), topic)
     return out.otherwise("OTHER")
 
 
@@ -40,12 +43,17 @@ def true_reason(status_: Column, topic: Column, reason: Column) -> Column:
 
 
 def classified(returns: DataFrame) -> DataFrame:
-    """The ledger with ``comment_topic``, ``status`` and ``true_reason``."""
-    return (
-        returns.withColumn("comment_topic", comment_topic(F.col("customer_comments")))
-        .withColumn("status", status(F.col("comment_topic"), F.col("reason")))
-        .withColumn("true_reason", true_reason(F.col("status"), F.col("comment_topic"), F.col("reason")))
-    )
+    """The ledger with ``comment_topic``, ``status`` and ``true_reason``. The topic comes out of an explode of one value,
+    which no filter is moved below, so its patterns are in the plan once, however often the topic is asked for."""
+    topics = returns.select("*", F.explode(F.array(comment_topic(F.col("customer_comments")))).alias("comment_topic"))
+    known = topics.select("*", F.explode(F.array(status(F.col("comment_topic"), F.col("reason")))).alias("status"))
+    return known.withColumn("true_reason", true_reason(F.col("status"), F.col("comment_topic"), F.col("reason")))
+
+
+def cells(rows: DataFrame) -> DataFrame:
+    """Counts of the classified ledger by product, reasons, topic and status, with the first row of each: what the reports
+    below are made of, aggregated once."""
+    return rows.groupBy("asin", "reason", "comment_topic", "status", "true_reason").agg(F.count("*").alias("n"), F.min("row_seq").alias("first"))
 
 
 def percent(part: Column, whole: Column) -> Column:
@@ -70,44 +78,43 @@ def product_summary(rows: DataFrame) -> DataFrame:
         count_of("No Comment").alias("n_no_comment"),
         F.min("row_seq").alias("_first"),
     )
-    # one row per product is left here, so a single ordering of them is small
-    place = F.row_number().over(Window.orderBy("_first"))
-    return out.withColumn("mismatch_pct", percent(F.col("n_mismatch"), F.col("with_comment"))).withColumn("place", place).drop("_first")
+    out = out.withColumn("mismatch_pct", percent(F.col("n_mismatch"), F.col("with_comment")))
+    return placed(out, (), [F.col("_first")], "place").drop("_first")
 
 
-def ranked_counts(rows: DataFrame, column: str, by: tuple[str, ...] = ("asin",)) -> DataFrame:
+def ranked_counts(counted: DataFrame, column: str, by: tuple[str, ...] = ("asin",)) -> DataFrame:
     """Counts of a column's values within ``by``, ranked: larger first, then first seen. Nulls don't count."""
-    counts = rows.where(F.col(column).isNotNull()).groupBy(*by, column).agg(F.count("*").alias("n"), F.min("row_seq").alias("_first"))
+    counts = counted.where(F.col(column).isNotNull()).groupBy(*by, column).agg(F.sum("n").alias("n"), F.min("first").alias("_first"))
     return counts.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("n"), "_first"))).drop("_first")
 
 
 def top_true_reasons(rows: DataFrame, k: int = 3) -> DataFrame:
     """The k commonest corrected reasons among a product's mismatches, in columns, padded with ''."""
-    ranked = ranked_counts(rows.where("status = 'Mismatch'"), "true_reason").where(F.col("rank") <= k)
+    ranked = ranked_counts(cells(rows).where("status = 'Mismatch'"), "true_reason").where(F.col("rank") <= k)
     wide = ranked.groupBy("asin").agg(*(F.max(F.when(F.col("rank") == i, F.col("true_reason"))).alias(f"top_{i}") for i in range(1, k + 1)))
-    return rows.select("asin").distinct().join(wide, "asin", "left").na.fill("", [f"top_{i}" for i in range(1, k + 1)])
+    return cells(rows).select("asin").distinct().join(wide, "asin", "left").na.fill("", [f"top_{i}" for i in range(1, k + 1)])
 
 
 def topic_distribution(rows: DataFrame) -> DataFrame:
     """Topics of commented rows by product, with their share of the commented rows."""
-    ranked = ranked_counts(rows.where("comment_topic <> 'NO_COMMENT'"), "comment_topic")
+    ranked = ranked_counts(cells(rows).where("comment_topic <> 'NO_COMMENT'"), "comment_topic")
     total = F.sum("n").over(Window.partitionBy("asin"))
     return ranked.withColumn("pct", percent(F.col("n"), total))
 
 
 def true_reason_distribution(rows: DataFrame) -> DataFrame:
     """Corrected reasons by product with their share of all rows; null reasons are in that whole only."""
-    totals = rows.groupBy("asin").agg(F.count("*").alias("_total"))
-    return ranked_counts(rows, "true_reason").join(totals, "asin").withColumn("pct", percent(F.col("n"), F.col("_total"))).drop("_total")
+    totals = cells(rows).groupBy("asin").agg(F.sum("n").alias("_total"))
+    return ranked_counts(cells(rows), "true_reason").join(totals, "asin").withColumn("pct", percent(F.col("n"), F.col("_total"))).drop("_total")
 
 
 def mismatch_analysis(rows: DataFrame) -> DataFrame:
     """Stated reasons of mismatches by product: count, share of mismatches, commonest corrected reason. Ties go
     by the reason's name, as groups are read in that order."""
-    mismatches = rows.where("status = 'Mismatch'")
+    mismatches = cells(rows).where("status = 'Mismatch'")
     top = ranked_counts(mismatches, "true_reason", ("asin", "reason")).where("rank = 1").select("asin", "reason", F.col("true_reason").alias("top_true"))
-    counts = mismatches.where("reason is not null").groupBy("asin", "reason").agg(F.count("*").alias("n"))
-    totals = mismatches.groupBy("asin").agg(F.count("*").alias("_total"))
+    counts = mismatches.where("reason is not null").groupBy("asin", "reason").agg(F.sum("n").alias("n"))
+    totals = mismatches.groupBy("asin").agg(F.sum("n").alias("_total"))
     out = counts.join(top, ["asin", "reason"], "left").join(totals, "asin").withColumn("pct", percent(F.col("n"), F.col("_total"))).drop("_total")
     return out.withColumn("rank", F.row_number().over(Window.partitionBy("asin").orderBy(F.desc("n"), "reason")))
 
@@ -141,7 +148,7 @@ def severity(summary: DataFrame, width: int = 8) -> DataFrame:
 def detail_order(rows: DataFrame) -> DataFrame:
     """Products by returns, most first; a product's rows newest first, undated last."""
     n = rows.groupBy("asin").agg(F.count("*").alias("n_returns"), F.min("row_seq").alias("_first"))
-    n = n.withColumn("asin_rank", F.row_number().over(Window.orderBy(F.desc("n_returns"), "_first"))).drop("_first")
+    n = placed(n, (), [F.desc("n_returns"), F.col("_first")], "asin_rank").drop("_first")
     place = F.row_number().over(Window.partitionBy("asin").orderBy(F.desc_nulls_last("return_date"), "row_seq"))
     return rows.withColumn("row_rank", place).join(n, "asin")
 

@@ -75,24 +75,33 @@ REVIEWS_SQL = """reviews AS (
     CASE WHEN doc_id % 11 <> 0 THEN CAST(DATE '2024-01-01' + CAST(doc_id % 365 AS INTEGER) AS DATE) END AS review_date, text AS body, doc_id AS seq FROM documents)"""
 
 
+#: Numbers of sentences that a document's phrases are numbered within.
+MOST_SENTENCES = 1 << 24
+
+
 def phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sentences of documents as tagged quotes: category from the language, product from the source."""
-    parts = F.posexplode(F.split(F.regexp_replace("text", "[^ -~]", ""), r"\.", -1)).alias("pos", "raw")
-    rows = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", parts)
-    return rows.withColumn("quote", F.trim("raw")).where("pos < 3 and quote <> ''").select("quote", F.col("lang").alias("category"), F.col("source").alias("product"), F.col("doc_id").cast("string").alias("review_id"), (F.col("doc_id") * 4 + F.col("pos")).alias("phrase_seq"))
+    """All sentences of documents as tagged quotes: category from the language, product from the source."""
+    rows = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", F.posexplode(F.split("text", r"\.", -1)).alias("pos", "raw"))
+    return rows.withColumn("quote", F.trim("raw")).where("quote <> ''").select("quote", F.col("lang").alias("category"), F.col("source").alias("product"), F.col("doc_id").cast("string").alias("review_id"), (F.col("doc_id") * MOST_SENTENCES + F.col("pos")).alias("phrase_seq"))
+
+
+PHRASES_SQL = f"""phrases AS (
+  SELECT * FROM (SELECT trim(unnest(string_split(text, '.'))) AS quote, lang AS category, source AS product, CAST(doc_id AS VARCHAR) AS review_id,
+    doc_id * {MOST_SENTENCES} + unnest(generate_series(0, len(string_split(text, '.')) - 1)) AS phrase_seq FROM documents) WHERE quote <> '')"""
 
 
-PHRASES_SQL = """phrases AS (
-  SELECT * FROM (SELECT trim(unnest(list_slice(string_split(regexp_replace(text, '[^ -~]', '', 'g'), '.'), 1, 3))) AS quote, lang AS category, source AS product, CAST(doc_id AS VARCHAR) AS review_id,
-    doc_id * 4 + unnest(generate_series(0, least(3, len(string_split(regexp_replace(text, '[^ -~]', '', 'g'), '.'))) - 1)) AS phrase_seq FROM documents) WHERE quote <> '')"""
+def sql_norm(column: str) -> str:
+    """The normalised text: accents become blanks after their letter, other marks become blanks."""
+    bare = f"strip_accents(regexp_replace(replace(lower({column}), 'ß', 'ss'), '([àáâãäåçèéêëìíîïñòóôõöùúûüýÿ])', '\\1 ', 'g'))"
+    return f"trim(regexp_replace(regexp_replace({bare}, '[^\\p{{L}}\\p{{N}}_]', ' ', 'g'), ' +', ' ', 'g'))"
 
 
 def ledger(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """groups, canonicals and votes made of the phrases: a row for each distinct normalised quote, a group for
     each first word of one."""
-    from voxledger.functions.text import normalize_ascii
+    from voxledger.functions.text import normalize
 
-    p = phrases(spark, sf_dir).withColumn("text", normalize_ascii(F.col("quote"))).where("text <> ''").withColumn("first", F.split("text", " ")[0])
+    p = phrases(spark, sf_dir).withColumn("text", normalize(F.col("quote"))).where("text <> ''").withColumn("first", F.split("text", " ")[0])
     key = lambda *c: F.concat_ws("|", *c)
     canonicals = p.groupBy("category", "text", "first").agg(F.min("phrase_seq").alias("ord")).select(key("category", "text").alias("canonical_id"), key("category", "first").alias("group_id"), "text", "ord")
     groups = p.groupBy("category", "first").agg(F.min("phrase_seq").alias("ord")).select(key("category", "first").alias("group_id"), "category", F.col("first").alias("name"), F.when(F.length("first") > 4, F.lit("long")).alias("usage_category"), "ord")
@@ -102,7 +111,7 @@ def ledger(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, Data
 
 LEDGER_SQL = (
     PHRASES_SQL
-    + """, norm AS (SELECT *, trim(regexp_replace(regexp_replace(lower(quote), '[^a-z0-9_ ]', ' ', 'g'), ' +', ' ', 'g')) AS text FROM phrases),
+    + f""", norm AS (SELECT *, {sql_norm("quote")} AS text FROM phrases),
   named AS (SELECT *, string_split(text, ' ')[1] AS first FROM norm WHERE text <> ''),
   canonicals AS (SELECT category || '|' || text AS canonical_id, category || '|' || first AS group_id, text, min(phrase_seq) AS ord FROM named GROUP BY category, text, first),
   groups AS (SELECT category || '|' || first AS group_id, category, first AS name, CASE WHEN length(first) > 4 THEN 'long' END AS usage_category, min(phrase_seq) AS ord FROM named GROUP BY category, first),

@@ -11,11 +11,11 @@ from voxledger.operators import phrases as P
 from voxledger.operators import precedents as G
 from voxledger.operators import reviews as R
 from voxledger.operators import simjoin as S
-from voxledger.plans.bindings import GATE_LABELS_SQL, LEDGER_SQL, PHRASES_SQL, REVIEWS_SQL, gate_labels, ledger, phrases, quoted, reviews, sql_list, table
+from voxledger.plans.bindings import GATE_LABELS_SQL, LEDGER_SQL, PHRASES_SQL, REVIEWS_SQL, gate_labels, ledger, phrases, quoted, reviews, sql_list, sql_norm, table
 
 LED = f"WITH {LEDGER_SQL}, counted AS (SELECT canonical_id, product, count(DISTINCT review_id) AS votes FROM votes WHERE review_id <> '' GROUP BY ALL) "
 REV = f"WITH {REVIEWS_SQL} "
-PHR = f"WITH {PHRASES_SQL}, normed AS (SELECT *, trim(regexp_replace(regexp_replace(lower(quote), '[^a-z0-9_ ]', ' ', 'g'), ' +', ' ', 'g')) AS norm FROM phrases) "
+PHR = f"WITH {PHRASES_SQL}, normed AS (SELECT *, {sql_norm('quote')} AS norm FROM phrases) "
 LAB = f"WITH {GATE_LABELS_SQL} "
 PRODUCTS = [f"src{i}" for i in range(20)]
 BUCKETS = [("en", "English"), ("fr", "French")]
@@ -59,11 +59,22 @@ def name_pairs_sql(threshold: float) -> str:
     return (
         LED
         + f""", items AS (SELECT group_id AS id, category, ord, {sql_tokens("name", T.STOPWORDS)} AS toks, {sql_grams("name")} AS grams FROM groups),
-        pairs AS (SELECT l.id AS l, r.id AS r, l.category, 0.6 * ({sql_jaccard("l.toks", "r.toks")}) + 0.4 * ({sql_jaccard("l.grams", "r.grams")}) AS sim FROM items l JOIN items r ON l.category = r.category AND l.id <> r.id),
+        parts AS (SELECT DISTINCT id, category, unnest(list_concat(list_transform(toks, lambda x: 't' || x), list_transform(grams, lambda x: 'g' || x))) AS part FROM items),
+        met AS (SELECT DISTINCT a.id AS a, b.id AS b FROM parts a JOIN parts b USING (category, part) WHERE a.id <> b.id),
+        pairs AS (SELECT l.id AS l, r.id AS r, l.category, 0.6 * ({sql_jaccard("l.toks", "r.toks")}) + 0.4 * ({sql_jaccard("l.grams", "r.grams")}) AS sim FROM met JOIN items l ON l.id = met.a JOIN items r ON r.id = met.b),
         near AS (SELECT * FROM pairs WHERE sim >= {threshold}) """
     )
 
 
+def near_sql(phrase: str, into: str) -> str:
+    """The nearest labelled pair of each gate label, among the labels of even time."""
+    return f"""profs AS (SELECT t, {sql_tokens("t", T.STOPWORDS)} AS toks, {sql_grams("t")} AS grams FROM (SELECT phrase AS t FROM gate_labels UNION SELECT into_ FROM gate_labels)),
+        close AS (SELECT * FROM (SELECT l.t AS l, r.t AS r, 0.6 * ({sql_jaccard("l.toks", "r.toks")}) + 0.4 * ({sql_jaccard("l.grams", "r.grams")}) AS sim FROM profs l JOIN profs r ON true) WHERE sim >= 0.75),
+        half AS (SELECT * FROM gate_labels WHERE ts % 2 = 0), ruled AS (SELECT * FROM half WHERE reason IS NOT NULL),
+        cand AS ({" UNION ALL ".join(f"SELECT p.ts AS id, k.label, k.ts, round(least(s1.sim, s2.sim), 9) AS score FROM gate_labels p JOIN ruled k ON p.category = k.category AND p.reason = k.reason JOIN close s1 ON s1.l = p.{phrase} AND s1.r = k.{a} JOIN close s2 ON s2.l = p.{into} AND s2.r = k.{b}" for a, b in (("phrase", "into_"), ("into_", "phrase")))}),
+        nearest AS (SELECT id, label, score FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, ts) AS n FROM cand) WHERE n = 1)"""
+
+
 def exports(spark, sf_dir):
     """Conversations in the layout of a review export: one file each, a block per turn."""
     block = F.format_string("%s %s out of 5 stars Turn %s Reviewed in the United States on %s %s, 2024 Verified Purchase %s Helpful Report ", F.col("role"), (F.col("turn") % 5 + 1).cast("string"), F.col("turn").cast("string"), F.element_at(F.array(*map(F.lit, ("March", "June"))), (F.col("turn") % 2 + 1).cast("int")), (F.col("conv_id") % 28 + 1).cast("string"), F.regexp_replace("text", r"(?U)[^\w .,]", " "))
@@ -105,10 +116,10 @@ def merges(canonicals):
 
 def sheet(spark, sf_dir):
     d = F.col("doc_id")
-    return table(spark, sf_dir, "documents").select(F.col("source").alias("sheet"), d.alias("row_no"), F.when(d % 60 < 20, F.concat(F.lit("g"), (d % 13).cast("string"))).alias("group"), F.when(d % 17 != 0, F.substring("text", 1, 12)).alias("text"), F.when(d % 3 == 0, (d % 15).cast("int")).alias("votes"))
+    return table(spark, sf_dir, "documents").select(F.col("source").alias("sheet"), d.alias("row_no"), F.when(d % 60 < 20, F.concat(F.lit("g"), (d % 13).cast("string"))).alias("group"), F.when(d % 17 != 0, F.col("text")).alias("text"), F.when(d % 3 == 0, (d % 15).cast("int")).alias("votes"))
 
 
-SHEET_SQL = "sheet AS (SELECT source AS sheet, doc_id AS row_no, CASE WHEN doc_id % 60 < 20 THEN 'g' || CAST(doc_id % 13 AS VARCHAR) END AS grp, CASE WHEN doc_id % 17 <> 0 THEN substr(text, 1, 12) END AS text, CASE WHEN doc_id % 3 = 0 THEN CAST(doc_id % 15 AS INTEGER) END AS votes FROM documents), gold AS (SELECT sheet, row_no, last_value(grp IGNORE NULLS) OVER (PARTITION BY sheet ORDER BY row_no ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS \"group\", text, coalesce(votes, 1) AS votes FROM sheet), kept AS (SELECT * FROM gold WHERE text IS NOT NULL AND trim(text) <> '')"
+SHEET_SQL = "sheet AS (SELECT source AS sheet, doc_id AS row_no, CASE WHEN doc_id % 60 < 20 THEN 'g' || CAST(doc_id % 13 AS VARCHAR) END AS grp, CASE WHEN doc_id % 17 <> 0 THEN text END AS text, CASE WHEN doc_id % 3 = 0 THEN CAST(doc_id % 15 AS INTEGER) END AS votes FROM documents), gold AS (SELECT sheet, row_no, last_value(grp IGNORE NULLS) OVER (PARTITION BY sheet ORDER BY row_no ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS \"group\", text, coalesce(votes, 1) AS votes FROM sheet), kept AS (SELECT * FROM gold WHERE text IS NOT NULL AND trim(text) <> '')"
 
 
 def cosine_items(spark, sf_dir):
@@ -138,7 +149,7 @@ QUERIES = {
     "j15_override_targets": lambda s, d: L.by_name(phrases(s, d).select(F.split("quote", " ")[0].alias("wanted")).distinct(), ledger(s, d)[0], "name", "group_id"),
     "t8_relocated_rows": on_ledger(lambda g, c, v: L.counted(L.relocated(c, v, g.where("length(name) > 6").join(g.groupBy("category").agg(F.min_by("group_id", "ord").alias("to_group")), "category").select("group_id", "to_group"))[1])),
     "f15_lost_contexts": lambda s, d: R.lost_contexts(exports(s, d).withColumn("raw_text", F.replace("raw_text", F.lit("3 out of 5"), F.lit("3 ou t of 5")))),
-    "f18_requests": on_reviews(lambda r: P.rendered(P.request_batches(r.withColumn("product", F.col("stem"))).withColumn("title", F.substring("body", 1, 40)), ("file", "run", "batch"), "seq", "title")),
+    "f18_requests": on_reviews(lambda r: P.rendered(P.request_batches(r.withColumn("product", F.col("stem"))).withColumn("title", F.col("body")), ("file", "run", "batch"), "seq", "title")),
     "a8_unique_phrases": on_phrases(P.unique_phrases),
     "a9_votes": on_ledger(lambda g, c, v: L.counted(v)),
     "a9_reconciled": on_ledger(lambda g, c, v: L.reconciled(v.groupBy("canonical_id", "product").agg((F.count("*") + 2).alias("votes")), v)),
@@ -173,12 +184,13 @@ QUERIES = {
     "c4_wrong_pairs": lambda s, d: E.wrong_pairs(gold(s, d)),
     "c5_over_merged": lambda s, d: E.over_merged(gold(s, d).select(F.col("predicted").alias("canonical"), (F.col("id") % 3).alias("product"), "gold")),
     "c6_sweep": lambda s, d: E.sweep(scored(s, d)),
+    "f1_normalized": on_reviews(lambda r: r.select("review_id", T.normalize(F.col("body")).alias("norm"))),
     "f2_prepared": on_phrases(lambda p: p.select("phrase_seq", T.prepare(F.col("quote")).alias("prepared"))),
     "f4_tokens": on_phrases(lambda p: p.select("phrase_seq", F.array_sort(T.tokens(T.prepare(F.col("quote")))).alias("toks"), F.array_sort(T.content_tokens(T.prepare(F.col("quote")))).alias("content"))),
     "f5_trigrams": on_phrases(lambda p: p.select("phrase_seq", F.size(T.trigrams(T.prepare(F.col("quote")))).alias("n"))),
     "f13_segmented_reviews": lambda s, d: R.parsed(exports(s, d)),
     "f14_parsed_date": on_reviews(lambda r: r.select("review_id", R.parsed_date(F.when(F.col("seq") % 7 == 0, "Smarch 1, 2024").otherwise(F.date_format("review_date", "MMMM d, yyyy"))).alias("d"))),
-    "f22_quote_variants": on_ledger(lambda g, c, v: L.wish_report(c, v, 3).select("canonical_id", "product", F.array_distinct(F.filter(F.transform(F.split("quotes", "; "), F.trim), lambda q: q != "")).alias("variants"))),
+    "f22_quote_variants": on_ledger(lambda g, c, v: L.wish_report(c, v, 3).select("canonical_id", "product", F.array_distinct(F.filter(F.transform(F.split("quotes", "; "), lambda q: F.trim(q)), lambda q: q != "")).alias("variants"))),
     "f23_label_key": on_labels(lambda x: x.select("ts", G.label_key(F.col("category"), F.col("phrase"), F.col("into")).alias("key"))),
     "s8_load_taxonomy": on_ledger(lambda g, c, v: L.counted(v).join(c, "canonical_id").join(g.select("group_id", "category", "name"), "group_id").select("group_id", "canonical_id", "category", "name", "text", "product", "votes")),
     "s9_taxonomy_counts": on_ledger(lambda g, c, v: g.agg(F.count("*").alias("groups")).crossJoin(c.agg(F.count("*").alias("canonicals")))),
@@ -202,13 +214,13 @@ ORACLES = {
     "j6_cosine_shortlist": "WITH p AS (SELECT a.vec_id AS l, b.vec_id AS r, list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) AS sim FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id) SELECT l, r, rank FROM (SELECT l, r, row_number() OVER (PARTITION BY l ORDER BY sim DESC, r) AS rank FROM p WHERE sim >= 0.35) WHERE rank <= 3",
     "j7_nearest_row": name_pairs_sql(0.3) + "SELECT i.id, coalesce(b.r, f.first) AS nearest FROM items i LEFT JOIN (SELECT l, r FROM (SELECT l, r, row_number() OVER (PARTITION BY l ORDER BY round(sim, 9) DESC, r) AS k FROM near) WHERE k = 1) b ON i.id = b.l LEFT JOIN (SELECT category, arg_min(id, ord) AS first FROM items GROUP BY 1) f ON i.category = f.category",
     "j8_new_group_suspects": name_pairs_sql(0.25) + "SELECT DISTINCT l FROM near",
-    "j9_contained_phrases": PHR + ", w AS (SELECT *, array_to_string(regexp_extract_all(lower(quote), '[a-z0-9_]+'), ' ') AS w FROM phrases) SELECT a.phrase_seq AS a, b.phrase_seq AS b FROM w a JOIN w b ON a.product = b.product AND a.review_id = b.review_id AND a.category = b.category WHERE a.phrase_seq <> b.phrase_seq AND a.w <> '' AND len(string_split(a.w, ' ')) < len(string_split(b.w, ' ')) AND contains(' ' || b.w || ' ', ' ' || a.w || ' ')",
+    "j9_contained_phrases": PHR + ", w AS (SELECT *, array_to_string(regexp_extract_all(lower(quote), '[\\p{L}\\p{N}_]+'), ' ') AS w FROM phrases) SELECT a.phrase_seq AS a, b.phrase_seq AS b FROM w a JOIN w b ON a.product = b.product AND a.review_id = b.review_id AND a.category = b.category WHERE a.phrase_seq <> b.phrase_seq AND a.w <> '' AND len(string_split(a.w, ' ')) < len(string_split(b.w, ' ')) AND contains(' ' || b.w || ' ', ' ' || a.w || ' ')",
     "j10_uncached_requests": REV + "SELECT review_id FROM reviews WHERE NOT EXISTS (SELECT 1 FROM reviews c WHERE c.seq % 2 = 0 AND c.author = reviews.author AND c.body = reviews.body)",
-    "j13_variant_counts": LED + """, said AS (SELECT product, text AS norm, count(*) AS n FROM norm GROUP BY ALL), q AS (SELECT DISTINCT canonical_id, product, trim(regexp_replace(regexp_replace(lower(quote), '[^a-z0-9_ ]', ' ', 'g'), ' +', ' ', 'g')) AS norm FROM votes)
+    "j13_variant_counts": LED + f""", said AS (SELECT product, text AS norm, count(*) AS n FROM norm GROUP BY ALL), q AS (SELECT DISTINCT canonical_id, product, {sql_norm("quote")} AS norm FROM votes)
         SELECT q.canonical_id, q.product, q.norm, coalesce(s.n, 1) AS n, q.norm = c.text AS is_own, t.votes, sum(coalesce(s.n, 1)) OVER (PARTITION BY q.canonical_id, q.product) < t.votes AS gap
         FROM q LEFT JOIN said s ON s.product = q.product AND s.norm = q.norm JOIN canonicals c ON c.canonical_id = q.canonical_id JOIN counted t ON t.canonical_id = q.canonical_id AND t.product = q.product""",
-    "j15_override_targets": LED + """, w AS (SELECT DISTINCT string_split(quote, ' ')[1] AS wanted FROM phrases), f AS (SELECT name, arg_min(group_id, ord) AS group_id FROM groups GROUP BY name)
-        SELECT wanted, group_id, group_id IS NOT NULL AS valid FROM w LEFT JOIN f ON name = trim(regexp_replace(regexp_replace(lower(wanted), '[^a-z0-9_ ]', ' ', 'g'), ' +', ' ', 'g'))""",
+    "j15_override_targets": LED + f""", w AS (SELECT DISTINCT string_split(quote, ' ')[1] AS wanted FROM phrases), f AS (SELECT name, arg_min(group_id, ord) AS group_id FROM groups GROUP BY name)
+        SELECT wanted, group_id, group_id IS NOT NULL AS valid FROM w LEFT JOIN f ON name = {sql_norm("wanted")}""",
     "t8_relocated_rows": LED + """, home AS (SELECT category, arg_min(group_id, ord) AS h FROM groups GROUP BY category), placed AS (SELECT canonical_id, text, c.ord, CASE WHEN length(g.name) > 6 THEN h ELSE g.group_id END AS grp FROM canonicals c JOIN groups g ON g.group_id = c.group_id JOIN home USING (category)),
         kept AS (SELECT canonical_id, first_value(canonical_id) OVER (PARTITION BY grp, text ORDER BY ord) AS keep FROM placed) SELECT keep AS canonical_id, product, count(DISTINCT review_id) AS votes FROM votes JOIN kept USING (canonical_id) GROUP BY ALL""",
     "j11_exact_precedents": LAB + "SELECT category, a, b, arg_max(label, ts * 2 + o) AS label FROM (SELECT category, phrase AS a, into_ AS b, label, ts, 0 AS o FROM gate_labels UNION ALL SELECT category, into_, phrase, label, ts, 1 FROM gate_labels) GROUP BY ALL",
@@ -233,10 +245,17 @@ ORACLES = {
     "a23_parse_stats": "SELECT CAST(conv_id AS VARCHAR) AS file_stem, CAST(count(*) AS INTEGER) AS expected, count(*) AS parsed, 0 AS lost FROM conversations GROUP BY conv_id",
     "a24_queue_counts": LAB + "SELECT 'type' || CAST(ts % 8 AS VARCHAR) AS type, count(*) AS n, count(k) AS n_labelled FROM gate_labels g LEFT JOIN (SELECT DISTINCT category AS c, phrase AS p, into_ AS i, 1 AS k FROM gate_labels WHERE label = 'merge') l ON c = category AND p = phrase AND i = into_ GROUP BY 1",
     "k1_verdicts": LAB
-    + """, half AS (SELECT * FROM gate_labels WHERE ts % 2 = 0), known AS (SELECT category, a, b, arg_max(label, ts * 2 + o) AS label FROM (SELECT category, phrase AS a, into_ AS b, label, ts, 0 AS o FROM half UNION ALL SELECT category, into_, phrase, label, ts, 1 FROM half) GROUP BY ALL),
+    + f""", {near_sql("into_", "phrase")}, known AS (SELECT category, a, b, arg_max(label, ts * 2 + o) AS label FROM (SELECT category, phrase AS a, into_ AS b, label, ts, 0 AS o FROM half UNION ALL SELECT category, into_, phrase, label, ts, 1 FROM half) GROUP BY ALL),
         rules AS (SELECT reason, n >= 3 AND m >= 0.7 * n AS soft FROM (SELECT reason, count(*) AS n, count(*) FILTER (label = 'merge') AS m FROM half WHERE reason IS NOT NULL GROUP BY reason))
-        SELECT g.category, g.into_ AS phrase, g.phrase AS "into", g.reason, g.ts, CASE WHEN k.label IS NOT NULL THEN k.label = 'keep' ELSE NOT coalesce(soft, false) END AS blocked, CASE WHEN k.label IS NOT NULL THEN 'precedent' WHEN coalesce(soft, false) THEN 'soft rule' ELSE '' END AS basis
-        FROM gate_labels g LEFT JOIN known k ON k.category = g.category AND k.a = g.into_ AND k.b = g.phrase LEFT JOIN rules r ON r.reason = g.reason""",
+        SELECT g.category, g.into_ AS phrase, g.phrase AS "into", g.reason, g.ts, CASE WHEN coalesce(k.label, x.label) IS NOT NULL THEN coalesce(k.label, x.label) = 'keep' ELSE NOT coalesce(soft, false) END AS blocked,
+        CASE WHEN k.label IS NOT NULL THEN 'precedent' WHEN x.label IS NOT NULL THEN 'near precedent' WHEN coalesce(soft, false) THEN 'soft rule' ELSE '' END AS basis
+        FROM gate_labels g LEFT JOIN known k ON k.category = g.category AND k.a = g.into_ AND k.b = g.phrase LEFT JOIN nearest x ON x.id = g.ts LEFT JOIN rules r ON r.reason = g.reason""",
+    "j12_near_precedents": LAB + f", {near_sql('phrase', 'into_')} SELECT * FROM nearest",
+    "f18_requests": REV
+    + """, runs AS (SELECT *, CAST(sum(new) OVER (PARTITION BY file ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS run FROM (SELECT *, CASE WHEN stem = lag(stem) OVER (PARTITION BY file ORDER BY seq) THEN 0 ELSE 1 END AS new FROM reviews)),
+        parts AS (SELECT *, CAST(floor((row_number() OVER (PARTITION BY file, run ORDER BY seq) - 1) / 8) AS BIGINT) AS batch FROM runs), listed AS (SELECT *, row_number() OVER (PARTITION BY file, run, batch ORDER BY seq) AS i FROM parts)
+        SELECT file, run, batch, coalesce(string_agg('[' || i || '] ' || body, chr(10) ORDER BY i), '') AS request FROM listed GROUP BY file, run, batch""",
+    "f1_normalized": REV + f"SELECT review_id, {sql_norm('body')} AS norm FROM reviews",
     "k2_captured_labels": LAB + "SELECT * FROM (SELECT category || ' | ' || phrase || ' | ' || into_ AS key, arg_max(CASE WHEN ts % 6 = 0 THEN 'undo' ELSE label END, ts) AS label, max(ts) AS ts FROM gate_labels GROUP BY 1) WHERE label <> 'undo'",
     "u1_review_union": REV + "SELECT file, count(*) AS n FROM reviews GROUP BY file",
     "u3_set_operations": PHR + ", l AS (SELECT phrase_seq, list_distinct(string_split(lower(quote), ' ')) AS w, list_distinct(string_split(lower(product), '')) AS x FROM phrases), b AS (SELECT *, len(list_intersect(w, x)) AS n FROM l) SELECT phrase_seq, CAST(len(w) + len(x) - n AS INTEGER) AS either, CAST(n AS INTEGER) AS both, CAST(len(w) - n AS INTEGER) AS only FROM b",

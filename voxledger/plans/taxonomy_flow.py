@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from voxledger.functions import gate
+from voxledger.functions.text import normalize
+from voxledger.operators import decisions as D
 from voxledger.operators import quotes as Q
 from voxledger.operators import taxonomy as X
-from voxledger.plans.bindings import LEDGER_SQL, PHRASES_SQL, ledger, phrases, table
+from voxledger.plans.bindings import LEDGER_SQL, gate_labels, ledger, phrases, table
+from voxledger.plans.feedback import name_pairs_sql
 
 RULES = [("rename_group", "the", "The group", 1), ("rename_row", "of", "Of row", 2), ("merge_groups", "in", "the group", 3), ("move_row", "of row", "the group", 4), ("merge_rows", "the", "of row", 5), ("dual_place", "of row", "and", 6)]
 
@@ -25,7 +29,7 @@ def quotes(spark, sf_dir):
 
 def sources(spark, sf_dir):
     """Each phrase with its document; one in thirty is misquoted by a letter."""
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("review_id"), F.regexp_replace("text", "[^ -~]", "").alias("source"))
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("review_id"), F.col("text").alias("source"))
     bad = F.when(F.col("phrase_seq") % 30 == 0, F.concat(F.substring("quote", 1, 20), F.lit("x"), F.expr("substring(quote, 22)"))).otherwise(F.col("quote"))
     rows = phrases(spark, sf_dir).join(docs, "review_id")
     return rows.withColumn("quote", bad).select("phrase_seq", "quote", "source")
@@ -43,7 +47,7 @@ def decided(spark, sf_dir):
     """A judge that puts each phrase in the group of its first word, by name."""
     g, c, _ = ledger(spark, sf_dir)
     pending = quotes(spark, sf_dir)
-    first = F.split(F.trim(F.regexp_replace(F.lower("text"), "[^a-z0-9_ ]", " ")), " ")[0]
+    first = F.split(normalize(F.col("text")), " ")[0]
     decisions = pending.select("id", F.lit(None).cast("string").alias("canonical_id"), F.lit(None).cast("string").alias("group_id"), first.alias("new_group_name"))
     return X.decided(pending, decisions, c, g).select("id", "group_key", "how")
 
@@ -65,7 +69,77 @@ def resolved(spark, sf_dir):
     return X.resolved_merges(pages)
 
 
+def long_rows(spark, sf_dir):
+    """A taxonomy of the groups whose names have five letters or more, one row each."""
+    groups, _, _ = ledger(spark, sf_dir)
+    groups = groups.where("usage_category is not null")
+    return groups, groups.select(F.col("group_id").alias("canonical_id"), "group_id", F.col("name").alias("text"), "ord")
+
+
+def first_words(spark, sf_dir):
+    """The first word of every sentence as a phrase; its id is its category and text."""
+    words = phrases(spark, sf_dir).withColumn("text", F.split(normalize(F.col("quote")), " ")[0]).where("text <> ''")
+    return words.select(F.concat_ws("|", "category", "text").alias("id"), "category", "text", "product", "review_id", "quote")
+
+
+def short_names(spark, sf_dir):
+    groups, _, _ = ledger(spark, sf_dir)
+    return groups.where("usage_category is null").select(F.col("group_id").alias("id"), "category", F.col("name").alias("text"))
+
+
+def no_decisions(spark):
+    return spark.createDataFrame([], "id string, canonical_id string, merge_with string, group_id string, same_group_as string, new_group_name string")
+
+
+def vetoed(spark, sf_dir):
+    """A judge that puts every short name into its category's first row of five letters or more."""
+    groups, rows = long_rows(spark, sf_dir)
+    first = rows.join(groups.select("group_id", "category"), "group_id").groupBy("category").agg(F.min_by("canonical_id", "ord").alias("canonical_id"))
+    pending = short_names(spark, sf_dir)
+    none = F.lit(None).cast("string")
+    told = pending.join(first, "category").select("id", "canonical_id", none.alias("merge_with"), none.alias("group_id"), none.alias("same_group_as"), none.alias("new_group_name"))
+    return D.placed_by_judge(pending, told, rows, groups, gate_labels(spark, sf_dir))[0]
+
+
+def parked(spark, sf_dir):
+    groups, rows = long_rows(spark, sf_dir)
+    items = rows.join(groups.select("group_id", "category"), "group_id").select(F.col("canonical_id").alias("id"), "category", "text", "ord")
+    return D.parked(short_names(spark, sf_dir), items)
+
+
+def group_merges(spark, sf_dir):
+    """Groups of seven-letter names go into their category's first group."""
+    groups, canonicals, votes = ledger(spark, sf_dir)
+    home = groups.groupBy("category").agg(F.min_by("group_id", "ord").alias("keep_id"))
+    merges = groups.where("length(name) = 7").join(home, "category").select(F.col("group_id").alias("merge_id"), "keep_id", F.col("ord").alias("seq"))
+    none = spark.createDataFrame([], "canonical_id string, target_group_id string, seq long")
+    return D.reviewed_groups(groups, canonicals, votes, merges, none)[1].select("canonical_id", "group_id")
+
+
+def row_merges(spark, sf_dir):
+    """A judge that would make one row of each group's first three."""
+    groups, canonicals, votes = ledger(spark, sf_dir)
+    place = F.row_number().over(Window.partitionBy("group_id").orderBy("ord")) - 1
+    proposals = canonicals.withColumn("place", place).where("place < 3").select(F.col("group_id").alias("proposal_id"), "canonical_id", "place")
+    return D.merged_rows(proposals, groups, canonicals, votes, gate_labels(spark, sf_dir))[1]
+
+
+def reassigned(spark, sf_dir):
+    groups, rows = long_rows(spark, sf_dir)
+    return D.reassigned(groups, rows, first_words(spark, sf_dir), no_decisions(spark), gate_labels(spark, sf_dir))[0]
+
+
+def rebuilt(spark, sf_dir):
+    return D.rebuilt(long_rows(spark, sf_dir), first_words(spark, sf_dir).drop("id"))[1]
+
+
 QUERIES = {
+    "t3_vetoed": vetoed,
+    "t5_parked": parked,
+    "t9_group_merges": group_merges,
+    "t10_row_merges": row_merges,
+    "t11_reassigned": reassigned,
+    "t13_rebuilt": rebuilt,
     "f10_merge_gate": gate_pairs,
     "f16_verbatim": lambda s, d: Q.verbatim(sources(s, d)).select("phrase_seq", "checked", "ratio", "verdict"),
     "j4_auto_merge": lambda s, d: X.auto_merged(quotes(s, d), rows(s, d)),
@@ -79,6 +153,13 @@ QUERIES = {
     "w10_renumbered": renumbered,
 }
 ORACLES = {
+    "t5_parked": name_pairs_sql(0.25)
+    + """, few AS (SELECT group_id AS id, category FROM groups WHERE usage_category IS NULL), many AS (SELECT group_id AS id, category, ord FROM groups WHERE usage_category IS NOT NULL)
+        SELECT f.id, coalesce(b.r, h.first) AS nearest FROM few f LEFT JOIN (SELECT l, r FROM (SELECT l, r, row_number() OVER (PARTITION BY l ORDER BY sim DESC, r) AS k FROM near WHERE r IN (SELECT id FROM many)) WHERE k = 1) b ON f.id = b.l
+        LEFT JOIN (SELECT category, arg_min(id, ord) AS first FROM many GROUP BY 1) h ON h.category = f.category""",
+    "t9_group_merges": f"""WITH {LEDGER_SQL}, home AS (SELECT category, arg_min(group_id, ord) AS h, count(*) AS n FROM groups GROUP BY 1)
+        SELECT canonical_id, CASE WHEN length(g.name) = 7 AND n > 3 THEN h ELSE g.group_id END AS group_id FROM canonicals c JOIN groups g ON g.group_id = c.group_id JOIN home USING (category)""",
+    "t13_rebuilt": f"WITH {LEDGER_SQL} SELECT DISTINCT category || '|' || first AS canonical_id, product, review_id, quote FROM named WHERE length(first) > 4",
     "t3_decided": f"WITH {LEDGER_SQL} SELECT CAST(phrase_seq AS VARCHAR) AS id, CASE WHEN text = '' THEN 'new|' || category || '|' ELSE category || '|' || string_split(text, ' ')[1] END AS group_key, CASE WHEN text = '' THEN 'new_group' ELSE 'new_row' END AS how FROM norm",
     "t9_resolved_merges": "SELECT page_id AS merge_id, CAST(0 AS BIGINT) AS keep_id FROM pages WHERE page_id > 0",
     "w10_renumbered": f"WITH {LEDGER_SQL} SELECT category, ord, row_number() OVER (ORDER BY list_position(['en', 'fr', 'de', 'es'], category), ord) AS number FROM groups",
