@@ -5,8 +5,8 @@ falls into one of BINS bins, and the least of each bin is a row of the signature
 several times, so that hardly a bin stays empty. One aggregation over the exploded shingles makes all rows, map-side
 first, by distinct line. All lines that agree in a band of the signature are compared, in two steps:
 
-* each with the lines that lead most of its buckets (the leader of a bucket is its least line);
-* then all pairs of a bucket that the first step's links leave in different components (pairs within one
+* each with the bucket's leader, its least line;
+* then all other pairs of a bucket that the first step's links leave in different components (pairs within one
   cannot change the result). Large buckets are cut into blocks, and the pairs of blocks are dealt over the tasks.
 
 Before a pair's texts are fetched, the rows in which the two signatures agree are counted by their low bytes: a pair at
@@ -25,7 +25,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from voxledger.llm.common import components, cut
@@ -107,40 +107,37 @@ def maybe_in(rows: DataFrame, column: str, bitmap: DataFrame, bits: int = BITS)
     return met.where(F.getbit(F.get("_words", F.floor(bit / 64).cast("int")), within.cast("int")) == 1).select(*rows.columns)
 
 
-def bucket_members(signed: DataFrame) -> DataFrame:
-    """``key, band, line_id, leader``: the lines of each bucket of two or more, for each band. The leader is the least
-    line, so lines that are alike have the same leader in most bands."""
-    keyed = signed.select("line_id", F.posexplode("keys").alias("band", "key"))
-    leaders = cut(keyed.groupBy("key").agg(F.min("line_id").alias("leader"), F.count("*").alias("n")).where("n > 1").drop("n"))
-    return maybe_in(keyed, "key", bitmap_of(leaders, "key")).join(leaders, "key").select("key", "band", "line_id", "leader")
+def bucket_members(signed: DataFrame, threshold: float) -> DataFrame:
+    """``key, band, line_id, leader, n, near, w0..``: the lines of each bucket of two or more, for each band, and whether
+    they agree with the bucket's leader in enough rows. The leader is the least line, so lines that are alike have the
+    same leader in most bands."""
+    keyed = signed.select("line_id", *LANES, F.posexplode("keys").alias("band", "key"))
+    leaders = cut(keyed.groupBy("key").agg(F.min("line_id").alias("leader"), F.count("*").alias("n")).where("n > 1"))
+    led = maybe_in(signed.select(F.col("line_id").alias("leader"), *(F.col(w).alias(f"a_{w}") for w in LANES)), "leader", bitmap_of(leaders, "leader"))
+    own = maybe_in(keyed, "key", bitmap_of(leaders, "key")).withColumnsRenamed({w: f"b_{w}" for w in LANES})
+    met = own.join(leaders.join(led, "leader"), "key")
+    return met.select("key", "band", "line_id", "leader", "n", rows_agree(threshold).alias("near"), *(F.col(f"b_{w}").alias(w) for w in LANES))
 
 
-def leader_pairs(members: DataFrame, most: int = 2) -> DataFrame:
-    """``a, b`` (a < b): each line with the leaders that lead most of its buckets. All other pairs are for the second
-    step."""
-    met = members.where("line_id <> leader").groupBy("line_id", "leader").agg(F.count("*").alias("n"))
-    place = F.row_number().over(Window.partitionBy("line_id").orderBy(F.desc("n"), "leader"))
-    return met.withColumn("place", place).where(F.col("place") <= most).select(F.col("leader").alias("a"), F.col("line_id").alias("b"))
-
-
-def near(pairs: DataFrame, signed: DataFrame, threshold: float) -> DataFrame:
-    """Those of the pairs ``a, b`` that agree in enough rows."""
-    one, two = (signed.select(F.col("line_id").alias(x), *(F.col(c).alias(f"{x}_{c}") for c in LANES)) for x in "ab")
-    return pairs.join(one, "a").join(two, "b").where(rows_agree(threshold)).select("a", "b")
+def leader_pairs(members: DataFrame) -> DataFrame:
+    """``a, b`` (a < b): each line with the leaders of its buckets that it agrees with in enough rows."""
+    return members.where("near and line_id <> leader").select(F.col("leader").alias("a"), F.col("line_id").alias("b")).distinct()
 
 
 def first_band() -> Column:
-    """Whether no band before this one has the rows of ``a_`` and ``b_`` alike, so that a pair comes up once."""
+    """Whether no band before this one has the rows of ``a_`` and ``b_`` alike: in such a band's bucket the pair has come
+    up already, or one of them leads it."""
     half = lambda k: f"(shiftrightunsigned(a_{LANES[k // 2]} ^ b_{LANES[k // 2]}, {32 * (k % 2)}) & 4294967295) <> 0"
     return F.expr(" and ".join(f"(band <= {k} or {half(k)})" for k in range(BANDS - 1)))
 
 
-def other_pairs(members: DataFrame, found: DataFrame, signed: DataFrame, threshold: float) -> DataFrame:
-    """``a, b`` (a < b): the pairs of a bucket that ``found(node, component)`` leaves apart and that agree in enough rows."""
-    others = members.select("key", "band", "line_id").join(found.withColumnRenamed("node", "line_id"), "line_id", "left").withColumn("component", F.coalesce("component", "line_id"))
+def other_pairs(members: DataFrame, found: DataFrame, threshold: float) -> DataFrame:
+    """``a, b`` (a < b): the pairs of a bucket without its leader that ``found(node, component)`` leaves apart and that
+    agree in enough rows."""
+    others = members.where("n > 2 and line_id <> leader").join(found.withColumnRenamed("node", "line_id"), "line_id", "left").withColumn("component", F.coalesce("component", "line_id"))
     split = others.groupBy("key").agg(F.count("*").alias("m"), F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
     others = others.join(split.select("key", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks")), "key")
-    dealt = cut(others.join(signed.select("line_id", *LANES), "line_id").withColumn("block", F.pmod(F.xxhash64("line_id"), F.col("blocks")).cast("int")))
+    dealt = cut(others.withColumn("block", F.pmod(F.xxhash64("line_id"), F.col("blocks")).cast("int")).drop("leader", "n", "near"))
     values = ["line_id", "component", *LANES]
     one = dealt.select("key", "band", F.col("block").alias("i"), F.explode(F.sequence("block", F.col("blocks") - 1)).alias("j"), *(F.col(c).alias(f"a_{c}") for c in values))
     two = dealt.select("key", F.explode(F.sequence(F.lit(0), "block")).alias("i"), F.col("block").alias("j"), *(F.col(c).alias(f"b_{c}") for c in values))
@@ -174,10 +171,10 @@ def line_components(docs: DataFrame, size: int = SIZE, threshold: float = 0.8, i
     """``id_col, line_no, line_id, component_id, kept, version`` of all lines that aren't blank."""
     rows = lines(docs, id_col, text_col)
     signed = cut(signatures(rows, size))
-    members = cut(bucket_members(signed))
-    signed = cut(maybe_in(signed.select("line_id", *LANES), "line_id", bitmap_of(members, "line_id")))
-    led = cut(components(verified(cut(near(leader_pairs(members), signed, threshold)), rows, size, threshold).select(F.col("a").alias("src"), F.col("b").alias("dst"))))
-    others = verified(cut(other_pairs(members, led, signed, threshold)), rows, size, threshold)
+    members = cut(bucket_members(signed, threshold))
+    edges = verified(cut(leader_pairs(members)), rows, size, threshold)
+    led = cut(components(edges.select(F.col("a").alias("src"), F.col("b").alias("dst"))))
+    others = verified(cut(other_pairs(members, led, threshold)), rows, size, threshold)
     links = led.select(F.col("node").alias("src"), F.col("component").alias("dst")).unionByName(others.select(F.col("a").alias("src"), F.col("b").alias("dst")))
     found = components(links).withColumnRenamed("node", "line_id")
     place = F.struct(id_col, "version", "line_no")
