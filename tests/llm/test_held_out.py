@@ -5,6 +5,8 @@ import pytest
 from voxledger.llm import langid, quality, queries, toxicity
 
 SF = "/root/testdata/sf0.01"
+#: sf0.01 has six toxic documents among its held-out labels, two of them with terms that no other labelled one has.
+SIZES = {"quality": SF, "toxic": "/root/testdata/sf0.1"}
 
 
 def auc(rows):
@@ -16,8 +18,8 @@ def auc(rows):
 
 @pytest.mark.parametrize("query, label, least", [("op5_quality", "quality", 0.95), ("op8_toxicity", "toxic", 0.95)])
 def test_scores_order_held_out_labels(spark, query, label, least):
-    labels = {r["doc_id"]: r[label] for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
-    rows = queries.QUERIES[query](spark, SF).where("held_out").collect()
+    labels = {r["doc_id"]: r[label] for r in spark.read.parquet(f"{SIZES[label]}/labels.parquet").collect()}
+    rows = queries.QUERIES[query](spark, SIZES[label]).where("held_out").collect()
     assert auc([(r["score"], labels[r["doc_id"]]) for r in rows if r["doc_id"] in labels]) >= least
     told = [(r["predicted"], labels[r["doc_id"]]) for r in rows if r["doc_id"] in labels]
     assert sum(p == y for p, y in told) >= 0.9 * len(told)
@@ -33,7 +35,7 @@ def test_labels_without_documents_and_repeated_labels(spark):
     docs = spark.createDataFrame([(1, "good day"), (2, None), (3, "")], "doc_id long, text string")
     labels = spark.createDataFrame([(7, 1), (8, 0), (7, 1)], "doc_id long, toxic int")
     assert [r["score"] < 0.01 for r in toxicity.predict(docs, toxicity.learn(docs, labels)).collect()] == [True] * 3
-    some = spark.createDataFrame([(i, "you are an utter fool today" if i % 2 else f"a fine day number {i}") for i in range(40)] * 2, "doc_id long, text string")
+    some = spark.createDataFrame([(i, f"note{i} you{i} fool today{i} and more" if i % 2 else f"a fine day number {i}") for i in range(40)] * 2, "doc_id long, text string")
     marks = spark.createDataFrame([(i, i % 2) for i in range(40)] * 3, "doc_id long, toxic int")
     scored = toxicity.predict(some.withColumn("score", some.doc_id), toxicity.learn(some, marks)).collect()
     assert len(scored) == 80 and all((r["score"] > 0.5) == (r["doc_id"] % 2 == 1) for r in scored)
