@@ -5,7 +5,7 @@ import pytest
 from voxledger.llm import langid, quality, queries, toxicity
 
 SF = "/root/testdata/sf0.01"
-#: sf0.01 has six toxic documents among its held-out labels, two of them with terms that no other labelled one has.
+#: sf0.01 holds out six toxic documents only, two of which score low there.
 SIZES = {"quality": SF, "toxic": "/root/testdata/sf0.1"}
 
 
