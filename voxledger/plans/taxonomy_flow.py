@@ -10,7 +10,7 @@ from voxledger.functions.text import normalize
 from voxledger.operators import decisions as D
 from voxledger.operators import quotes as Q
 from voxledger.operators import taxonomy as X
-from voxledger.plans.bindings import LEDGER_SQL, gate_labels, ledger, phrases, table
+from voxledger.plans.bindings import LEDGER_SQL, PHRASES_SQL, gate_labels, ledger, phrases, sql_norm, table
 from voxledger.plans.feedback import name_pairs_sql
 
 RULES = [("rename_group", "the", "The group", 1), ("rename_row", "of", "Of row", 2), ("merge_groups", "in", "the group", 3), ("move_row", "of row", "the group", 4), ("merge_rows", "the", "of row", 5), ("dual_place", "of row", "and", 6)]
@@ -27,12 +27,15 @@ def quotes(spark, sf_dir):
     return phrases(spark, sf_dir).select(F.col("phrase_seq").cast("string").alias("id"), "category", F.col("quote").alias("text"))
 
 
-def sources(spark, sf_dir):
-    """Each phrase with its document; one in thirty is misquoted by a letter."""
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("review_id"), F.col("text").alias("source"))
+def misquoted(spark, sf_dir):
+    """Every sentence of every document; one in thirty is misquoted by a letter."""
     bad = F.when(F.col("phrase_seq") % 30 == 0, F.concat(F.substring("quote", 1, 20), F.lit("x"), F.expr("substring(quote, 22)"))).otherwise(F.col("quote"))
-    rows = phrases(spark, sf_dir).join(docs, "review_id")
-    return rows.withColumn("quote", bad).select("phrase_seq", "quote", "source")
+    return phrases(spark, sf_dir).withColumn("quote", bad).select("phrase_seq", "review_id", "quote")
+
+
+def checked(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("review_id"), F.col("text").alias("source"))
+    return Q.verbatim(misquoted(spark, sf_dir), docs)
 
 
 def overridden(part):
@@ -141,7 +144,8 @@ QUERIES = {
     "t11_reassigned": reassigned,
     "t13_rebuilt": rebuilt,
     "f10_merge_gate": gate_pairs,
-    "f16_verbatim": lambda s, d: Q.verbatim(sources(s, d)).select("phrase_seq", "checked", "ratio", "verdict"),
+    "f16_verbatim": checked,
+    "f16_contained": lambda s, d: checked(s, d).select("phrase_seq", (F.col("verdict") == "verbatim").alias("verbatim")),
     "j4_auto_merge": lambda s, d: X.auto_merged(quotes(s, d), rows(s, d)),
     "t1_overlap_dedup": lambda s, d: Q.deduplicated(phrases(s, d)),
     "t2_pre_pass": lambda s, d: X.pre_pass(quotes(s, d), rows(s, d)),
@@ -153,6 +157,9 @@ QUERIES = {
     "w10_renumbered": renumbered,
 }
 ORACLES = {
+    "f16_contained": f"""WITH {PHRASES_SQL}, docs AS MATERIALIZED (SELECT CAST(doc_id AS VARCHAR) AS review_id, {sql_norm("text")} AS source FROM documents),
+        said AS (SELECT phrase_seq, review_id, {sql_norm("CASE WHEN phrase_seq % 30 = 0 THEN left(quote, 20) || 'x' || substr(quote, 22) ELSE quote END")} AS quote FROM phrases)
+        SELECT phrase_seq, quote <> '' AND contains(source, quote) AS verbatim FROM said JOIN docs USING (review_id)""",
     "t5_parked": name_pairs_sql(0.25)
     + """, few AS (SELECT group_id AS id, category FROM groups WHERE usage_category IS NULL), many AS (SELECT group_id AS id, category, ord FROM groups WHERE usage_category IS NOT NULL)
         SELECT f.id, coalesce(b.r, h.first) AS nearest FROM few f LEFT JOIN (SELECT l, r FROM (SELECT l, r, row_number() OVER (PARTITION BY l ORDER BY sim DESC, r) AS k FROM near WHERE r IN (SELECT id FROM many)) WHERE k = 1) b ON f.id = b.l
