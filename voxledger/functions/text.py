@@ -2,13 +2,8 @@
 
 from __future__ import annotations
 
-import re
-import unicodedata
-
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 # Words without content, degree words, contractions in order, idioms that mean "works well",
 # suffixes in order, and product-name endings.
@@ -35,38 +30,20 @@ SUFFIXES = ["ing", "edly", "ied", "ies", "ed", "ly", "es", "s"]
 PRODUCT_ENDING = r"(?i)(?:[ _]+\+?[ _]*(?:pp?ositive|negative)\b)+$"
 
 
-def _accented() -> dict[str, str]:
-    """Small Latin letters that decompose into an ASCII letter and one mark, with that letter."""
-    parts = {chr(c): unicodedata.normalize("NFKD", chr(c)) for c in range(0xC0, 0x180)}
-    return {c: p[0] for c, p in parts.items() if len(p) == 2 and p[0].islower() and p[0].isascii() and unicodedata.combining(p[1])}
-
-
-ACCENTED = _accented()
-#: Texts of these characters are normalised by built-in functions.
-PLAIN = rf"^[\x00-\x7F{''.join(ACCENTED)}{''.join(c.upper() for c in ACCENTED if len(c.upper()) == 1)}ß¿¡«»‘’“”–—•€°]*$"
-
-
-def _normalize_plain(text: Column) -> Column:
-    spaced = F.regexp_replace(F.replace(F.lower(text), F.lit("ß"), F.lit("ss")), f"([{''.join(ACCENTED)}])", "$1 ")
-    bare = F.translate(spaced, "".join(ACCENTED), "".join(ACCENTED.values()))
-    return F.trim(F.regexp_replace(F.regexp_replace(bare, r"[^\w\s]", " "), r"\s+", " "))
-
-
-@F.pandas_udf(StringType())
-def _normalize_unicode(text: pd.Series) -> pd.Series:
-    def one(t):
-        t = unicodedata.normalize("NFKD", t).casefold()
-        return re.sub(r"\s+", " ", re.sub(r"[^\w\s]", " ", t)).strip()
-
-    return text.map(one, na_action="ignore")
+def _folded(text: Column) -> Column:
+    """Compatibility decomposition and full case folding, by the Unicode library that Spark ships; a null fails, so it must
+    not come here."""
+    parts = F.reflect(F.lit("com.ibm.icu.text.Normalizer"), F.lit("decompose"), text, F.lit(True))
+    return F.reflect(F.lit("com.ibm.icu.lang.UCharacter"), F.lit("foldCase"), parts, F.lit(True))
 
 
 def normalize(text: Column) -> Column:
-    """Compatibility decomposition, case folding, other than word characters to blanks, blanks collapsed; the marks of
-    accented letters become blanks. Built-in for ASCII and accented Latin letters; Spark has no decomposition, so other
-    texts alone go to an Arrow function."""
-    plain = text.rlike(PLAIN)
-    return F.when(plain, _normalize_plain(text)).otherwise(_normalize_unicode(F.when(~plain, text)))
+    """Compatibility decomposition, case folding, runs of other than word characters to one blank; so the marks of
+    accented letters become blanks. ASCII texts, told by their length in bytes, need one pattern only; letters and
+    numerals are those that the JVM's Unicode version knows."""
+    wide = F.octet_length(text) > F.length(text)
+    words = F.when(wide, F.regexp_replace(_folded(text), r"[^\p{L}\p{N}_]+", " ")).otherwise(F.regexp_replace(F.lower(text), r"[^a-z0-9_]+", " "))
+    return F.trim(words)
 
 
 def _contracted(text: Column) -> Column:
