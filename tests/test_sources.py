@@ -35,8 +35,10 @@ def test_profile_is_never_empty(spark):
 
 
 def test_overrides_and_labels(spark, tmp_path):
-    (tmp_path / "o.json").write_text(json.dumps({"rename_row": [{"source": "a", "target": "b"}, {"source": "c", "target": "d"}], "dual_place": []}))
-    assert [(r["kind"], r["source"], r["rule_seq"]) for r in S.read_overrides(spark, str(tmp_path / "o.json")).orderBy("rule_seq").collect()] == [("rename_row", "a", 0), ("rename_row", "c", 1)]
+    rules = {"rename": {"Old": "New", "New": "Newer"}, "merge_canonicals": [["keep", "one", "two"], ["alone"]], "move_canonical": {"t": "G"}, "dual_place": [{"quote": "both", "rows": ["a", "b"]}]}
+    (tmp_path / "o.json").write_text(json.dumps(rules))
+    got = [tuple(r) for r in S.read_overrides(spark, str(tmp_path / "o.json")).orderBy("kind", "rule_seq", "place").collect()]
+    assert got == [("dual_place", None, "a", "both", 0, 0), ("dual_place", None, "b", "both", 0, 1), ("merge_rows", "one", "keep", None, 0, 1), ("merge_rows", "two", "keep", None, 0, 2), ("move_row", "t", "G", None, 0, 0), ("rename_group", "Old", "New", None, 0, 0), ("rename_group", "New", "Newer", None, 1, 0)]
     for line, text in (("one", json.dumps({"k": {"category": "use", "label": "keep"}})), ("two", "not json")):
         (tmp_path / "lines" / line).mkdir(parents=True)
         (tmp_path / "lines" / line / "gate_labels.json").write_text(text)

@@ -8,12 +8,51 @@ from pyspark.sql import functions as F
 from voxledger.functions import gate
 from voxledger.functions.text import normalize
 from voxledger.operators import decisions as D
+from voxledger.operators import overrides as V
 from voxledger.operators import quotes as Q
 from voxledger.operators import taxonomy as X
-from voxledger.plans.bindings import LEDGER_SQL, PHRASES_SQL, gate_labels, ledger, phrases, sql_norm, table
+from voxledger.operators.lineage import cut
+from voxledger.plans.bindings import GATE_LABELS_SQL, LEDGER_SQL, PHRASES_SQL, gate_labels, ledger, phrases, sql_norm, table
 from voxledger.plans.feedback import name_pairs_sql
 
-RULES = [("rename_group", "the", "The group", 1), ("rename_row", "of", "Of row", 2), ("merge_groups", "in", "the group", 3), ("move_row", "of row", "the group", 4), ("merge_rows", "the", "of row", 5), ("dual_place", "of row", "and", 6)]
+#: Rules as people would write them, on the first names and texts of the ledger: (kind, source, target, quote, rule_seq,
+#: place), a number standing for the n-th name of a group, or text of a row.
+RULES = [
+    ("rename_group", 1, "first name", None, 0, 0),
+    ("rename_group", "First name", "last name", None, 1, 0),
+    ("rename_row", 1, "row renamed", None, 0, 0),
+    ("rename_row", "row renamed", "row renamed twice", None, 1, 0),
+    ("merge_groups", 3, "last name", None, 0, 1),
+    ("merge_groups", 4, 2, None, 1, 1),
+    ("merge_groups", 2, "LAST NAME", None, 2, 1),
+    ("move_row", 5, 6, None, 0, 0),
+    ("merge_rows", 7, 8, None, 0, 1),
+    ("merge_rows", 8, "row renamed twice", None, 1, 1),
+    ("dual_place", None, 9, 9, 0, 0),
+    ("dual_place", None, 10, 9, 0, 1),
+]
+
+
+def rules(spark, groups, canonicals):
+    """RULES with the names and texts that they stand for."""
+    first = lambda d, c: d.groupBy(F.col(c).alias("_name")).agg(F.min("ord").alias("o")).orderBy("o").limit(10).withColumn("_n", F.row_number().over(Window.orderBy("o"))).drop("o")
+    of_rows, of_groups = (cut(first(canonicals, "text")), cut(first(groups, "name")))
+    split = lambda x: (x, None) if isinstance(x, int) else (None, x)
+    out = spark.createDataFrame([(k, *split(s), *split(t), *split(q), seq, place) for k, s, t, q, seq, place in RULES], "kind string, sn int, source string, tn int, target string, qn int, quote string, rule_seq long, place int")
+    for column, n, groups_in in (("source", "sn", ("rename_group", "merge_groups")), ("target", "tn", ("rename_group", "merge_groups", "move_row")), ("quote", "qn", ())):
+        of = F.broadcast(of_rows.withColumn("_g", F.lit(False)).unionByName(of_groups.withColumn("_g", F.lit(True))))
+        out = out.join(of, (F.col(n) == F.col("_n")) & (F.col("kind").isin(list(groups_in)) == F.col("_g")), "left").withColumn(column, F.coalesce(column, "_name")).drop("_name", "_n", "_g")
+    return out.select("kind", "source", "target", "quote", "rule_seq", "place")
+
+
+def clicks(spark, sf_dir):
+    """People's clicks on the queue, and the merge lists that they find, of two and of three."""
+    x = gate_labels(spark, sf_dir)
+    events = x.select(F.when(F.col("ts") % 3 == 0, "gate_overridden").otherwise("gate_blocked").alias("type"), "category", "phrase", "into", F.when(F.col("ts") % 4 == 1, "undo").otherwise(F.col("label")).alias("label"), "ts")
+    lists = x.where("ts % 10 = 0").select("phrase", "into", F.col("ts").alias("rule_seq"))
+    pairs = lists.select(F.lit("merge_rows").alias("kind"), F.col("phrase").alias("source"), F.col("into").alias("target"), F.lit(None).cast("string").alias("quote"), "rule_seq", F.lit(1).alias("place"))
+    third = pairs.where("rule_seq % 20 = 0").withColumns({"source": F.concat("source", F.lit(" too")), "place": F.lit(2)})
+    return pairs.unionByName(third), events
 
 
 def rows(spark, sf_dir):
@@ -41,7 +80,7 @@ def checked(spark, sf_dir):
 def overridden(part):
     def query(spark, sf_dir):
         g, c, v = ledger(spark, sf_dir)
-        return X.overridden(g, c, v, spark.createDataFrame(RULES, "kind string, source string, target string, rule_seq int"))[part]
+        return V.overridden(g, c, v, rules(spark, g, c))[part]
 
     return query
 
@@ -152,11 +191,39 @@ QUERIES = {
     "t3_decided": decided,
     "t6_consolidated": lambda s, d: X.consolidated(rows(s, d), table(s, d, "documents").select(F.concat_ws("|", "lang", F.lower(F.split("text", " ")[0])).alias("canonical_id"), F.col("doc_id").cast("string").alias("review_id"))),
     "t9_resolved_merges": resolved,
+    "k2_override_edits": lambda s, d: V.edited(*clicks(s, d)).select("source", "target", "rule_seq", "place"),
+    "t14_overridden_groups": lambda s, d: overridden(0)(s, d).select("group_id", "name"),
     "t14_overridden_rows": overridden(1),
     "t14_overridden_votes": overridden(2),
     "w10_renumbered": renumbered,
 }
+#: The taxonomy after RULES: r1 after renames, r2 after group merges (a group's rank is when its rows came), r3 after the
+#: move, r4 after row merges; each with the row that took a row in.
+OVERRIDDEN = f"""WITH {LEDGER_SQL}, fg AS (SELECT arg_min(group_id, ord) AS group_id, name, row_number() OVER (ORDER BY min(ord)) AS n FROM groups GROUP BY name),
+    ft AS (SELECT text, arg_min(canonical_id, ord) AS canonical_id, row_number() OVER (ORDER BY min(ord)) AS n FROM canonicals GROUP BY text),
+    tree AS (SELECT group_id, rank FROM fg JOIN (VALUES (1, 0), (3, 1), (2, 2), (4, 3)) t(n, rank) USING (n)), root AS (SELECT group_id AS root FROM fg WHERE n = 1),
+    g1 AS (SELECT group_id, CASE WHEN group_id = (SELECT root FROM root) THEN 'last name' ELSE name END AS name FROM groups WHERE group_id NOT IN (SELECT group_id FROM tree WHERE rank > 0)),
+    r1 AS (SELECT canonical_id, group_id, CASE WHEN canonical_id = (SELECT canonical_id FROM ft WHERE n = 1) THEN 'row renamed twice' ELSE text END AS text, ord FROM canonicals),
+    k2 AS (SELECT canonical_id, CASE WHEN rank = 0 THEN canonical_id ELSE first_value(canonical_id) OVER (PARTITION BY text ORDER BY rank, ord) END AS keep FROM r1 JOIN tree USING (group_id)),
+    r2 AS (SELECT canonical_id, CASE WHEN keep IS NULL THEN group_id ELSE (SELECT root FROM root) END AS group_id, text, ord FROM r1 LEFT JOIN k2 USING (canonical_id) WHERE keep IS NULL OR keep = canonical_id),
+    k3 AS (SELECT canonical_id, CASE WHEN group_id = h THEN canonical_id ELSE first_value(canonical_id) OVER (PARTITION BY text ORDER BY group_id <> h, ord) END AS keep FROM r2, (SELECT group_id AS h FROM fg WHERE n = 6) WHERE text = (SELECT text FROM ft WHERE n = 5)),
+    r3 AS (SELECT canonical_id, CASE WHEN keep IS NULL THEN group_id ELSE (SELECT group_id FROM fg WHERE n = 6) END AS group_id, text, ord FROM r2 LEFT JOIN k3 USING (canonical_id) WHERE keep IS NULL OR keep = canonical_id),
+    h3 AS (SELECT text, arg_min(canonical_id, ord) AS canonical_id FROM r3 GROUP BY text), k4 AS (SELECT h3.canonical_id, (SELECT canonical_id FROM h3 WHERE text = 'row renamed twice') AS keep FROM h3 JOIN ft USING (text) WHERE n IN (7, 8)),
+    r4 AS (SELECT * FROM r3 WHERE canonical_id NOT IN (SELECT canonical_id FROM k4)),
+    v4 AS (SELECT DISTINCT coalesce(k4.keep, k3.keep, k2.keep, v.canonical_id) AS canonical_id, product, review_id, quote FROM votes v LEFT JOIN k2 ON k2.canonical_id = v.canonical_id LEFT JOIN k3 ON k3.canonical_id = coalesce(k2.keep, v.canonical_id) LEFT JOIN k4 ON k4.canonical_id = coalesce(k3.keep, k2.keep, v.canonical_id)),
+    h4 AS (SELECT n, arg_min(r4.canonical_id, ord) AS canonical_id FROM r4 JOIN ft USING (text) WHERE n IN (9, 10) GROUP BY n),
+    src AS (SELECT product, review_id FROM v4 JOIN h4 USING (canonical_id) WHERE review_id <> '' AND contains({sql_norm("quote")}, (SELECT text FROM ft WHERE n = 9)) ORDER BY n, product, quote, review_id LIMIT 1)"""
+
 ORACLES = {
+    "k2_override_edits": f"""WITH {GATE_LABELS_SQL}, ev AS (SELECT CASE WHEN ts % 3 = 0 THEN 'o' ELSE 'b' END AS type, category, phrase, into_, CASE WHEN ts % 4 = 1 THEN 'undo' ELSE label END AS label, ts FROM gate_labels),
+        w AS (SELECT *, lag(label) OVER (PARTITION BY category, into_, phrase ORDER BY ts) AS was FROM ev), old AS (SELECT phrase AS source, into_ AS target, ts AS rule_seq, 1 AS place FROM gate_labels WHERE ts % 10 = 0),
+        gone AS (SELECT into_, phrase, max(ts) AS since FROM w WHERE (type = 'b' AND label = 'undo' AND was = 'merge') OR (type = 'o' AND label = 'keep') GROUP BY ALL),
+        kept AS (SELECT * FROM old WHERE rule_seq % 20 = 0 OR NOT EXISTS (SELECT 1 FROM gone WHERE into_ = target AND phrase = source) UNION ALL SELECT source || ' too', target, rule_seq, 2 FROM old WHERE rule_seq % 20 = 0),
+        new AS (SELECT w.into_, w.phrase, min(ts) AS since FROM w LEFT JOIN gone g ON g.into_ = w.into_ AND g.phrase = w.phrase WHERE type = 'b' AND label = 'merge' AND (g.since IS NULL OR ts > g.since) AND NOT EXISTS (SELECT 1 FROM kept WHERE target = w.into_ AND source = w.phrase) GROUP BY ALL)
+        SELECT * FROM kept UNION ALL SELECT phrase, into_, (SELECT coalesce(max(rule_seq), -1) FROM old) + row_number() OVER (ORDER BY since, into_, phrase), 0 FROM new""",
+    "t14_overridden_groups": OVERRIDDEN + " SELECT * FROM g1",
+    "t14_overridden_rows": OVERRIDDEN + " SELECT * FROM r4",
+    "t14_overridden_votes": OVERRIDDEN + " SELECT * FROM v4 UNION ALL SELECT h4.canonical_id, product, review_id, (SELECT text FROM ft WHERE n = 9) FROM h4, src WHERE NOT EXISTS (SELECT 1 FROM v4 WHERE v4.canonical_id = h4.canonical_id AND v4.product = src.product AND v4.review_id = src.review_id)",
     "f16_contained": f"""WITH {PHRASES_SQL}, docs AS MATERIALIZED (SELECT CAST(doc_id AS VARCHAR) AS review_id, {sql_norm("text")} AS source FROM documents),
         said AS (SELECT phrase_seq, review_id, {sql_norm("CASE WHEN phrase_seq % 30 = 0 THEN left(quote, 20) || 'x' || substr(quote, 22) ELSE quote END")} AS quote FROM phrases)
         SELECT phrase_seq, quote <> '' AND contains(source, quote) AS verbatim FROM said JOIN docs USING (review_id)""",

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 REQUIRED = ("asin", "product-name", "reason", "customer-comments")
 OPTIONAL = {"return-date": "string", "quantity": "int"}
-OVERRIDE_KINDS = ("rename_group", "rename_row", "merge_groups", "move_row", "merge_rows", "dual_place")
+#: Keys of an override file, and the kinds of rules that they hold.
+OVERRIDE_KINDS = {"rename": "rename_group", "rename_canonical": "rename_row", "merge_groups": "merge_groups", "move_canonical": "move_row", "merge_canonicals": "merge_rows", "dual_place": "dual_place"}
 
 
 def returns_ledger(raw: DataFrame) -> DataFrame:
@@ -56,15 +57,26 @@ def profile(spark: SparkSession, categories: list[dict], sheets: list[dict]) ->
 
 
 def read_overrides(spark: SparkSession, path: str) -> DataFrame:
-    """Override rules of all kinds from one JSON object of lists of {source, target}: ``kind, source, target,
-    rule_seq``."""
-    shape = ", ".join(f"{k} array<struct<source: string, target: string, quote: string>>" for k in OVERRIDE_KINDS)
+    """Override rules of all kinds from one JSON object, as ``kind, source, target, quote, rule_seq, place``: renames and
+    moves are objects of old to new, merges are lists whose first name is kept, dual_place has a quote and its rows."""
+    pairs, lists = "map<string,string>", "array<array<string>>"
+    shape = f"rename {pairs}, rename_canonical {pairs}, merge_groups {lists}, move_canonical {pairs}, merge_canonicals {lists}, dual_place array<struct<quote: string, rows: array<string>>>"
     one = spark.read.schema(shape).json(path, multiLine=True)
-    parts = [one.select(F.lit(k).alias("kind"), F.posexplode(k).alias("rule_seq", "r")).select("kind", "r.source", "r.target", "r.quote", "rule_seq") for k in OVERRIDE_KINDS]
+    none, parts = F.lit(None).cast("string"), []
+    for name, kind in OVERRIDE_KINDS.items():
+        if kind.startswith("merge"):
+            rules = one.select(F.posexplode(name).alias("rule_seq", "r")).select("rule_seq", F.get("r", F.lit(0)).alias("target"), F.posexplode("r").alias("place", "source")).where("place > 0")
+            parts.append(rules.select(F.lit(kind).alias("kind"), "source", "target", none.alias("quote"), "rule_seq", "place"))
+        elif kind == "dual_place":
+            rules = one.select(F.posexplode(name).alias("rule_seq", "r")).select("rule_seq", "r.quote", F.posexplode("r.rows").alias("place", "target"))
+            parts.append(rules.select(F.lit(kind).alias("kind"), none.alias("source"), "target", "quote", "rule_seq", "place"))
+        else:
+            rules = one.select(F.posexplode(F.map_entries(name)).alias("rule_seq", "r"))
+            parts.append(rules.select(F.lit(kind).alias("kind"), F.col("r.key").alias("source"), F.col("r.value").alias("target"), none.alias("quote"), "rule_seq", F.lit(0).alias("place")))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    return out
+    return out.withColumn("rule_seq", F.col("rule_seq").cast("long"))
 
 
 def read_gate_labels(spark: SparkSession, root: str, name: str = "gate_labels.json") -> DataFrame:
