@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from voxledger.operators.lineage import Scan
 
 def gold_rows(sheet: DataFrame) -> DataFrame:
     """Rows with their group filled down, one vote by default, blank texts left out."""
-    filled = F.last("group", ignorenulls=True).over(Window.partitionBy("sheet").orderBy("row_no"))
-    return sheet.withColumn("group", filled).withColumn("votes", F.coalesce("votes", F.lit(1))).where("text is not null and trim(text) <> ''")
+    filled = Scan(sheet, ("sheet",), [F.col("row_no")]).add(fills={"_filled": F.col("group")}).done().withColumn("group", F.col("_filled")).drop("_filled")
+    return filled.withColumn("votes", F.coalesce("votes", F.lit(1))).where("text is not null and trim(text) <> ''")
 
 
 def stratified(gold: DataFrame, per_group: int, most: int | None = None) -> DataFrame:

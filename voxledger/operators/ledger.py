@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from voxledger.functions.text import normalize
-from voxledger.operators.lineage import placed
+from voxledger.operators.lineage import cut, placed
 
 
 def counted(votes: DataFrame) -> DataFrame:
@@ -67,25 +67,27 @@ def dropped(canonicals: DataFrame, votes: DataFrame) -> DataFrame:
 
 
 def two_level(groups: DataFrame, canonicals: DataFrame, votes: DataFrame) -> DataFrame:
-    """Rows by group and product with subtotals and the places of group, product and row."""
-    cells = counted(votes).where("votes > 0").join(canonicals.select("canonical_id", "group_id", "text", "ord"), "canonical_id").join(groups.select("group_id", "category", "name"), "group_id")
-    out = cells.withColumn("subtotal", F.sum("votes").over(Window.partitionBy("group_id", "product"))).withColumn("group_total", F.sum("votes").over(Window.partitionBy("group_id")))
-    # groups are ranked among themselves, so a category's cells are in no one task
-    totals_ = cells.groupBy("category", "group_id", "name").agg(F.sum("votes").alias("group_total")).select("category", "group_total", "name").distinct()
-    places = placed(totals_, ("category",), [F.desc("group_total"), F.col("name")], "group_place")
-    out = out.join(places, ["category", "group_total", "name"])
-    ranks = {
-        "product_place": F.dense_rank().over(Window.partitionBy("group_id").orderBy(F.desc("subtotal"), "product")),
-        "row_place": F.row_number().over(Window.partitionBy("group_id", "product").orderBy(F.desc("votes"), "ord")),
-    }
-    return out.withColumns(ranks).drop("ord")
+    """Rows by group and product with subtotals and the places of group, product and row. Sums and places of groups and
+    products are made of the sums by group and product, and rows are numbered in ranges, so a large group's rows are in
+    no one task."""
+    cells = cut(counted(votes).where("votes > 0").join(canonicals.select("canonical_id", "group_id", "text", "ord"), "canonical_id").join(groups.select("group_id", "category", "name"), "group_id"))
+    sums = cut(cells.groupBy("category", "group_id", "name", "product").agg(F.sum("votes").alias("subtotal")))
+    whole = sums.groupBy("category", "group_id", "name").agg(F.sum("subtotal").alias("group_total"))
+    places = placed(whole.select("category", "group_total", "name").distinct(), ("category",), [-F.col("group_total"), F.col("name")], "group_place")
+    heads = whole.join(places, ["category", "group_total", "name"]).select("group_id", "group_total", "group_place")
+    product_place = F.dense_rank().over(Window.partitionBy("group_id").orderBy(F.desc("subtotal"), "product"))  # a row each product
+    sides = sums.select("group_id", "product", "subtotal", product_place.alias("product_place")).join(heads, "group_id")
+    return placed(cells, ("group_id", "product"), [-F.col("votes"), F.col("ord")], "row_place").join(sides, ["group_id", "product"]).drop("ord")
 
 
 def relation_report(groups: DataFrame, canonicals: DataFrame, votes: DataFrame, bucket_labels: DataFrame) -> DataFrame:
-    """Votes by bucket (the group's usage category, else its category's label, else Other) and row."""
+    """Votes by bucket (the group's usage category, else its category's label, else Other) and row. Totals come from the
+    sums by group, so a bucket isn't one task's."""
     named = groups.join(F.broadcast(bucket_labels), "category", "left").select("group_id", F.coalesce("usage_category", "label", F.lit("Other")).alias("bucket"))
-    rows = counted(votes).join(canonicals.select("canonical_id", "group_id"), "canonical_id").join(named, "group_id").groupBy("bucket", "group_id", "canonical_id").agg(F.sum("votes").alias("votes"))
-    return rows.withColumn("group_total", F.sum("votes").over(Window.partitionBy("bucket", "group_id"))).withColumn("bucket_total", F.sum("votes").over(Window.partitionBy("bucket")))
+    rows = cut(counted(votes).join(canonicals.select("canonical_id", "group_id"), "canonical_id").join(named, "group_id").groupBy("bucket", "group_id", "canonical_id").agg(F.sum("votes").alias("votes")))
+    by_group = rows.groupBy("bucket", "group_id").agg(F.sum("votes").alias("group_total"))
+    by_bucket = by_group.groupBy("bucket").agg(F.sum("group_total").alias("bucket_total"))
+    return rows.join(by_group.join(by_bucket, "bucket"), ["bucket", "group_id"])
 
 
 def wish_report(canonicals: DataFrame, votes: DataFrame, sample: int = 2) -> DataFrame:
@@ -145,7 +147,7 @@ def by_name(wanted: DataFrame, named: DataFrame, name: str, key: str) -> DataFra
 def relocated(canonicals: DataFrame, votes: DataFrame, moves: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Rows moved to other groups of their category by ``moves(group_id, to_group)``; a row whose text the target already
     has, or that another moved row brings, gives its votes to the first such row."""
-    placed = canonicals.join(moves, "group_id", "left").withColumn("group_id", F.coalesce("to_group", "group_id")).drop("to_group").withColumn("_n", normalize(F.col("text")))
-    twins = placed.withColumn("keep_id", F.first("canonical_id").over(Window.partitionBy("group_id", "_n").orderBy("ord")))
+    there = canonicals.join(moves, "group_id", "left").withColumn("group_id", F.coalesce("to_group", "group_id")).drop("to_group").withColumn("_n", normalize(F.col("text")))
+    twins = there.withColumn("keep_id", F.first("canonical_id").over(Window.partitionBy("group_id", "_n").orderBy("ord")))
     merges = twins.where("canonical_id <> keep_id").select(F.col("canonical_id").alias("merge_id"), "keep_id")
     return twins.where("canonical_id = keep_id").drop("_n", "keep_id"), merged(votes, merges)

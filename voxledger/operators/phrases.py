@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from voxledger.functions.text import normalize
-from voxledger.operators.lineage import placed
+from voxledger.operators.lineage import Scan, placed
 
 
 def with_review(phrases: DataFrame, reviews: DataFrame) -> DataFrame:
@@ -48,16 +48,16 @@ def chunked(rows: DataFrame, by: str, order: str, size: int) -> DataFrame:
 
 def request_batches(reviews: DataFrame, size: int = 8) -> DataFrame:
     """Consecutive runs of one product within a file, cut into chunks of ``size``: a batch never spans products."""
-    w = Window.partitionBy("file").orderBy("seq")
-    new = F.coalesce((F.lag("product").over(w) != F.col("product")).cast("int"), F.lit(1))
-    runs = reviews.withColumn("_new", new).withColumn("run", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
-    return runs.withColumn("batch", F.floor((F.row_number().over(Window.partitionBy("file", "run").orderBy("seq")) - 1) / size))
+    scan = Scan(reviews, ("file",), [F.col("seq")]).add(number="_n", lags={"_before": F.col("product")})
+    new = ~F.coalesce(F.col("_before") == F.col("product"), F.lit(False))
+    out = scan.add(sums={"run": new.cast("int")}, fills={"_start": F.when(new, F.col("_n"))}).done()
+    return out.withColumn("batch", F.floor((F.col("_n") - F.col("_start")) / size)).drop("_n", "_before", "_start")
 
 
 def budgeted(groups: DataFrame, budget: int = 120) -> DataFrame:
     """Groups of a category, largest first, in calls of about ``budget`` rows."""
-    w = Window.partitionBy("category").orderBy(F.desc("total"), "ord").rowsBetween(Window.unboundedPreceding, 0)
-    return groups.withColumn("call", F.floor((F.sum("n_rows").over(w) - F.col("n_rows")) / budget))
+    out = Scan(groups, ("category",), [-F.col("total"), F.col("ord")]).add(sums={"_until": F.col("n_rows")}).done()
+    return out.withColumn("call", F.floor((F.col("_until") - F.col("n_rows")) / budget)).drop("_until")
 
 
 def uncached(requests: DataFrame, cache: DataFrame) -> DataFrame:

@@ -148,7 +148,7 @@ def severity(summary: DataFrame, width: int = 8) -> DataFrame:
 def detail_order(rows: DataFrame) -> DataFrame:
     """Products by returns, most first; a product's rows newest first, undated last."""
     n = rows.groupBy("asin").agg(F.count("*").alias("n_returns"), F.min("row_seq").alias("_first"))
-    n = placed(n, (), [F.desc("n_returns"), F.col("_first")], "asin_rank").drop("_first")
+    n = placed(n, (), [-F.col("n_returns"), F.col("_first")], "asin_rank").drop("_first")
     place = F.row_number().over(Window.partitionBy("asin").orderBy(F.desc_nulls_last("return_date"), "row_seq"))
     return rows.withColumn("row_rank", place).join(n, "asin")
 

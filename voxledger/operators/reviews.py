@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from voxledger.operators.lineage import placed
+
 # The marks that an export's layout consists of.
 RATING = r"(?iU)(\d(?:[.,]\d)?)\s*out\s*of\s*5\s*stars?"
 DATE = r"(?U)Reviewed in (?:the )?[\w\s]+? on\s+([A-Z][a-z]+ \d{1,2}, \d{4})"
@@ -95,11 +97,13 @@ def deduplicated(reviews: DataFrame) -> DataFrame:
 
 
 def newest(reviews: DataFrame, cutoff: str | None = None, most: int | None = None) -> DataFrame:
-    """Newest first within a file, undated last; those before the cutoff go, undated ones stay; at most ``most``."""
+    """Newest first within a file, undated last; those before the cutoff go, undated ones stay; at most ``most``, whom each
+    task picks before the rows of a file meet."""
     if cutoff is not None:
         reviews = reviews.where(F.col("review_date").isNull() | (F.col("review_date") >= F.lit(cutoff).cast("date")))
-    out = reviews.withColumn("place", F.row_number().over(Window.partitionBy("file").orderBy(F.desc_nulls_last("review_date"), "seq")))
-    return out if most is None else out.where(F.col("place") <= most)
+    if most is None:
+        return placed(reviews, ("file",), [F.col("review_date").isNull(), -F.unix_date("review_date"), F.col("seq")], "place")
+    return reviews.withColumn("place", F.row_number().over(Window.partitionBy("file").orderBy(F.desc_nulls_last("review_date"), "seq"))).where(F.col("place") <= most)
 
 
 def lost_contexts(exports: DataFrame, before_: int = 150, after_: int = 250, most: int = 10) -> DataFrame:
@@ -111,7 +115,7 @@ def lost_contexts(exports: DataFrame, before_: int = 150, after_: int = 250, mos
     parts = rows.select("file_stem", "i", "seg", F.split("seg", DATE, -1).alias("p"), F.regexp_extract_all("seg", F.lit(DATE), 0).alias("d"), F.length(before(F.col("seg"), TRAILER)).alias("cut"))
     dates = parts.select("file_stem", "i", "p", "d", "cut", F.posexplode("d").alias("k", "mark"))
     head = F.aggregate(F.slice(F.arrays_zip(F.col("p"), F.col("d")), 1, F.greatest(F.col("k"), F.lit(0))), F.lit(""), lambda a, x: F.concat(a, F.coalesce(x["p"], F.lit("")), F.coalesce(x["d"], F.lit(""))))
-    placed = dates.withColumn("head", F.concat(head, F.element_at("p", F.col("k") + 1))).withColumn("owned", (F.col("i") > 0) & (F.col("k") == 0) & (F.length("head") < F.col("cut")))
+    found = dates.withColumn("head", F.concat(head, F.element_at("p", F.col("k") + 1))).withColumn("owned", (F.col("i") > 0) & (F.col("k") == 0) & (F.length("head") < F.col("cut")))
     tail = F.substring(F.element_at("p", F.col("k") + 2), 1, after_)
-    lost = placed.where("not owned").select("file_stem", "i", "k", cleaned(F.concat(F.expr(f"right(head, {before_})"), F.col("mark"), tail)).alias("context"))
+    lost = found.where("not owned").select("file_stem", "i", "k", cleaned(F.concat(F.expr(f"right(head, {before_})"), F.col("mark"), tail)).alias("context"))
     return lost.withColumn("n", F.row_number().over(Window.partitionBy("file_stem").orderBy("i", "k"))).where(F.col("n") <= most).select("file_stem", "n", "context")
