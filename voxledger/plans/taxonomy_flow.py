@@ -6,14 +6,15 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from voxledger.functions import gate
-from voxledger.functions.text import normalize
+from voxledger.functions.text import STOPWORDS, normalize
 from voxledger.operators import decisions as D
 from voxledger.operators import overrides as V
 from voxledger.operators import quotes as Q
+from voxledger.operators import simjoin as S
 from voxledger.operators import taxonomy as X
 from voxledger.operators.lineage import cut
 from voxledger.plans.bindings import GATE_LABELS_SQL, LEDGER_SQL, PHRASES_SQL, gate_labels, ledger, phrases, sql_norm, table
-from voxledger.plans.feedback import name_pairs_sql
+from voxledger.plans.feedback import LED, name_pairs_sql, sql_grams, sql_jaccard, sql_tokens
 
 #: Rules as people would write them, on the first names and texts of the ledger: (kind, source, target, quote, rule_seq,
 #: place), a number standing for the n-th name of a group, or text of a row.
@@ -56,16 +57,21 @@ def clicks(spark, sf_dir):
 
 
 def rows(spark, sf_dir):
-    """Canonical rows of every category as ``id, category, text, ord``: the ledger's group names, whole words that the
-    similarity joins meet on."""
-    groups, _, _ = ledger(spark, sf_dir)
-    return groups.select(F.col("group_id").alias("id"), "category", F.col("name").alias("text"), "ord")
+    """Canonical rows of every category, whole texts, as ``id, category, text, ord``."""
+    groups, canonicals, _ = ledger(spark, sf_dir)
+    return canonicals.join(groups.select("group_id", "category"), "group_id").select(F.col("canonical_id").alias("id"), "category", "text", "ord")
 
 
 def quotes(spark, sf_dir):
     return phrases(spark, sf_dir).select(F.col("phrase_seq").cast("string").alias("id"), "category", F.col("quote").alias("text"))
 
 
+def row_pairs(spark, sf_dir):
+    """Rows of one category that are worded alike, at the similarity from which a precedent counts as near."""
+    items = S.profiled(rows(spark, sf_dir))
+    return S.lexical_join(items, items, 0.75).where("l <> r").select("l", "r", F.round("sim", 6).alias("sim"))
+
+
 def misquoted(spark, sf_dir):
     """Every sentence of every document; one in thirty is misquoted by a letter."""
     bad = F.when(F.col("phrase_seq") % 30 == 0, F.concat(F.substring("quote", 1, 20), F.lit("x"), F.expr("substring(quote, 22)"))).otherwise(F.col("quote"))
@@ -118,10 +124,22 @@ def long_rows(spark, sf_dir):
     return groups, groups.select(F.col("group_id").alias("canonical_id"), "group_id", F.col("name").alias("text"), "ord")
 
 
+def said(spark, sf_dir):
+    """Every sentence as a phrase; its id is its category and normalised text."""
+    p = phrases(spark, sf_dir).withColumn("text", normalize(F.col("quote"))).where("text <> ''")
+    return p.select(F.concat_ws("|", "category", "text").alias("id"), "category", "text", "product", "review_id", "quote")
+
+
 def first_words(spark, sf_dir):
     """The first word of every sentence as a phrase; its id is its category and text."""
-    words = phrases(spark, sf_dir).withColumn("text", F.split(normalize(F.col("quote")), " ")[0]).where("text <> ''")
-    return words.select(F.concat_ws("|", "category", "text").alias("id"), "category", "text", "product", "review_id", "quote")
+    return said(spark, sf_dir).withColumn("text", F.split("text", " ")[0]).withColumn("id", F.concat_ws("|", "category", "text"))
+
+
+def long_groups(spark, sf_dir):
+    """A taxonomy of the groups whose names have five letters or more, with all of their rows."""
+    groups, canonicals, _ = ledger(spark, sf_dir)
+    groups = groups.where("usage_category is not null")
+    return groups, canonicals.join(groups.select("group_id"), "group_id", "left_semi")
 
 
 def short_names(spark, sf_dir):
@@ -134,13 +152,14 @@ def no_decisions(spark):
 
 
 def vetoed(spark, sf_dir):
-    """A judge that puts every short name into its category's first row of five letters or more."""
-    groups, rows = long_rows(spark, sf_dir)
-    first = rows.join(groups.select("group_id", "category"), "group_id").groupBy("category").agg(F.min_by("canonical_id", "ord").alias("canonical_id"))
-    pending = short_names(spark, sf_dir)
+    """A judge that puts every text of a group with a short name into the first row of its category's other groups."""
+    groups, canonicals = long_groups(spark, sf_dir)
+    first = canonicals.join(groups.select("group_id", "category"), "group_id").groupBy("category").agg(F.min_by("canonical_id", "ord").alias("canonical_id"))
+    every, all_rows, _ = ledger(spark, sf_dir)
+    pending = all_rows.join(every.where("usage_category is null").select("group_id", "category"), "group_id").select(F.col("canonical_id").alias("id"), "category", "text")
     none = F.lit(None).cast("string")
     told = pending.join(first, "category").select("id", "canonical_id", none.alias("merge_with"), none.alias("group_id"), none.alias("same_group_as"), none.alias("new_group_name"))
-    return D.placed_by_judge(pending, told, rows, groups, gate_labels(spark, sf_dir))[0]
+    return D.placed_by_judge(pending, told, canonicals, groups, gate_labels(spark, sf_dir))[0]
 
 
 def parked(spark, sf_dir):
@@ -172,7 +191,7 @@ def reassigned(spark, sf_dir):
 
 
 def rebuilt(spark, sf_dir):
-    return D.rebuilt(long_rows(spark, sf_dir), first_words(spark, sf_dir).drop("id"))[1]
+    return D.rebuilt(long_groups(spark, sf_dir), said(spark, sf_dir).drop("id"))[1]
 
 
 QUERIES = {
@@ -185,11 +204,12 @@ QUERIES = {
     "f10_merge_gate": gate_pairs,
     "f16_verbatim": checked,
     "f16_contained": lambda s, d: checked(s, d).select("phrase_seq", (F.col("verdict") == "verbatim").alias("verbatim")),
+    "j3_row_texts": row_pairs,
     "j4_auto_merge": lambda s, d: X.auto_merged(quotes(s, d), rows(s, d)),
     "t1_overlap_dedup": lambda s, d: Q.deduplicated(phrases(s, d)),
     "t2_pre_pass": lambda s, d: X.pre_pass(quotes(s, d), rows(s, d)),
     "t3_decided": decided,
-    "t6_consolidated": lambda s, d: X.consolidated(rows(s, d), table(s, d, "documents").select(F.concat_ws("|", "lang", F.lower(F.split("text", " ")[0])).alias("canonical_id"), F.col("doc_id").cast("string").alias("review_id"))),
+    "t6_consolidated": lambda s, d: X.consolidated(rows(s, d), ledger(s, d)[2]),
     "t9_resolved_merges": resolved,
     "k2_override_edits": lambda s, d: V.edited(*clicks(s, d)).select("source", "target", "rule_seq", "place"),
     "t14_overridden_groups": lambda s, d: overridden(0)(s, d).select("group_id", "name"),
@@ -227,14 +247,21 @@ ORACLES = {
     "f16_contained": f"""WITH {PHRASES_SQL}, docs AS MATERIALIZED (SELECT CAST(doc_id AS VARCHAR) AS review_id, {sql_norm("text")} AS source FROM documents),
         said AS (SELECT phrase_seq, review_id, {sql_norm("CASE WHEN phrase_seq % 30 = 0 THEN left(quote, 20) || 'x' || substr(quote, 22) ELSE quote END")} AS quote FROM phrases)
         SELECT phrase_seq, quote <> '' AND contains(source, quote) AS verbatim FROM said JOIN docs USING (review_id)""",
+    "j3_row_texts": LED
+    + f""", items AS MATERIALIZED (SELECT canonical_id AS id, string_split(canonical_id, '|')[1] AS category, {sql_tokens("text", STOPWORDS)} AS toks, {sql_grams("text")} AS grams FROM canonicals),
+        numbered AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY id) AS rowid_ FROM items),
+        parts AS MATERIALIZED (SELECT category || '|' || unnest(toks) AS k, rowid_ AS i, len(toks) AS n FROM numbered),
+        met AS (SELECT a.i AS a, b.i AS b, count(*) AS c, any_value(a.n) AS na, any_value(b.n) AS nb FROM parts a JOIN parts b ON a.k = b.k AND a.i < b.i GROUP BY a.i, b.i HAVING 0.6 * count(*) / (any_value(a.n) + any_value(b.n) - count(*)) >= 0.35 - 1e-9),
+        near AS (SELECT l.id AS l, r.id AS r, 0.6 * ({sql_jaccard("l.toks", "r.toks")}) + 0.4 * ({sql_jaccard("l.grams", "r.grams")}) AS sim FROM met JOIN numbered l ON l.rowid_ = a JOIN numbered r ON r.rowid_ = b)
+        SELECT l, r, round(sim, 6) AS sim FROM near WHERE sim >= 0.75 UNION ALL SELECT r, l, round(sim, 6) FROM near WHERE sim >= 0.75""",
     "t5_parked": name_pairs_sql(0.25)
     + """, few AS (SELECT group_id AS id, category FROM groups WHERE usage_category IS NULL), many AS (SELECT group_id AS id, category, ord FROM groups WHERE usage_category IS NOT NULL)
         SELECT f.id, coalesce(b.r, h.first) AS nearest FROM few f LEFT JOIN (SELECT l, r FROM (SELECT l, r, row_number() OVER (PARTITION BY l ORDER BY sim DESC, r) AS k FROM near WHERE r IN (SELECT id FROM many)) WHERE k = 1) b ON f.id = b.l
         LEFT JOIN (SELECT category, arg_min(id, ord) AS first FROM many GROUP BY 1) h ON h.category = f.category""",
     "t9_group_merges": f"""WITH {LEDGER_SQL}, home AS (SELECT category, arg_min(group_id, ord) AS h, count(*) AS n FROM groups GROUP BY 1)
         SELECT canonical_id, CASE WHEN length(g.name) = 7 AND n > 3 THEN h ELSE g.group_id END AS group_id FROM canonicals c JOIN groups g ON g.group_id = c.group_id JOIN home USING (category)""",
-    "t13_rebuilt": f"WITH {LEDGER_SQL} SELECT DISTINCT category || '|' || first AS canonical_id, product, review_id, quote FROM named WHERE length(first) > 4",
+    "t13_rebuilt": f"WITH {LEDGER_SQL} SELECT DISTINCT category || '|' || text AS canonical_id, product, review_id, quote FROM named WHERE length(first) > 4",
     "t3_decided": f"WITH {LEDGER_SQL} SELECT CAST(phrase_seq AS VARCHAR) AS id, CASE WHEN text = '' THEN 'new|' || category || '|' ELSE category || '|' || string_split(text, ' ')[1] END AS group_key, CASE WHEN text = '' THEN 'new_group' ELSE 'new_row' END AS how FROM norm",
     "t9_resolved_merges": "SELECT page_id AS merge_id, CAST(0 AS BIGINT) AS keep_id FROM pages WHERE page_id > 0",
-    "w10_renumbered": f"WITH {LEDGER_SQL} SELECT category, ord, row_number() OVER (ORDER BY list_position(['en', 'fr', 'de', 'es'], category), ord) AS number FROM groups",
+    "w10_renumbered": f"WITH {LEDGER_SQL} SELECT category, ord, row_number() OVER (ORDER BY list_position(['en', 'fr', 'de', 'es'], category), ord) AS number FROM canonicals JOIN (SELECT group_id, category FROM groups) USING (group_id)",
 }
