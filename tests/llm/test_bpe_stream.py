@@ -37,3 +37,18 @@ def test_memory_does_not_grow_with_the_text():
             peaks.append(tracemalloc.get_traced_memory()[1])
             tracemalloc.stop()
     assert max(peaks) < 3_000_000, peaks
+
+
+def test_every_pre_token_goes_through_the_transducer(monkeypatch):
+    t, streamed = bpe.Transducer(BYTE), []
+    inner = t.stream
+    monkeypatch.setattr(t, "stream", lambda chunks: inner(streamed.append(list(chunks)) or iter(streamed[-1])))
+    text = "some plain words, 12 of them; naïve 日本 " + "x" * 700
+    t.encode(text)
+    assert {b"".join(c).decode() for c in streamed} == set(bpe.WORDS.findall(text))
+
+
+def test_repeated_rows_and_clashing_columns(spark):
+    docs = spark.createDataFrame([(1, "twice", 5, "a"), (1, "twice", 6, "b"), (None, "no id", 7, None)], "doc_id long, text string, n_tokens int, ids_sha256 string")
+    rows = bpe.encode_decode(docs, BYTE, digests=True).collect()
+    assert len(rows) == 3 and len({r["ids_sha256"] for r in rows}) == 2 and rows[0].__fields__ == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]

@@ -3,6 +3,7 @@
 import random
 from collections import Counter
 
+from tests.llm.test_llm import WORD
 from voxledger.llm import packing
 
 
@@ -55,7 +56,7 @@ def test_a_spent_budget_reports_its_gap_and_is_no_worse_than_best_fit():
         items = [rng.randrange(200, 1100) for _ in range(60)]
         n, gap = checked(items, 2048, budget=50)
         assert n <= sum(t for _, t in packing.best_fit(Counter(items), 2048))
-        assert gap in (0, n - packing.lower_bound(Counter(items), 2048))
+        assert 0 <= gap <= n - packing.lower_bound(Counter(items), 2048)
 
 
 def test_many_pieces_take_no_longer():
@@ -66,3 +67,29 @@ def test_many_pieces_take_no_longer():
         for x in lengths:
             used[x] += times
     assert used == items
+
+
+def test_pieces_above_a_third_are_bounded_by_pairs():
+    assert packing.plan(Counter({k: 9 for k in range(690, 1101, 7)}), 2048).gap == 0
+
+
+def test_very_many_small_pieces_in_a_large_sequence():
+    found = packing.plan({2: 2048 * 5000}, 4097)
+    assert sum(times for _, times in found.fillings) == 5000
+
+
+def test_ties_long_texts_and_clashing_columns(spark):
+    texts = ["word " * 9000, "same", "same", "", None]
+    docs = spark.createDataFrame([(i, t, 1, "s") for i, t in enumerate(texts)] + [(1, "same", 2, "t")], "doc_id long, text string, length int, gap string")
+    rows = packing.pack_documents(docs, WORD, 256).collect()
+    by_sequence: dict = {}
+    for r in rows:
+        by_sequence.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for places in by_sequence.values():
+        at = 0
+        for offset, length in sorted(places):
+            assert offset == at
+            at += length
+        assert at <= 256
+    long = sorted((r["piece"], r["start"], r["length"]) for r in rows if r["doc_id"] == 0)
+    assert [s for _, s, _ in long] == [256 * k for k in range(len(long))] and len(rows) == len(long) + 5

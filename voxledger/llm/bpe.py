@@ -38,8 +38,9 @@ WORDS = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPAC
 UNEVEN = regex.compile(rf"\x20[{SPACES}]|[{SPACES}]\x20|^\x20|\x20$")
 #: A single blank between other characters starts a pre-token: texts may be cut there.
 CUT = regex.compile(rf"(?<=[^{SPACES}])\x20(?=[^{SPACES}])")
-#: Entries that a worker keeps of encoded stretches, about 200 bytes each (40 MB); once full, the rest is encoded anew.
-CACHE_ENTRIES = 200_000
+#: Entries that a worker keeps of encoded stretches, about 150 bytes each (90 MB), and of boundaries between tokens; once
+#: full, the rest is worked out anew.
+CACHE_ENTRIES, JOIN_ENTRIES = 600_000, 200_000
 #: Characters of a segment, at least, and of a chunk of a longer pre-token; ids of a block, at least.
 SEGMENT, CHUNK, BLOCK = 1 << 15, 1 << 12, 1 << 12
 
@@ -74,8 +75,6 @@ class Transducer:
         self.lookahead = max(map(len, made))
         #: Tokens that their own bytes merge to; no other ever ends a prefix.
         self.tokens = {t for t in made if self.merged(t) == [t]}
-        #: The next shorter token that each begins with.
-        self.shorter = {t: next((t[:k] for k in range(len(t) - 1, 0, -1) if t[:k] in self.tokens), None) for t in self.tokens}
         self.seen: dict[str, bytes] = {}
 
     def merged(self, data: bytes) -> list[bytes]:
@@ -99,7 +98,7 @@ class Transducer:
         """Whether the boundary between two adjacent tokens survives merging."""
         if (ok := self.joins.get((left, right))) is None:
             ok = self.apart(left, right)
-            if len(self.joins) < CACHE_ENTRIES:
+            if len(self.joins) < JOIN_ENTRIES:
                 self.joins[left, right] = ok
         return ok
 
@@ -189,48 +188,8 @@ class Transducer:
         return ids
 
     def word(self, text: str) -> bytes:
-        """Ids of one pre-token: settled at once if its end is within the lookahead, streamed otherwise."""
-        raw = text.encode()
-        tokens = self.settled(raw) if len(raw) <= self.lookahead else self.stream((raw,))
-        return array("I", [self.ids[t] for t in tokens]).tobytes()
-
-    def settled(self, window: bytes) -> list[bytes]:
-        """Tokens of a whole window, whose end is known: the longest token that the boundary before it allows, and where
-        none does, a shorter one before it. A place that can't be the end of a token is tried once."""
-        tokens, shorter, joins, n = self.tokens, self.shorter, self.joins, len(window)
-        out: list[bytes] = []
-        dead: set[int] = set()
-        at, token = 0, None
-        while at < n:
-            if token is None:
-                end = min(n, at + self.lookahead)
-                while window[at:end] not in tokens:
-                    end -= 1
-                token = window[at:end]
-            while token is not None:
-                if at + len(token) not in dead:
-                    if not out:
-                        break
-                    if (ok := joins.get((out[-1], token))) is None:
-                        ok = self.beside(out[-1], token)
-                    if ok:
-                        break
-                token = shorter[token]
-            if token is not None:
-                out.append(token)
-                at += len(token)
-                token = None
-                continue
-            dead.add(at)
-            token = out.pop()
-            at -= len(token)
-            token = shorter[token]
-            while token is None:
-                dead.add(at)
-                token = out.pop()
-                at -= len(token)
-                token = shorter[token]
-        return out
+        """Ids of one pre-token."""
+        return array("I", [self.ids[t] for t in self.stream((text.encode(),))]).tobytes()
 
     def encode(self, text: str | None) -> bytes:
         """Ids of a whole text, as little-endian unsigned 32-bit integers."""

@@ -33,8 +33,8 @@ from pyspark.sql import functions as F
 from voxledger.llm.common import cut
 
 CACHE_ENTRIES = 700_000
-#: Parts that a length's pieces are numbered in, so that no length is numbered by one task.
-SALTS = 64
+#: Parts that a length's pieces are numbered in, at least, and pieces of one length in a part, about.
+SALTS, SALTED = 64, 200_000
 #: Nodes that the search for one filling may visit before it settles for its incumbent.
 NODES = 4000
 #: Nodes that the search over whole plans may visit, in all.
@@ -194,42 +194,39 @@ def best_filling(left: list[int], count: dict[int, int], room: int, nodes: int =
         i = bisect.bisect_right(rising, min(x, below))
         return rising[i - 1] if i else 0
 
-    def greedy(room: int, below: int, used: dict[int, int]) -> list[int]:
-        out, own = [], dict(used)
+    def greedy(room: int, below: int) -> list[int]:
+        out = []
         while (x := fitting(room, below)) > 0:
-            take = min(room // x, count[x] - own.get(x, 0))
+            take = min(room // x, count[x])
             out += [x] * take
-            own[x] = own.get(x, 0) + take
             room -= take * x
             below = x - 1
         return out
 
-    best = greedy(room, room, {})  # the best-fit filling is the first incumbent
+    best = greedy(room, room)  # the best-fit filling is the first incumbent
     waste, visited = room - sum(best), 0
     smallest = rising[0] if rising else 0
 
-    def branch(room: int, below: int, chosen: list[int], used: dict[int, int]) -> None:
+    def branch(room: int, below: int, chosen: list[int]) -> None:
+        """Lengths of at most ``below``, each as often as it may; as deep as a filling has different lengths."""
         nonlocal best, waste, visited
-        if room < waste or not chosen and room == waste:
-            if room < waste:
-                best, waste = list(chosen), room
+        if room < waste:
+            best, waste = chosen, room
         if waste == 0 or room < smallest:
             return
         x = fitting(room, below)
         while x > 0 and waste > 0 and visited < nodes:
             visited += 1
-            if used.get(x, 0) < count[x]:
-                rest = room - x
-                # one exact partner ends the search at once: no other filling dominates it
-                if rest == 0 or rest in count and count[rest] - used.get(rest, 0) - (rest == x) > 0:
-                    best, waste = [*chosen, x, *[rest] * (rest > 0)], 0
-                    return
-                used[x] = used.get(x, 0) + 1
-                branch(rest, x, [*chosen, x], used)
-                used[x] -= 1
+            rest = room - x
+            # one exact partner ends the search at once: no other filling dominates it
+            if rest == 0 or rest <= x and rest in count and count[rest] > (rest == x):
+                best, waste = [*chosen, x, *[rest] * (rest > 0)], 0
+                return
+            for n in range(min(room // x, count[x]), 0, -1):
+                branch(room - n * x, x - 1, chosen + [x] * n)
             x = fitting(room, x - 1)
 
-    branch(room, room, [], {})
+    branch(room, room, [])
     return best
 
 
@@ -259,8 +256,9 @@ def fill_in_turn(histogram: dict[int, int], size: int, nodes: int = NODES) -> li
 def plan(histogram: dict[int, int], size: int, nodes: int = NODES, budget: int = BUDGET) -> Plan:
     """The best plan that branch and bound over whole plans finds within its budget."""
     count = {k: v for k, v in histogram.items() if v > 0 and k > 0}
-    bound = lower_bound(count, size)
     length = lambda p: sum(times for _, times in p)
+    # pieces above a third of a sequence are two to a sequence at most, and then best fit has as few as there can be
+    bound = max(lower_bound(count, size), length(best_fit({k: v for k, v in count.items() if 3 * k > size}, size)))
     best = best_fit(count, size)
     if length(best) > bound:
         best = min(best, fill_in_turn(count, size, nodes), key=length)
@@ -309,16 +307,18 @@ def plan(histogram: dict[int, int], size: int, nodes: int = NODES, budget: int =
 
 
 def pack(parts: DataFrame, size: int = 2048, keys: tuple[str, ...] = ("doc_id", "piece"), nodes: int = NODES) -> DataFrame:
-    """Give each piece of ``parts`` (with a ``length``) its ``sequence_id`` and ``offset``.
+    """Give each piece of ``parts`` (with a ``length``) its ``sequence_id`` and ``offset``, and the plan's ``gap``: by how many
+    sequences it may be longer than the best one.
 
-    ``parts`` is read three times: cut its lineage before. Pieces of one length are numbered in SALTS
-    parts whose counts give each part its first number, and the numbers of a length are looked up in
+    ``parts`` is read three times: cut its lineage before. Pieces of one length are numbered in parts
+    whose counts give each part its first number, and the numbers of a length are looked up in
     the plan's ranges by an equi-join on the length.
     """
     spark = parts.sparkSession
-    salted = parts.withColumn("_salt", F.pmod(F.xxhash64(*keys), F.lit(SALTS)))
+    histogram = {r["length"]: r["n"] for r in parts.groupBy("length").agg(F.count("*").alias("n")).collect()}
+    salts = max(SALTS, -(-max(histogram.values(), default=0) // SALTED))
+    salted = parts.withColumn("_salt", F.pmod(F.xxhash64(*keys), F.lit(salts)))
     counts = salted.groupBy("length", "_salt").agg(F.count("*").alias("_n"))
-    histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("_n").alias("n")).collect()}
     ranges, sequence, used = [], 0, dict.fromkeys(histogram, 0)
     best = plan(histogram, size, nodes)
     if best.gap:
@@ -345,10 +345,11 @@ def pack(parts: DataFrame, size: int = 2048, keys: tuple[str, ...] = ("doc_id",
         .withColumn("_r", F.element_at(F.filter("_ranges", lambda r: (F.col("_number") >= r["_from"]) & (F.col("_number") < r["_to"])), 1))
         .withColumn("sequence_id", F.col("_r._sequence") + F.floor(k / F.size("_r._offsets")))
         .withColumn("offset", F.element_at("_r._offsets", (k % F.size("_r._offsets") + 1).cast("int")))
+        .withColumn("gap", F.lit(best.gap).cast("long"))
         .drop("_salt", "_number", "_first", "_ranges", "_r")
     )
 
 
 def pack_documents(docs: DataFrame, vocabulary: str, size: int = 2048, end_id: int = 0) -> DataFrame:
     """Tokenise and pack whole documents; see ``pieces`` and ``pack`` for the columns."""
-    return pack(cut(pieces(docs, vocabulary, size, end_id)), size).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+    return pack(cut(pieces(docs, vocabulary, size, end_id)), size).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", "gap")
