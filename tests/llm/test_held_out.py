@@ -43,6 +43,8 @@ def test_labels_without_documents_and_repeated_labels(spark):
 
 def test_misspelled_terms():
     lexicon = toxicity.Lexicon({"idiot": 2.0, "hate": 1.0, "abominable": 1.5, "scumbagworthless": 3.0, "dumb": 1.0})
+    assert lexicon.find("you*idiot") == lexicon.find("loser#idiot") == lexicon.find("a@" * 30 + "idiots") == (2.0, 0)  # a part is a term
+    assert lexicon.find("z" * 90) is None and lexicon.find("so*what") is None
     assert all(lexicon.find(w) for w in ("idiot", "id1ot", "idiots", "hateful", "abomminable", "abominabel", "scumbagwortless", "d*mb"))
     assert not any(lexicon.find(w) for w in ("hatelepathic", "late", "abc123", "dune", "1234"))
 

@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 
 #: Letters and digits, with signs that stand for letters among them.
 WORD = re.compile(r"[^\W_]+(?:[*@$!#]+[^\W_]+)*")
+SIGNS = re.compile(r"[*@$!#]+")
 QUOTES = re.compile("[\"“”„«»‹›]")
 CACHE_ENTRIES = 300_000
 #: Characters on either side of a hit that its context is read from.
@@ -83,23 +84,31 @@ class Lexicon:
                 for a, b in zip(cuts, cuts[1:]):
                     self.pieces.setdefault(term[a:b], set()).update(range(max(0, a - k), a + k + 1))
         self.lengths = sorted({len(p) for p in self.pieces})
+        self.longest = max(map(len, weights), default=0)
 
-    def find(self, word: str) -> tuple[float, int] | None:
-        """Weight of the best term that the word meets, and the edits between them."""
-        if word in self.cache:
-            return self.cache[word]
+    def exact(self, word: str) -> float | None:
+        """Weight of the best term that the word starts with and goes beyond by REST letters at most."""
         found = None
         if word[:SHORTEST] in self.first:
             node = self.trie
             for c in word:
                 if (node := node.get(c)) is None:
                     break
-                if (term := node.get("")) is not None and len(word) - len(term) <= REST and (found is None or self.weights[term] > found[0]):
-                    found = (self.weights[term], 0)
-        if found is None:
-            letters = sum(map(str.isalpha, word))
-            disguised = letters < len(word)
-            if (SHORTEST <= letters and 3 * letters >= 2 * len(word) and len(word) <= 40) if disguised else (len(word) >= 5 and self.near(word)):
+                if (term := node.get("")) is not None and len(word) - len(term) <= REST and (found is None or self.weights[term] > found):
+                    found = self.weights[term]
+        return found
+
+    def find(self, word: str) -> tuple[float, int] | None:
+        """Weight of the best term that the word meets, and the edits between them. Of a word with signs in it each part
+        counts, too; a word that is longer than the longest term with its edits and rest can't meet any."""
+        if word in self.cache:
+            return self.cache[word]
+        letters = sum(map(str.isalpha, word))
+        disguised = letters < len(word)
+        weights = [w for part in (word, *(SIGNS.split(word) if disguised else ())) if (w := self.exact(part)) is not None]
+        found = (max(weights), 0) if weights else None
+        if found is None and len(word) <= self.longest + 2 + REST:
+            if (letters >= SHORTEST and 3 * letters >= 2 * len(word)) if disguised else (len(word) >= 5 and self.near(word)):
                 found = self.intersect(word, disguised)
         if len(self.cache) < CACHE_ENTRIES:
             self.cache[word] = found
