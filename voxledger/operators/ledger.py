@@ -43,6 +43,31 @@ def remapped(votes: DataFrame, key: Column) -> DataFrame:
     return votes.withColumn("product", key).dropDuplicates(["canonical_id", "product", "review_id", "quote"])
 
 
+def renamed_cells(votes: DataFrame, key: Column) -> DataFrame:
+    """How many (row, product) cells get another product name, one row."""
+    return votes.withColumn("_k", key).where("_k <> product").agg(F.countDistinct("canonical_id", "product").alias("renamed"))
+
+
+def products_sheet(mapped: DataFrame) -> DataFrame:
+    """The products of mapped files, each with its link."""
+    return mapped.groupBy("name").agg(F.min("link").alias("link"))
+
+
+def folder_status(reviews: DataFrame, groups: DataFrame, canonicals: DataFrame, reports: DataFrame) -> DataFrame:
+    """Per product line: export files, reviews, groups, phrases (rows) and the name of the last report; 0 or null where a
+    line has none. All tables have ``product_line``; reports have ``name``."""
+    parts = [
+        reviews.groupBy("product_line").agg(F.countDistinct("stem").alias("files"), F.count("*").alias("reviews")),
+        groups.groupBy("product_line").agg(F.count("*").alias("groups")),
+        canonicals.groupBy("product_line").agg(F.count("*").alias("phrases")),
+        reports.groupBy("product_line").agg(F.max("name").alias("last_report")),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.join(p, "product_line", "full")
+    return out.na.fill(0, ["files", "reviews", "groups", "phrases"])
+
+
 def renames(pairs: DataFrame) -> DataFrame:
     """Old product to new, where all files of the old agree on one."""
     seen = pairs.where("old <> new").groupBy("old").agg(F.countDistinct("new").alias("n"), F.min("new").alias("new"))

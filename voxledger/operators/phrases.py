@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from voxledger.functions.text import normalize
@@ -26,13 +26,32 @@ def contained(phrases: DataFrame) -> DataFrame:
     return a.join(b, key).where((F.col("a") != F.col("b")) & (F.col("an") < F.col("bn")) & F.contains(padded("bw"), padded("aw"))).select("a", "b")
 
 
-def unique_phrases(phrases: DataFrame) -> DataFrame:
-    """Phrases by category and normalised text: first wording, and per product counts of phrases, raw quotes and
-    reviews; ordered by total, then first seen."""
-    rows = phrases.withColumn("norm", normalize(F.col("quote")))
-    cells = rows.groupBy("category", "norm", "product").agg(F.count("*").alias("n"), F.countDistinct("quote").alias("quotes"), F.countDistinct("review_id").alias("reviews"), F.min_by("quote", "phrase_seq").alias("q"), F.min("phrase_seq").alias("s"))
-    total = Window.partitionBy("category", "norm")
-    return cells.select("category", "norm", "product", "n", "quotes", "reviews", F.sum("n").over(total).alias("total"), F.first("q").over(total.orderBy("s")).alias("text"), F.min("s").over(total).alias("first_seq"))
+def keyed(phrases: DataFrame, relations: tuple[str, ...] = ()) -> DataFrame:
+    """Phrases with the text that they are one by, and its normalised form: the relation in categories keyed by relation,
+    where there is one, else the quote."""
+    text = F.col("quote")
+    if relations:
+        text = F.when(F.col("category").isin(*relations), F.coalesce(F.nullif("relation", F.lit("")), text)).otherwise(text)
+    return phrases.withColumn("key_text", text).withColumn("norm", normalize(F.col("key_text")))
+
+
+def unique_phrases(phrases: DataFrame, relations: tuple[str, ...] = ()) -> DataFrame:
+    """Phrases by category and normalised key: first wording with its relation and gist, and per product counts of phrases,
+    raw quotes and reviews; the total and the first place give the order. ``unique_pairs`` has who said what."""
+    rows = keyed(phrases, relations)
+    for c in ("relation", "gist"):
+        if c not in rows.columns:
+            rows = rows.withColumn(c, F.lit(None).cast("string"))
+    said = F.struct(F.trim("key_text").alias("text"), "relation", "gist")
+    cells = rows.groupBy("category", "norm", "product").agg(F.count("*").alias("n"), F.countDistinct("quote").alias("quotes"), F.countDistinct(F.nullif("review_id", F.lit(""))).alias("reviews"), F.min_by(said, "phrase_seq").alias("q"), F.min("phrase_seq").alias("s"))
+    total = Window.partitionBy("category", "norm")  # a row each product
+    out = cells.withColumns({"total": F.sum("n").over(total), "first_seq": F.min("s").over(total), "_q": F.min_by("q", "s").over(total)})
+    return out.select("category", "norm", "product", "n", "quotes", "reviews", "total", F.col("_q.text").alias("text"), F.col("_q.relation").alias("relation"), F.col("_q.gist").alias("gist"), "first_seq")
+
+
+def unique_pairs(phrases: DataFrame, relations: tuple[str, ...] = ()) -> DataFrame:
+    """``category, norm, product, review_id, quote``: which review said which quote of a unique phrase."""
+    return keyed(phrases, relations).where("review_id <> '' and quote <> ''").select("category", "norm", "product", "review_id", "quote").distinct()
 
 
 def placed_exactly(uniques: DataFrame, canonicals: DataFrame) -> DataFrame:
@@ -84,8 +103,15 @@ def cache_key(requests: DataFrame, columns: tuple[str, ...]) -> DataFrame:
     return requests.withColumn("cache_key", F.sha2(F.to_json(F.struct(*columns)), 256))
 
 
-def rendered(batches: DataFrame, by: tuple[str, ...], order: str, text: str) -> DataFrame:
-    """The numbered texts of each batch as one request text."""
-    listed = F.array_sort(F.collect_list(F.struct(order, text)))
-    lines = F.transform(listed, lambda x, i: F.concat(F.lit("["), (i + 1).cast("string"), F.lit("] "), x[text]))
-    return batches.groupBy(*by).agg(F.array_join(lines, "\n").alias("request"))
+def instructions(categories: DataFrame, header: str, footer: str, default: str = "a relevant customer phrase.") -> DataFrame:
+    """The system text of a profile ``(position, category, extract_rule)``, one row: a line for each category, in order."""
+    line = F.concat(F.lit("   - "), "category", F.lit(": "), F.coalesce(F.nullif(F.trim("extract_rule"), F.lit("")), F.lit(default)))
+    listed = F.array_sort(F.collect_list(F.struct("position", line.alias("line"))))
+    return categories.agg(F.concat(F.lit(header), F.array_join(F.transform(listed, lambda x: x["line"]), "\n"), F.lit("\n" + footer)).alias("system"))
+
+
+def rendered(batches: DataFrame, by: tuple[str, ...], order: str, line: Column, system: DataFrame) -> DataFrame:
+    """Each batch's request: its lines numbered from 0, a blank line between, and the system text."""
+    listed = F.array_sort(F.collect_list(F.struct(order, F.coalesce(line, F.lit("")).alias("line"))))
+    lines = F.transform(listed, lambda x, i: F.concat(F.lit("["), i.cast("string"), F.lit("] "), x["line"]))
+    return batches.groupBy(*by).agg(F.concat(F.lit("Reviews:\n\n"), F.array_join(lines, "\n\n")).alias("request")).crossJoin(F.broadcast(system))  # one row

@@ -11,7 +11,8 @@ from voxledger.operators import phrases as P
 from voxledger.operators import precedents as G
 from voxledger.operators import reviews as R
 from voxledger.operators import simjoin as S
-from voxledger.plans.bindings import GATE_LABELS_SQL, LEDGER_SQL, PHRASES_SQL, REVIEWS_SQL, gate_labels, ledger, phrases, quoted, reviews, sql_list, sql_norm, table
+from voxledger.plans.bindings import GATE_LABELS_SQL, LEDGER_SQL, MANIFEST_SQL, PHRASES_SQL, REVIEWS_SQL, gate_labels, ledger, manifest, phrases, quoted, reviews, sql_list, sql_norm, table
+from voxledger.sources.readers import mapped_products
 
 LED = f"WITH {LEDGER_SQL}, counted AS (SELECT canonical_id, product, count(DISTINCT review_id) AS votes FROM votes WHERE review_id <> '' GROUP BY ALL) "
 REV = f"WITH {REVIEWS_SQL} "
@@ -83,6 +84,51 @@ def exports(spark, sf_dir):
     return rows.groupBy("conv_id").agg(F.concat(F.lit("Example.com Customer reviews 4.3 out of 5 stars 120 global ratings "), text).alias("raw_text")).select(F.col("conv_id").cast("string").alias("file_stem"), "raw_text")
 
 
+def related(spark, sf_dir):
+    """Phrases with relation and gist; in one of the categories, which is keyed by relation, one in three has none."""
+    relation = F.when(F.col("phrase_seq") % 3 == 0, "").otherwise(F.concat(F.lit("Relation "), F.split("quote", " ")[0]))
+    return phrases(spark, sf_dir).withColumns({"relation": relation, "gist": F.concat(F.lit("Gist "), F.substring("quote", 1, 12))})
+
+
+RELATED_SQL = f"""related AS (SELECT *, CASE WHEN phrase_seq % 3 = 0 THEN '' ELSE 'Relation ' || string_split(quote, ' ')[1] END AS relation, 'Gist ' || substr(quote, 1, 12) AS gist FROM phrases),
+    keyed AS (SELECT *, CASE WHEN category = 'es' AND relation <> '' THEN relation ELSE quote END AS key_text FROM related), normed AS (SELECT *, {sql_norm("key_text")} AS norm FROM keyed)"""
+
+
+def status(spark, sf_dir):
+    """Folder status by category: reviews and taxonomy of its language, reports among the pages."""
+    groups, canonicals, _ = ledger(spark, sf_dir)
+    lines = F.element_at(F.array(*map(F.lit, ("en", "fr", "xx"))), (F.col("object_key") % 3 + 1).cast("int"))
+    reports = manifest(spark, sf_dir).select(lines.alias("product_line"), F.concat(F.lit("report-"), F.lpad(F.col("object_key").cast("string"), 9, "0")).alias("name"))
+    rows = canonicals.join(groups.select("group_id", "category"), "group_id")
+    return L.folder_status(reviews(spark, sf_dir).withColumnRenamed("author", "product_line"), groups.withColumnRenamed("category", "product_line"), rows.withColumnRenamed("category", "product_line"), reports)
+
+
+def products(spark, sf_dir):
+    """Every export file's product by a mapping table, files of one source being one product."""
+    stems = reviews(spark, sf_dir).select(F.col("stem").alias("file_stem"), F.col("file").alias("name"))
+    mapping = stems.distinct().withColumn("link", F.concat(F.lit("https://shop.example/"), F.lower("name")))
+    return L.products_sheet(mapped_products(stems, mapping, F.col("file_stem")))
+
+
+HEADER, FOOTER = "Quote what customers say, by category:\n", "Quote word for word."
+CATEGORIES = [(1, "en", "what is praised."), (2, "fr", " "), (3, "de", None)]
+
+
+def requests(spark, sf_dir):
+    r = reviews(spark, sf_dir).withColumn("product", F.col("stem"))
+    line = F.concat(F.lit("rating="), (F.col("seq") % 5 + 1).cast("string"), F.lit(" | title: "), F.coalesce("author", F.lit("")), F.lit("\n"), F.coalesce("body", F.lit("")))
+    system = P.instructions(spark.createDataFrame(CATEGORIES, "position int, category string, extract_rule string"), HEADER, FOOTER)
+    return P.rendered(P.request_batches(r), ("file", "run", "batch"), "seq", line, system)
+
+
+def answers(spark, sf_dir):
+    """A judge's loose answers: an object in prose and a code fence, with indexes, categories and quotes that don't count."""
+    quote = lambda i, q, *c: F.struct(F.lit(i).alias("index"), q.cast("string").alias("quote"), F.array(*c).alias("categories"))
+    told = F.struct(F.array(quote(1, F.substring("body", 1, 40), F.col("author"), F.lit("none")), quote(9, F.col("file"), F.col("author")), quote(2, F.lit("  "), F.lit("en")), quote(2, F.col("file"), F.col("author"), F.lit("en"))).alias("quotes"))
+    raw = reviews(spark, sf_dir).select(F.col("review_id").alias("batch_key"), F.lit(2).alias("n_reviews"), F.concat(F.lit("Here it is:\n```json\n"), F.to_json(told), F.lit("\n```\nAnything else?")).alias("response_text"))
+    return P.answered(raw, spark.createDataFrame([("en",), ("fr",), ("de",)], "category string"))
+
+
 def on_ledger(f):
     return lambda spark, sf_dir: f(*ledger(spark, sf_dir))
 
@@ -129,6 +175,7 @@ def cosine_items(spark, sf_dir):
 QUERIES = {
     "p7_product_key": on_reviews(lambda r: r.select("review_id", T.product_key(F.col("stem")).alias("product"))),
     "p8_remapped_ledger": on_ledger(lambda g, c, v: L.counted(L.remapped(v, F.regexp_replace("product", "[0-9]$", "")))),
+    "p8_renamed_cells": on_ledger(lambda g, c, v: L.renamed_cells(v, F.regexp_replace("product", "[0-9]$", ""))),
     "p9_renames": on_reviews(lambda r: L.renames(r.select(F.col("stem").alias("old"), T.product_key(F.col("stem")).alias("new")))),
     "p10_cutoff": on_reviews(lambda r: R.newest(r, "2024-06-01").select("review_id", "review_date", "place")),
     "p12_search": on_ledger(lambda g, c, v: L.search(c, v, "The")),
@@ -149,8 +196,10 @@ QUERIES = {
     "j15_override_targets": lambda s, d: L.by_name(phrases(s, d).select(F.split("quote", " ")[0].alias("wanted")).distinct(), ledger(s, d)[0], "name", "group_id"),
     "t8_relocated_rows": on_ledger(lambda g, c, v: L.counted(L.relocated(c, v, g.where("length(name) > 6").join(g.groupBy("category").agg(F.min_by("group_id", "ord").alias("to_group")), "category").select("group_id", "to_group"))[1])),
     "f15_lost_contexts": lambda s, d: R.lost_contexts(exports(s, d).withColumn("raw_text", F.replace("raw_text", F.lit("3 out of 5"), F.lit("3 ou t of 5")))),
-    "f18_requests": on_reviews(lambda r: P.rendered(P.request_batches(r.withColumn("product", F.col("stem"))).withColumn("title", F.col("body")), ("file", "run", "batch"), "seq", "title")),
-    "a8_unique_phrases": on_phrases(P.unique_phrases),
+    "f18_requests": requests,
+    "p11_answered": answers,
+    "a8_unique_phrases": lambda s, d: P.unique_phrases(related(s, d), ("es",)),
+    "a8_unique_pairs": lambda s, d: P.unique_pairs(related(s, d), ("es",)),
     "a9_votes": on_ledger(lambda g, c, v: L.counted(v)),
     "a9_reconciled": on_ledger(lambda g, c, v: L.reconciled(v.groupBy("canonical_id", "product").agg((F.count("*") + 2).alias("votes")), v)),
     "a10_totals": on_ledger(L.totals),
@@ -158,10 +207,10 @@ QUERIES = {
     "a12_two_level_report": on_ledger(L.two_level),
     "a13_relation_report": lambda s, d: L.relation_report(*ledger(s, d), s.createDataFrame(BUCKETS, "category string, label string")),
     "a14_wish_report": on_ledger(lambda g, c, v: L.wish_report(c, v)),
-    "a15_products": on_phrases(lambda p: p.select("product").distinct()),
+    "a15_products": products,
     "a16_rule_weights": on_labels(G.rule_weights),
     "a17_soft_rules": on_labels(lambda x: G.soft_rules(G.rule_weights(x), 3, 0.1)),
-    "a22_folder_status": on_reviews(lambda r: r.groupBy("file").agg(F.countDistinct("stem").alias("files"), F.count("*").alias("reviews"), F.max("review_date").alias("newest"))),
+    "a22_folder_status": status,
     "a23_parse_stats": lambda s, d: R.parse_stats(exports(s, d)),
     "a24_queue_counts": lambda s, d: G.queue_counts(gate_labels(s, d).select(F.concat(F.lit("type"), (F.col("ts") % 8).cast("string")).alias("type"), "category", "phrase", "into"), gate_labels(s, d).where("label = 'merge'")),
     "k1_verdicts": on_labels(lambda x: G.verdicts(x.select("category", F.col("into").alias("phrase"), F.col("phrase").alias("into"), "reason", "ts"), x.where("ts % 2 = 0"))),
@@ -224,7 +273,8 @@ ORACLES = {
     "t8_relocated_rows": LED + """, home AS (SELECT category, arg_min(group_id, ord) AS h FROM groups GROUP BY category), placed AS (SELECT canonical_id, text, c.ord, CASE WHEN length(g.name) > 6 THEN h ELSE g.group_id END AS grp FROM canonicals c JOIN groups g ON g.group_id = c.group_id JOIN home USING (category)),
         kept AS (SELECT canonical_id, first_value(canonical_id) OVER (PARTITION BY grp, text ORDER BY ord) AS keep FROM placed) SELECT keep AS canonical_id, product, count(DISTINCT review_id) AS votes FROM votes JOIN kept USING (canonical_id) GROUP BY ALL""",
     "j11_exact_precedents": LAB + "SELECT category, a, b, arg_max(label, ts * 2 + o) AS label FROM (SELECT category, phrase AS a, into_ AS b, label, ts, 0 AS o FROM gate_labels UNION ALL SELECT category, into_, phrase, label, ts, 1 FROM gate_labels) GROUP BY ALL",
-    "a8_unique_phrases": PHR + "SELECT category, norm, product, n, quotes, reviews, CAST(sum(n) OVER w AS BIGINT) AS total, first_value(q) OVER (PARTITION BY category, norm ORDER BY s) AS text, min(s) OVER w AS first_seq FROM (SELECT category, norm, product, count(*) AS n, count(DISTINCT quote) AS quotes, count(DISTINCT review_id) AS reviews, arg_min(quote, phrase_seq) AS q, min(phrase_seq) AS s FROM normed GROUP BY ALL) WINDOW w AS (PARTITION BY category, norm)",
+    "a8_unique_phrases": f"WITH {PHRASES_SQL}, {RELATED_SQL} SELECT category, norm, product, n, quotes, reviews, CAST(sum(n) OVER w AS BIGINT) AS total, first_value(q) OVER f AS text, first_value(rel) OVER f AS relation, first_value(g) OVER f AS gist, min(s) OVER w AS first_seq FROM (SELECT category, norm, product, count(*) AS n, count(DISTINCT quote) AS quotes, count(DISTINCT review_id) AS reviews, arg_min(trim(key_text), phrase_seq) AS q, arg_min(relation, phrase_seq) AS rel, arg_min(gist, phrase_seq) AS g, min(phrase_seq) AS s FROM normed GROUP BY ALL) WINDOW w AS (PARTITION BY category, norm), f AS (PARTITION BY category, norm ORDER BY s)",
+    "a8_unique_pairs": f"WITH {PHRASES_SQL}, {RELATED_SQL} SELECT DISTINCT category, norm, product, review_id, quote FROM normed",
     "a9_votes": LED + "SELECT * FROM counted",
     "a9_reconciled": LED + "SELECT s.canonical_id, s.product, c.votes, greatest(s.votes - c.votes, 0) AS removed FROM (SELECT canonical_id, product, count(*) + 2 AS votes FROM votes GROUP BY ALL) s JOIN counted c ON s.canonical_id = c.canonical_id AND s.product = c.product",
     "a10_totals": LED + f", {CELLS} SELECT category, group_id, canonical_id, CAST(sum(votes) AS BIGINT) AS votes FROM cells GROUP BY ROLLUP (category, group_id, canonical_id)",
@@ -238,10 +288,15 @@ ORACLES = {
         LEFT JOIN (VALUES {", ".join(f"('{a}', '{b}')" for a, b in BUCKETS)}) b(category, label) ON b.category = c.category GROUP BY ALL)
         SELECT *, CAST(sum(votes) OVER (PARTITION BY bucket, group_id) AS BIGINT) AS group_total, CAST(sum(votes) OVER (PARTITION BY bucket) AS BIGINT) AS bucket_total FROM r""",
     "a14_wish_report": LED + f", {CELLS}, {WISH} SELECT canonical_id, product, votes, quotes, group_id, text, CAST(sum(votes) OVER (PARTITION BY group_id) AS BIGINT) AS group_total FROM cells JOIN (SELECT canonical_id, product, string_agg(quote, '; ' ORDER BY n) AS quotes FROM q WHERE n <= 2 GROUP BY ALL) USING (canonical_id, product)",
-    "a15_products": PHR + "SELECT DISTINCT product FROM phrases",
+    "a15_products": REV + "SELECT DISTINCT file AS name, 'https://shop.example/' || lower(file) AS link FROM reviews",
+    "p8_renamed_cells": LED + "SELECT count(*) AS renamed FROM (SELECT DISTINCT canonical_id, product FROM votes WHERE regexp_replace(product, '[0-9]$', '') <> product)",
+    "p11_answered": REV + "SELECT review_id AS batch_key, 2 AS n_reviews, 1 AS index, substr(body, 1, 40) AS quote, author AS category FROM reviews WHERE trim(substr(body, 1, 40)) <> '' AND author IN ('en', 'fr', 'de') UNION ALL SELECT review_id, 2, 2, file, author FROM reviews WHERE trim(file) <> '' AND author IN ('en', 'fr', 'de') UNION ALL SELECT review_id, 2, 2, file, 'en' FROM reviews WHERE trim(file) <> ''",
+    "f13_segmented_reviews": r"""SELECT CAST(conv_id AS VARCHAR) AS file_stem, conv_id || ':' || n AS review_id, CASE WHEN n = 1 THEN '' ELSE role END AS author, CAST(turn % 5 + 1 AS DOUBLE) AS rating, 'Turn ' || turn AS title,
+        make_date(2024, CASE WHEN turn % 2 = 0 THEN 3 ELSE 6 END, CAST(conv_id % 28 + 1 AS INTEGER)) AS review_date, '' AS variant, trim(regexp_replace(regexp_replace(text, '[^\p{L}\p{M}\p{N}\p{Pc} .,]', ' ', 'g'), ' +', ' ', 'g')) AS body
+        FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations)""",
     "a16_rule_weights": LAB + "SELECT reason, count(*) FILTER (label = 'keep') AS n_keep, count(*) FILTER (label = 'merge') AS n_merge FROM gate_labels WHERE reason IS NOT NULL GROUP BY reason",
     "a17_soft_rules": LAB + "SELECT *, n_keep + n_merge >= 3 AND n_merge >= 0.1 * (n_keep + n_merge) AS soft FROM (SELECT reason, count(*) FILTER (label = 'keep') AS n_keep, count(*) FILTER (label = 'merge') AS n_merge FROM gate_labels WHERE reason IS NOT NULL GROUP BY reason)",
-    "a22_folder_status": REV + "SELECT file, count(DISTINCT stem) AS files, count(*) AS reviews, max(review_date) AS newest FROM reviews GROUP BY file",
+    "a22_folder_status": f"WITH {LEDGER_SQL}, {REVIEWS_SQL}, {MANIFEST_SQL}, r AS (SELECT author AS product_line, count(DISTINCT stem) AS files, count(*) AS reviews FROM reviews GROUP BY 1), g AS (SELECT category AS product_line, count(*) AS groups FROM groups GROUP BY 1), c AS (SELECT string_split(canonical_id, '|')[1] AS product_line, count(*) AS phrases FROM canonicals GROUP BY 1), p AS (SELECT ['en', 'fr', 'xx'][CAST(object_key % 3 + 1 AS INTEGER)] AS product_line, 'report-' || lpad(CAST(max(object_key) AS VARCHAR), 9, '0') AS last_report FROM manifest GROUP BY 1) SELECT product_line, coalesce(files, 0) AS files, coalesce(reviews, 0) AS reviews, coalesce(groups, 0) AS groups, coalesce(phrases, 0) AS phrases, last_report FROM r FULL JOIN g USING (product_line) FULL JOIN c USING (product_line) FULL JOIN p USING (product_line)",
     "a23_parse_stats": "SELECT CAST(conv_id AS VARCHAR) AS file_stem, CAST(count(*) AS INTEGER) AS expected, count(*) AS parsed, 0 AS lost FROM conversations GROUP BY conv_id",
     "a24_queue_counts": LAB + "SELECT 'type' || CAST(ts % 8 AS VARCHAR) AS type, count(*) AS n, count(k) AS n_labelled FROM gate_labels g LEFT JOIN (SELECT DISTINCT category AS c, phrase AS p, into_ AS i, 1 AS k FROM gate_labels WHERE label = 'merge') l ON c = category AND p = phrase AND i = into_ GROUP BY 1",
     "k1_verdicts": LAB
@@ -254,7 +309,8 @@ ORACLES = {
     "f18_requests": REV
     + """, runs AS (SELECT *, CAST(sum(new) OVER (PARTITION BY file ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS run FROM (SELECT *, CASE WHEN stem = lag(stem) OVER (PARTITION BY file ORDER BY seq) THEN 0 ELSE 1 END AS new FROM reviews)),
         parts AS (SELECT *, CAST(floor((row_number() OVER (PARTITION BY file, run ORDER BY seq) - 1) / 8) AS BIGINT) AS batch FROM runs), listed AS (SELECT *, row_number() OVER (PARTITION BY file, run, batch ORDER BY seq) AS i FROM parts)
-        SELECT file, run, batch, coalesce(string_agg('[' || i || '] ' || body, chr(10) ORDER BY i), '') AS request FROM listed GROUP BY file, run, batch""",
+        SELECT file, run, batch, 'Reviews:' || chr(10) || chr(10) || string_agg('[' || (i - 1) || '] rating=' || (seq % 5 + 1) || ' | title: ' || coalesce(author, '') || chr(10) || coalesce(body, ''), chr(10) || chr(10) ORDER BY i) AS request,
+        'Quote what customers say, by category:' || chr(10) || '   - en: what is praised.' || chr(10) || '   - fr: a relevant customer phrase.' || chr(10) || '   - de: a relevant customer phrase.' || chr(10) || 'Quote word for word.' AS system FROM listed GROUP BY file, run, batch""",
     "f1_normalized": REV + f"SELECT review_id, {sql_norm('body')} AS norm FROM reviews",
     "k2_captured_labels": LAB + "SELECT * FROM (SELECT category || ' | ' || phrase || ' | ' || into_ AS key, arg_max(CASE WHEN ts % 6 = 0 THEN 'undo' ELSE label END, ts) AS label, max(ts) AS ts FROM gate_labels GROUP BY 1) WHERE label <> 'undo'",
     "u1_review_union": REV + "SELECT file, count(*) AS n FROM reviews GROUP BY file",

@@ -169,12 +169,28 @@ def parked(spark, sf_dir):
 
 
 def group_merges(spark, sf_dir):
-    """Groups of seven-letter names go into their category's first group."""
+    """Groups of seven-letter names go into their category's first group, and so do single rows."""
     groups, canonicals, votes = ledger(spark, sf_dir)
     home = groups.groupBy("category").agg(F.min_by("group_id", "ord").alias("keep_id"))
     merges = groups.where("length(name) = 7").join(home, "category").select(F.col("group_id").alias("merge_id"), "keep_id", F.col("ord").alias("seq"))
-    none = spark.createDataFrame([], "canonical_id string, target_group_id string, seq long")
-    return D.reviewed_groups(groups, canonicals, votes, merges, none)[1].select("canonical_id", "group_id")
+    moves = canonicals.where("length(text) % 7 = 0").join(groups.select("group_id", "category"), "group_id").join(home, "category").select("canonical_id", F.col("keep_id").alias("target_group_id"), F.col("ord").alias("seq"))
+    return D.reviewed_groups(groups, canonicals, votes, merges, moves)[1].select("canonical_id", "group_id")
+
+
+def second_places(spark, sf_dir):
+    """Texts of short-named groups, placed as new rows of their category's first other group: those of even length get a
+    second group by its name, the others the category's first row by its text."""
+    groups, canonicals = long_groups(spark, sf_dir)
+    ranked = groups.withColumn("n", F.row_number().over(Window.partitionBy("category").orderBy("ord")))
+    homes = ranked.where("n = 1").select("category", F.col("group_id").alias("group_key")).join(ranked.where("n = 2").select("category", "name"), "category", "left")
+    first = canonicals.join(groups.select("group_id", "category"), "group_id").groupBy("category").agg(F.min_by("text", "ord").alias("row_text"))
+    every, all_rows, _ = ledger(spark, sf_dir)
+    pending = all_rows.join(every.where("usage_category is null").select("group_id", "category"), "group_id").select(F.col("canonical_id").alias("id"), "category", "text")
+    told = cut(pending.join(homes, "category").join(first, "category"))
+    placed = told.select("id", F.concat(F.lit("new:"), "id").alias("row_key"), "group_key", F.lit("new_row").alias("how"))
+    even, none = F.length("text") % 2 == 0, F.lit(None).cast("string")
+    decisions = told.select("id", none.alias("second_group_id"), F.when(even, F.upper("name")).alias("second_group_new_name"), none.alias("second_canonical_id"), F.when(~even, F.col("row_text")).alias("second_canonical_text"))
+    return D.placed_again(placed, pending, decisions, canonicals, groups)
 
 
 def row_merges(spark, sf_dir):
@@ -196,6 +212,7 @@ def rebuilt(spark, sf_dir):
 
 QUERIES = {
     "t3_vetoed": vetoed,
+    "t4_second_places": second_places,
     "t5_parked": parked,
     "t9_group_merges": group_merges,
     "t10_row_merges": row_merges,
@@ -254,12 +271,17 @@ ORACLES = {
         met AS (SELECT a.i AS a, b.i AS b, count(*) AS c, any_value(a.n) AS na, any_value(b.n) AS nb FROM parts a JOIN parts b ON a.k = b.k AND a.i < b.i GROUP BY a.i, b.i HAVING 0.6 * count(*) / (any_value(a.n) + any_value(b.n) - count(*)) >= 0.35 - 1e-9),
         near AS (SELECT l.id AS l, r.id AS r, 0.6 * ({sql_jaccard("l.toks", "r.toks")}) + 0.4 * ({sql_jaccard("l.grams", "r.grams")}) AS sim FROM met JOIN numbered l ON l.rowid_ = a JOIN numbered r ON r.rowid_ = b)
         SELECT l, r, round(sim, 6) AS sim FROM near WHERE sim >= 0.75 UNION ALL SELECT r, l, round(sim, 6) FROM near WHERE sim >= 0.75""",
+    "t4_second_places": f"""WITH {LEDGER_SQL}, g AS (SELECT *, row_number() OVER (PARTITION BY category ORDER BY ord) AS n FROM groups WHERE usage_category IS NOT NULL), c AS (SELECT canonicals.*, category FROM canonicals JOIN g USING (group_id)),
+        one AS (SELECT category, group_id AS g1 FROM g WHERE n = 1), two AS (SELECT category, group_id AS g2 FROM g WHERE n = 2), first AS (SELECT category, arg_min(text, ord) AS t FROM c GROUP BY 1), anywhere AS (SELECT text, arg_min(canonical_id, ord) AS canonical_id, arg_min(group_id, ord) AS group_id FROM c GROUP BY 1),
+        p AS (SELECT canonical_id AS id, category, text, g1, g2, t FROM canonicals JOIN (SELECT group_id, category FROM groups WHERE usage_category IS NULL) USING (group_id) JOIN one USING (category) LEFT JOIN two USING (category) JOIN first USING (category))
+        SELECT id, 'new:' || g2 || '|' || text AS row_key, g2 AS group_key, text, 'second_group' AS how FROM p WHERE length(text) % 2 = 0 AND g2 IS NOT NULL
+        UNION ALL SELECT p.id, coalesce(c.canonical_id, a.canonical_id), CASE WHEN c.canonical_id IS NULL THEN a.group_id ELSE g1 END, p.text, 'second_row' FROM p LEFT JOIN c ON c.group_id = g1 AND c.text = t JOIN anywhere a ON a.text = t WHERE length(p.text) % 2 = 1""",
     "t5_parked": name_pairs_sql(0.25)
     + """, few AS (SELECT group_id AS id, category FROM groups WHERE usage_category IS NULL), many AS (SELECT group_id AS id, category, ord FROM groups WHERE usage_category IS NOT NULL)
         SELECT f.id, coalesce(b.r, h.first) AS nearest FROM few f LEFT JOIN (SELECT l, r FROM (SELECT l, r, row_number() OVER (PARTITION BY l ORDER BY sim DESC, r) AS k FROM near WHERE r IN (SELECT id FROM many)) WHERE k = 1) b ON f.id = b.l
         LEFT JOIN (SELECT category, arg_min(id, ord) AS first FROM many GROUP BY 1) h ON h.category = f.category""",
     "t9_group_merges": f"""WITH {LEDGER_SQL}, home AS (SELECT category, arg_min(group_id, ord) AS h, count(*) AS n FROM groups GROUP BY 1)
-        SELECT canonical_id, CASE WHEN length(g.name) = 7 AND n > 3 THEN h ELSE g.group_id END AS group_id FROM canonicals c JOIN groups g ON g.group_id = c.group_id JOIN home USING (category)""",
+        SELECT canonical_id, CASE WHEN (length(g.name) = 7 OR length(text) % 7 = 0) AND n > 3 THEN h ELSE g.group_id END AS group_id FROM canonicals c JOIN groups g ON g.group_id = c.group_id JOIN home USING (category)""",
     "t13_rebuilt": f"WITH {LEDGER_SQL} SELECT DISTINCT category || '|' || text AS canonical_id, product, review_id, quote FROM named WHERE length(first) > 4",
     "t3_decided": f"WITH {LEDGER_SQL} SELECT CAST(phrase_seq AS VARCHAR) AS id, CASE WHEN text = '' THEN 'new|' || category || '|' ELSE category || '|' || string_split(text, ' ')[1] END AS group_key, CASE WHEN text = '' THEN 'new_group' ELSE 'new_row' END AS how FROM norm",
     "t9_resolved_merges": "SELECT page_id AS merge_id, CAST(0 AS BIGINT) AS keep_id FROM pages WHERE page_id > 0",

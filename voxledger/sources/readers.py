@@ -3,7 +3,8 @@ sources, so that any path Spark can open will do."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 REQUIRED = ("asin", "product-name", "reason", "customer-comments")
@@ -87,22 +88,110 @@ def read_gate_labels(spark: SparkSession, root: str, name: str = "gate_labels.js
 
 
 def ledger_from_cells(cells: DataFrame) -> DataFrame:
-    """The vote ledger of stored cells ``(canonical_id, product, votes, review_ids, quotes)``: ids and quotes zipped, short
-    lists filled with '', counts without ids kept as synthetic ids, each (row, product, review, quote) once."""
-    filled = lambda c: F.coalesce(F.col(c), F.array().cast("array<string>"))
+    """The vote ledger of stored cells ``(canonical_id, product, votes, review_ids, quotes)``: distinct ids and quotes zipped,
+    short lists filled with '', counts without ids kept as synthetic ids, each (row, product, review, quote) once."""
+    filled = lambda c: F.array_distinct(F.coalesce(F.col(c), F.array().cast("array<string>")))
     legacy = F.when((F.size(filled("review_ids")) == 0) & (F.col("votes") > 0), F.transform(F.sequence(F.lit(1), F.greatest(F.col("votes"), F.lit(1)).cast("int")), lambda i: F.concat(F.lit("__legacy_"), i.cast("string")))).otherwise(filled("review_ids"))
     out = cells.withColumn("review_id", legacy).withColumn("quote", filled("quotes")).select("canonical_id", "product", F.explode(F.arrays_zip("review_id", "quote")).alias("z"))
     return out.select("canonical_id", "product", F.coalesce("z.review_id", F.lit("")).alias("review_id"), F.coalesce("z.quote", F.lit("")).alias("quote")).dropDuplicates()
 
 
-def write_snapshot(tables: dict[str, DataFrame], path: str) -> None:
-    """All tables of a snapshot, each under its name in a new folder."""
-    for name, df in tables.items():
-        df.write.mode("errorifexists").parquet(f"{path}/{name}")
-
-
-def read_snapshot(spark: SparkSession, path: str, names: tuple[str, ...] = ("groups", "canonicals", "votes")) -> dict[str, DataFrame]:
-    return {name: spark.read.parquet(f"{path}/{name}") for name in names}
+def read_legacy_taxonomy(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+    """The legacy layout, one JSON object a product folder, as ``groups, canonicals, cells, quote_sources``, with the folder
+    as ``product_line`` and list places as ``ord``. A cell has what any of a row's maps says of a product."""
+    counts, lists = "map<string,bigint>", "map<string,array<string>>"
+    shape = f"groups array<struct<id: string, category: string, name: string, usage_category: string>>, canonicals array<struct<id: string, text: string, group_id: string, votes: {counts}, quotes: {lists}, review_ids: {lists}, quote_sources: map<string,{lists}>>>"
+    one = spark.read.schema(shape).json(path, multiLine=True).withColumn("product_line", F.element_at(F.split("_metadata.file_path", "/"), -2))
+    groups = one.select("product_line", F.posexplode("groups").alias("ord", "g")).select("product_line", F.col("g.id").alias("group_id"), "g.category", "g.name", F.nullif("g.usage_category", F.lit("")).alias("usage_category"), "ord")
+    rows = one.select("product_line", F.posexplode("canonicals").alias("ord", "c")).select("product_line", F.col("c.id").alias("canonical_id"), "c.*", "ord").drop("id")
+    keys = lambda c: F.coalesce(F.map_keys(c), F.array().cast("array<string>"))
+    products = F.array_distinct(F.concat(keys("votes"), keys("quotes"), keys("review_ids")))
+    cells = rows.select("product_line", "canonical_id", "votes", "quotes", "review_ids", F.explode(products).alias("product"))
+    cells = cells.select("product_line", "canonical_id", "product", F.coalesce(F.col("votes")[F.col("product")], F.lit(0)).alias("votes"), F.col("review_ids")[F.col("product")].alias("review_ids"), F.col("quotes")[F.col("product")].alias("quotes"))
+    said = rows.select("product_line", "canonical_id", F.explode("quote_sources").alias("product", "q")).select("product_line", "canonical_id", "product", F.explode("q").alias("quote", "r"))
+    return {
+        "groups": groups,
+        "canonicals": rows.select("product_line", "canonical_id", "group_id", "text", "ord"),
+        "cells": cells,
+        "quote_sources": said.select("product_line", "canonical_id", "product", "quote", F.explode("r").alias("review_id")).distinct(),
+    }
+
+
+def migrated(cells: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The ledgers of legacy cells, by product line, and the cells whose votes do not come back from them."""
+    keyed = cells.withColumn("canonical_id", F.to_json(F.struct("product_line", "canonical_id")))
+    both = F.from_json("canonical_id", "product_line string, canonical_id string")
+    plain = lambda d: d.withColumn("_k", both).select("_k.product_line", "_k.canonical_id", *(c for c in d.columns if c != "canonical_id"))
+    votes = ledger_from_cells(keyed)
+    back = votes.where("review_id <> ''").groupBy("canonical_id", "product").agg(F.countDistinct("review_id").alias("after"))
+    compared = keyed.select("canonical_id", "product", F.col("votes").alias("before")).join(back, ["canonical_id", "product"], "left").withColumn("after", F.coalesce("after", F.lit(0)))
+    return plain(votes), plain(compared.where("before <> after"))
+
+
+#: What makes a vote the same vote.
+VOTE_KEY = ("canonical_id", "product", "review_id", "quote")
+
+
+class Snapshots:
+    """Versions of a taxonomy's tables under one folder of any store that Spark opens.
+
+    A version's tables are written first, each to a folder of the version's number; the version then comes into being by
+    one small commit table. Readers see committed versions only, so a run that is lost between the two leaves the
+    state before it, and the next run writes over what was left. A version is whole, or adds votes to those since the
+    last whole one. One writer at a time.
+    """
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path
+
+    def commits(self) -> list[Row]:
+        """Committed versions in order, since the last whole one."""
+        try:
+            rows = self.spark.read.schema("version long, base long").parquet(f"{self.path}/commits/*").orderBy("version").collect()
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return []
+        return [r for r in rows if r["version"] >= rows[-1]["base"]] if rows else []
+
+    def commit(self, version: int, base: int) -> None:
+        self.spark.createDataFrame([(version, base)], "version long, base long").coalesce(1).write.mode("overwrite").parquet(f"{self.path}/commits/{version}")
+
+    def at(self, version: int, name: str) -> str:
+        return f"{self.path}/version={version}/{name}"
+
+    def save(self, tables: dict[str, DataFrame]) -> int:
+        """A whole new version of all tables, votes once each; its number."""
+        version = (self.commits() or [{"version": 0}])[-1]["version"] + 1
+        for name, df in tables.items():
+            (df.dropDuplicates(list(VOTE_KEY)) if name == "votes" else df).write.mode("overwrite").parquet(self.at(version, name))
+        self.commit(version, version)
+        return version
+
+    def read(self, name: str) -> DataFrame:
+        """A table of the latest state."""
+        commits = self.commits()
+        if not commits:
+            raise ValueError(f"no committed version under {self.path}")
+        base = commits[0]["base"]
+        versions = [r["version"] for r in commits] if name == "votes" else [base]
+        return self.spark.read.parquet(*(self.at(v, name) for v in versions))
+
+    def insert_votes(self, votes: DataFrame) -> int:
+        """Add the votes whose (row, product, review, quote) isn't there yet, each once; how many they are."""
+        commits = self.commits()
+        if not commits:
+            raise ValueError(f"no committed version under {self.path}")
+        version, base = commits[-1]["version"] + 1, commits[-1]["base"]
+        there = self.read("votes").select(*(F.col(c).alias(f"_{c}") for c in VOTE_KEY))
+        same = F.lit(True)
+        for c in VOTE_KEY:
+            same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
+        votes.select(*self.read("votes").columns).dropDuplicates(list(VOTE_KEY)).join(there, same, "left_anti").write.mode("overwrite").parquet(self.at(version, "votes"))
+        new = self.spark.read.parquet(self.at(version, "votes")).count()
+        if new:
+            self.commit(version, base)
+        return new
 
 
 def append_usage(runs: DataFrame, path: str) -> None:
