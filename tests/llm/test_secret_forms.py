@@ -19,6 +19,10 @@ FORMS = {
     "prefix": f'password = b"{VALUE}"',
     "later constant": f'my_secret_key = BASE\nBASE = "{VALUE}"',
     "chain of later constants": f'my_secret_key = ONE\nONE = TWO\nTWO = "{VALUE}"',
+    "attributes": f'<add key="db.password" value="{VALUE}" />',
+    "setter": f'config.setPassword("{VALUE}");',
+    "snake setter": f"config.set_api_key('{VALUE}')",
+    "block in a block": f"data: |\n  private_key: |\n    {VALUE}\n  other: 1",
     "long name": f'password_{"of_the_service_" * 12}x = "{VALUE}"',
 }
 
@@ -53,7 +57,7 @@ def test_parts_blocks_elements_and_comparisons():
 def test_time_is_linear_in_a_long_text():
     import time
 
-    for unit in ("a=b&", "a=a=", "a::a", 'a="a='):
+    for unit in ("a=b&", "a=a=", "a::a", 'a="a=', " a: |\n", '<a key="b"', "setA("):
         began = time.perf_counter()
         secret_scan.all_spans(unit * 50_000)
         assert time.perf_counter() - began < 30

@@ -19,6 +19,7 @@ import hashlib
 import math
 import re
 from collections import Counter
+from functools import lru_cache
 from typing import NamedTuple
 
 import pyarrow as pa
@@ -45,9 +46,12 @@ LITERAL = re.compile(
 BARE = 6
 #: A further part of a literal that is put together with plus signs; a block under a name; an element with text.
 PART = re.compile(r"""["'`][ \t]*\\?\n?[ \t]*\+[ \t]*\n?[ \t]*(?:"([^"\\\n]*)"|'([^'\\\n]*)'|`([^`]*)`)""")
-BLOCK = re.compile(r"[ \t]*[|>][+-]?\d?[ \t]*\n((?:[ \t]+[^\n]*\n?)+)")
+BLOCK = re.compile(r"[ \t]*[|>][+-]?\d?[ \t]*\n")
 ELEMENT = re.compile(r"<([A-Za-z_][\w.\-]*)(?:[ \t][^<>\n]*)?>([^<>]+)</\1")
-#: Characters that a type, or a literal inside another bare literal, may have: so the scan takes linear time.
+#: A name and a value as attributes of one element; a value handed to a setter.
+ATTRIBUTES = re.compile(r"""<[A-Za-z][^<>\n]{0,256}?\b(?:key|name)[ ]?=[ ]?["']([^"'\n]{1,128})["'][^<>\n]{0,256}?\bvalue[ ]?=[ ]?["']([^"'\n]+)["']""")
+SETTER = re.compile(r"""\bset_?([A-Z]\w{0,127}|(?<=_)[a-z]\w{0,127})\([ ]?["']([^"'\n]+)["'][ ]?\)""", re.A)
+#: Characters that a type, or a literal or block inside another one, may have: so the scan takes linear time.
 TYPE_LENGTH, NESTED_LENGTH = 128, 1024
 SENSITIVE = {"password": 3.0, "passwd": 3.0, "pwd": 2.5, "pass": 2.0, "passphrase": 3.0, "secret": 3.0, "token": 2.5, "apikey": 3.0, "key": 1.2, "credential": 2.5, "auth": 1.5, "private": 1.5, "access": 1.0, "signature": 1.5, "salt": 1.5, "bearer": 2.5}
 HARMLESS = {"public": 2.0, "example": 2.0, "test": 0.5, "primary": 1.5, "foreign": 1.5, "path": 1.0, "url": 1.0, "name": 1.0, "length": 1.5, "count": 1.5, "type": 1.0}
@@ -92,12 +96,14 @@ def literal_score(value: str) -> float:
 
 def lexed_spans(text: str, threshold: float = 4.0) -> list[Span]:
     """Literals whose target, directly or through constants, is named like a secret."""
-    if "=" not in text and ":" not in text and "</" not in text:
+    if "=" not in text and ":" not in text and "</" not in text and "set" not in text:
         return []
     ends = {m.end(): m[0] for m in NAME.finditer(text)}
     declared = {m.end() - 1: m[1] for m in DECLARED.finditer(text)}
     found: list[tuple[set[str], str, int, int, bool]] = [({m[1]}, m[2].strip(), *trimmed(text, m.start(2), m.end(2)), False) for m in ELEMENT.finditer(text)] if "</" in text else []
-    covered = 0
+    for pattern, sign in ((ATTRIBUTES, "<"), (SETTER, "set")):
+        found += [({m[1]}, m[2].strip(), *trimmed(text, m.start(2), m.end(2)), False) for m in pattern.finditer(text)] if sign in text else []
+    covered = in_block = 0
     for sign in SIGN.finditer(text):
         at = sign.start()
         name = name_before(text, at, ends)
@@ -107,9 +113,13 @@ def lexed_spans(text: str, threshold: float = 4.0) -> list[Span]:
         if not names:
             continue
         if sign[0] == ":" and (block := BLOCK.match(text, sign.end())):
-            start, end = trimmed(text, block.start(1), block.end(1))
-            found.append((names, text[start:end], start, end, False))
-            continue
+            line = text.rfind("\n", 0, at) + 1
+            lines = deeper(len(text[line:at]) - len(text[line:at].lstrip(" \t"))).match(text, block.end(), len(text) if at >= in_block else block.end() + NESTED_LENGTH)
+            if lines is not None:
+                in_block = max(in_block, lines.end())
+                start, end = trimmed(text, lines.start(), lines.end())
+                found.append((names, text[start:end], start, end, False))
+                continue
         literal = LITERAL.match(text, sign.end(), len(text) if at >= covered else sign.end() + NESTED_LENGTH)
         if literal is None:
             continue
@@ -135,6 +145,12 @@ def lexed_spans(text: str, threshold: float = 4.0) -> list[Span]:
     return list(out.values())
 
 
+@lru_cache(maxsize=256)
+def deeper(indent: int) -> re.Pattern:
+    """Lines that are indented by more than ``indent`` blanks."""
+    return re.compile(rf"(?:[ \t]{{{indent + 1},}}[^\n]*\n?)+")
+
+
 def trimmed(text: str, start: int, end: int) -> tuple[int, int]:
     """The place without white space at its ends."""
     part = text[start:end]
