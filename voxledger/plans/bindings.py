@@ -19,6 +19,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """Rows over all cores where the files make fewer tasks than there are cores; large tables make more."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
 def quoted(x: str | None) -> str:
     return "NULL" if x is None else "'" + x.replace("'", "''") + "'"
 
@@ -81,7 +87,7 @@ MOST_SENTENCES = 1 << 24
 
 def phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All sentences of documents as tagged quotes: category from the language, product from the source."""
-    rows = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", F.posexplode(F.split("text", r"\.", -1)).alias("pos", "raw"))
+    rows = spread(table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text")).select("doc_id", "lang", "source", F.posexplode(F.split("text", r"\.", -1)).alias("pos", "raw"))
     return rows.withColumn("quote", F.trim("raw")).where("quote <> ''").select("quote", F.col("lang").alias("category"), F.col("source").alias("product"), F.col("doc_id").cast("string").alias("review_id"), (F.col("doc_id") * MOST_SENTENCES + F.col("pos")).alias("phrase_seq"))
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from voxledger.functions import text as T
+from voxledger.operators import cosine as C
 from voxledger.operators import evaluate as E
 from voxledger.operators import ledger as L
 from voxledger.operators import phrases as P
@@ -185,7 +186,7 @@ QUERIES = {
     "j2_exact_placement": lambda s, d: P.placed_exactly(P.unique_phrases(phrases(s, d)), ledger(s, d)[1].withColumn("category", F.split("canonical_id", r"\|")[0])).select("category", "norm", "product", "n", "canonical_id"),
     "j3_lexical_join": lambda s, d: name_pairs(0.5)(s, d).select("l", "r", F.round("sim", 6).alias("sim")),
     "j5_lexical_shortlist": lambda s, d: S.shortlist(name_pairs(0.3)(s, d).withColumn("sim", F.round("sim", 9)), 5).select("l", "r", "rank"),
-    "j6_cosine_shortlist": lambda s, d: S.cosine_shortlist(cosine_items(s, d), cosine_items(s, d)),
+    "j6_cosine_shortlist": lambda s, d: C.cosine_shortlist(cosine_items(s, d), cosine_items(s, d)),
     "j7_nearest_row": lambda s, d: S.nearest(names(s, d), names(s, d), name_pairs(0.3)(s, d).withColumn("sim", F.round("sim", 9))),
     "j8_new_group_suspects": lambda s, d: name_pairs(0.25)(s, d).select("l").distinct(),
     "j9_contained_phrases": on_phrases(P.contained),
