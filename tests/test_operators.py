@@ -1,5 +1,9 @@
 """Golden cases of the operators that SQL on the generic tables doesn't reach."""
 
+import random
+import re
+import unicodedata
+
 from pyspark.sql import functions as F
 
 from voxledger.functions import text as T
@@ -59,6 +63,16 @@ def test_normalize_keeps_the_key_form(spark):
     assert row["n"] == "nai ve cafe"
 
 
+def test_normalize_is_that_of_the_unicode_database(spark):
+    """In scripts that every JVM knows: decomposition, case folding and word characters."""
+    rng = random.Random(8)
+    blocks = [(0x20, 0x7F), (0xA0, 0x250), (0x370, 0x374), (0x388, 0x3CF), (0x400, 0x500), (0x5D0, 0x5EA), (0x620, 0x66F), (0x904, 0x96F), (0xE01, 0xE3A), (0x1E00, 0x1F00), (0x2000, 0x2030), (0x2460, 0x24FF), (0x3041, 0x3096), (0x4E00, 0x4F00), (0xAC00, 0xAD00), (0xFB00, 0xFB06), (0xFF01, 0xFF5E), (0x1D400, 0x1D454), (0x1F600, 0x1F640)]
+    texts = ["".join(chr(rng.randrange(*rng.choice(blocks))) for _ in range(rng.randrange(1, 15))) for _ in range(4000)] + ["", " ", "Straße ﬁn É ½"]
+    plainly = lambda t: re.sub(r"\s+", " ", re.sub(r"[^\w\s]", " ", unicodedata.normalize("NFKD", t).casefold())).strip()
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate([*texts, None])], "i int, t string").select("i", T.normalize(F.col("t")).alias("n")).collect()
+    assert {r["i"]: r["n"] for r in rows} == dict(enumerate([*map(plainly, texts), None]))
+
+
 def test_votes_are_distinct_reviews(spark):
     votes = spark.createDataFrame([("c1", "A", "A:1", "q"), ("c1", "A", "A:2", "q"), ("c2", "A", "A:2", "z"), ("c2", "A", "A:3", "z")], "canonical_id string, product string, review_id string, quote string")
     stored = spark.createDataFrame([("c1", "A", 9), ("x", "A", 3)], "canonical_id string, product string, votes long")
