@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,18 +17,82 @@ def with_review(phrases: DataFrame, reviews: DataFrame) -> DataFrame:
     return phrases.join(reviews.select("review_id", "body"), "review_id", "left")
 
 
-def contained(phrases: DataFrame) -> DataFrame:
-    """``a, b``: phrases of one (product, review, category) where a's words are a proper run of b's. They meet on the
-    first word of a, so that only phrases that share it are compared."""
+#: Phrases of one (product, review, category) that are looked through together; those of larger groups meet in a join.
+TOGETHER = 20_000
+
+
+def contained(phrases: DataFrame, together: int = TOGETHER) -> DataFrame:
+    """``a, b``: phrases of one (product, review, category) where a's words are a proper run of b's. A review's phrases are
+    sent once and looked up by their rarest words; where one group has more than ``together``, they meet on the first
+    word of a, spread over the tasks."""
+    key = ["product", "review_id", "category"]
+    words = F.regexp_extract_all(F.lower("quote"), F.lit(r"(?U)\w+"), 0)
+    rows = phrases.na.drop(subset=[*key, "phrase_seq"]).select(*key, "phrase_seq", F.array_join(words, " ").alias("text")).where("text <> ''")
+    large = F.broadcast(phrases.groupBy(*key).agg(F.count("*").alias("_n")).where(F.col("_n") > together).select(*key))  # one for ``together`` rows at most
+    kind = phrases.schema["phrase_seq"].dataType.simpleString()
+    small = rows.join(large, key, "left_anti").groupBy(*key).agg(F.collect_list(F.struct("phrase_seq", "text")).alias("_rows")).select("_rows")
+    return small.mapInArrow(_pairs_within, f"a {kind}, b {kind}").unionByName(_contained_by_join(rows.join(large, key, "left_semi")))
+
+
+def _contained_by_join(rows: DataFrame) -> DataFrame:
     key = ["product", "review_id", "category", "word"]
-    words = phrases.select(*key[:-1], "phrase_seq", F.regexp_extract_all(F.lower("quote"), F.lit(r"(?U)\w+"), 0).alias("ws"))
-    text = F.array_join("ws", " ")
-    a = words.where(F.size("ws") > 0).select(*key[:-1], F.get("ws", F.lit(0)).alias("word"), F.col("phrase_seq").alias("a"), text.alias("aw"), F.size("ws").alias("an"))
-    b = words.select(*key[:-1], F.explode(F.array_distinct("ws")).alias("word"), F.col("phrase_seq").alias("b"), text.alias("bw"), F.size("ws").alias("bn"))
+    words = rows.withColumn("ws", F.split("text", " "))
+    a = words.select(*key[:-1], F.get("ws", F.lit(0)).alias("word"), F.col("phrase_seq").alias("a"), F.col("text").alias("aw"), F.size("ws").alias("an"))
+    b = words.select(*key[:-1], F.explode(F.array_distinct("ws")).alias("word"), F.col("phrase_seq").alias("b"), F.col("text").alias("bw"), F.size("ws").alias("bn"))
     padded = lambda c: F.concat(F.lit(" "), F.col(c), F.lit(" "))
     return a.join(b, key).where((F.col("a") != F.col("b")) & (F.col("an") < F.col("bn")) & F.contains(padded("bw"), padded("aw"))).select("a", "b")
 
 
+class Runs:
+    """Distinct texts of words with blanks between, each under the word that is rarest among the first of them."""
+
+    def __init__(self, texts):
+        self.texts = {t: t.split(" ") for t in texts}
+        self.often = Counter(w for ws in self.texts.values() for w in set(ws))
+        self.under: dict[str, list[str]] = {}
+        for t in self.texts:
+            self._put(t)
+
+    def _put(self, text: str) -> None:
+        self.under.setdefault(min(self.texts[text], key=lambda w: self.often[w]), []).append(text)
+
+    def add(self, text: str) -> None:
+        if text not in self.texts:
+            self.texts[text] = text.split(" ")
+            self._put(text)
+
+    def inside(self, text: str) -> list[str]:
+        """The texts whose words are a proper run of this one's."""
+        padded, ws = f" {text} ", text.split(" ")
+        return [t for w in set(ws) for t in self.under.get(w, ()) if len(self.texts[t]) < len(ws) and f" {t} " in padded]
+
+
+#: Pairs that leave a task together.
+PAIRS = 100_000
+
+
+def _pairs_within(batches):
+    for batch in batches:
+        kind = batch.schema.field(0).type.value_type.field("phrase_seq").type
+        batch_of = lambda a, b: pa.RecordBatch.from_arrays([pa.array(a, kind), pa.array(b, kind)], names=["a", "b"])  # noqa: B023, E731
+        a, b = [], []
+        for rows in batch.column(0):
+            said: dict[str, list] = {}
+            for r in rows.as_py():
+                said.setdefault(r["text"], []).append(r["phrase_seq"])
+            runs = Runs(said)
+            for text, outer in said.items():
+                for inner in runs.inside(text):
+                    for y in outer:
+                        more = [x for x in said[inner] if x != y]
+                        a += more
+                        b += [y] * len(more)
+                        if len(a) >= PAIRS:
+                            yield batch_of(a, b)
+                            a, b = [], []
+        yield batch_of(a, b)
+
+
 def keyed(phrases: DataFrame, relations: tuple[str, ...] = ()) -> DataFrame:
     """Phrases with the text that they are one by, and its normalised form: the relation in categories keyed by relation,
     where there is one, else the quote."""
