@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 import unicodedata
 
 from pyspark.sql import functions as F
@@ -98,3 +99,12 @@ def test_judge_answers_are_read_loosely(spark):
     raw = spark.createDataFrame([("b", 2, 'Here:\n```json\n{"quotes": [{"index": 1, "quote": "good", "categories": ["use", "none"]}, {"index": 3, "quote": "x", "categories": ["use"]}, {"index": 2, "quote": " ", "categories": ["use"]}]}\n```')], "batch_key string, n_reviews int, response_text string")
     categories = spark.createDataFrame([("use",)], "category string")
     assert [(r["index"], r["quote"], r["category"]) for r in P.answered(raw, categories).collect()] == [(1, "good", "use")]
+
+
+def test_trigrams_take_one_pass_over_long_texts_and_keep_characters_of_two_units(spark):
+    texts = ["", "a", "ab cd", "é\U0001d518x \U00020000y", None, "word " * 40_000]
+    want = [[] if t is None else list(dict.fromkeys(f" {t} "[i : i + 3] for i in range(len(t)))) for t in texts]
+    began = time.time()
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", T.trigrams(F.col("t")).alias("g")).collect()
+    assert [r["g"] for r in sorted(rows)] == want
+    assert time.time() - began < 15  # a text of 200,000 characters, each place counted from the beginning, takes longer
