@@ -2,7 +2,11 @@
 
 from pyspark.sql import functions as F
 
+from voxledger.functions.text import normalize
+from voxledger.operators import decisions as D
 from voxledger.operators import ledger as L
+from voxledger.operators.lineage import looked_up
+from voxledger.plans import bindings as B
 
 SF = "/root/testdata/sf0.001"
 VOTES = "canonical_id string, product string, review_id string, quote string"
@@ -12,6 +16,34 @@ def plan(df):
     return df._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_rows_that_are_read_again_are_not_made_again(spark):
+    groups, canonicals, _ = B.ledger(spark, SF, again=True)
+    assert "parquet" not in plan(groups) + plan(canonicals)
+    for one, two in zip(B.ledger(spark, SF), (groups, canonicals)):
+        assert one.exceptAll(two).isEmpty() and two.exceptAll(one).isEmpty()
+
+
+def test_texts_without_words_are_told_as_by_normalising(spark, monkeypatch):
+    quotes = ["plain", "\u2122", "\ufe70", "?!", "\u00e9", "_", "7", "\u2463", "\u0345"]
+    rows = spark.createDataFrame([(q, "en", "p", str(i), i) for i, q in enumerate(quotes)], "quote string, category string, product string, review_id string, phrase_seq long")
+    monkeypatch.setattr(B, "phrases", lambda spark, sf_dir: rows)
+    got = {r["quote"]: r["text"] for r in B.worded(spark, SF).collect()}
+    assert got == {r["quote"]: r["text"] for r in rows.withColumn("text", normalize(F.col("quote"))).where("text <> ''").collect()} and "?!" not in got
+
+
+def test_rows_without_a_key_are_spread(spark):
+    rows = spark.range(1000).select(F.col("id").cast("string"), F.when(F.col("id") < 2, "k").alias("key"))
+    table = spark.createDataFrame([("k", 1)], "of string, v int").hint("merge")
+    out = looked_up(rows, "key", "id", table, "of")
+    assert out.count() == 1000 and out.where("v = 1").count() == 2
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        sizes = looked_up(rows, "key", "id", table, "of").withColumn("task", F.spark_partition_id()).groupBy("task").count().collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert max(r["count"] for r in sizes) < 600
+
+
 def test_votes_of_a_row_are_those_of_its_products(spark):
     votes = spark.createDataFrame([("c", "A", "1", "q"), ("c", "A", "1", "r"), ("c", "B", "1", "q"), ("c", None, "1", "q"), ("c", "A", "", "q"), ("d", "A", None, "q")], VOTES)
     want = {(r["canonical_id"], r["v"]) for r in L.counted(votes).groupBy("canonical_id").agg(F.sum("votes").alias("v")).collect()}
@@ -39,3 +71,14 @@ def test_totals_do_not_shuffle_rows_for_the_rollup(spark):
     assert sorted(map(repr, out.select(want.columns).collect())) == sorted(map(repr, want.collect()))
     expand = [x for x in plan(out).splitlines() if "Expand" in x]
     assert expand and not any("canonical_id" in x for x in expand)
+
+
+def test_second_places_look_names_and_texts_up_once(spark):
+    groups = spark.createDataFrame([("g1", "en", "Fit", 1), ("g2", "en", "Price", 2)], "group_id string, category string, name string, ord int")
+    rows = spark.createDataFrame([("c1", "g1", "fits", 1), ("c2", "g2", "cheap", 2)], "canonical_id string, group_id string, text string, ord int")
+    told = [("1", "g2", None, None, None), ("2", "gone", "PRICE", None, None), ("3", None, "Colour", None, None), ("4", None, None, "c2", None), ("5", None, None, "gone", "Cheap!"), ("6", None, None, None, "nowhere"), ("7", None, None, None, None), ("8", None, "Shade", None, "fits")]
+    pending = spark.createDataFrame([(i, None if i == "8" else "en", f"text {i}") for i, *_ in told], "id string, category string, text string")
+    placed = pending.select("id", F.concat(F.lit("new:"), "id").alias("row_key"), F.lit("g1").alias("group_key"))
+    decisions = spark.createDataFrame(told, "id string, second_group_id string, second_group_new_name string, second_canonical_id string, second_canonical_text string")
+    got = {(r["id"], r["row_key"], r["group_key"], r["how"]) for r in D.placed_again(placed, pending, decisions, rows, groups).collect()}
+    assert got == {("1", "new:g2|text 1", "g2", "second_group"), ("2", "new:g2|text 2", "g2", "second_group"), ("3", "new:new|en|colour|text 3", "new|en|colour", "second_group"), ("4", "c2", "g2", "second_row"), ("5", "c2", "g2", "second_row"), ("8", "new:new|shade|text 8", "new|shade", "second_group"), ("8", "c1", "g1", "second_row")}
