@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from voxledger.functions.text import normalize
 from voxledger.operators import decisions as D
 from voxledger.operators import ledger as L
+from voxledger.operators import phrases as P
 from voxledger.operators.lineage import looked_up
 from voxledger.plans import bindings as B
 
@@ -73,6 +74,15 @@ def test_totals_do_not_shuffle_rows_for_the_rollup(spark):
     assert expand and not any("canonical_id" in x for x in expand)
 
 
+def test_unique_phrases_shuffle_marks(spark):
+    schema = "quote string, category string, product string, review_id string, phrase_seq int"
+    said = [("Fits well.", "en", "A", "1", 1), ("fits WELL", "en", "A", "1", 2), ("fits well", "en", "B", "", 3), ("fits well", None, "A", "2", 4), (None, "en", "A", "3", 5), (None, None, None, None, 6)]
+    out = P.unique_phrases(spark.createDataFrame(said, schema))
+    got = {(r["category"], r["norm"], r["product"]): (r["n"], r["quotes"], r["reviews"], r["total"], r["text"], r["first_seq"]) for r in out.collect()}
+    assert got == {("en", "fits well", "A"): (2, 2, 1, 3, "Fits well.", 1), ("en", "fits well", "B"): (1, 1, 0, 3, "Fits well.", 1), (None, "fits well", "A"): (1, 1, 1, 1, "fits well", 4), ("en", None, "A"): (1, 0, 1, 1, None, 5), (None, None, None): (1, 0, 0, 1, None, 6)}
+    assert not any("Expand" in x and "key_text" in x or "Aggregate" in x and "norm#" in x.split("],")[0] for x in plan(out).splitlines())
+
+
 def test_second_places_look_names_and_texts_up_once(spark):
     groups = spark.createDataFrame([("g1", "en", "Fit", 1), ("g2", "en", "Price", 2)], "group_id string, category string, name string, ord int")
     rows = spark.createDataFrame([("c1", "g1", "fits", 1), ("c2", "g2", "cheap", 2)], "canonical_id string, group_id string, text string, ord int")

@@ -109,11 +109,17 @@ def unique_phrases(phrases: DataFrame, relations: tuple[str, ...] = ()) -> DataF
     for c in ("relation", "gist"):
         if c not in rows.columns:
             rows = rows.withColumn(c, F.lit(None).cast("string"))
-    said = F.struct(F.trim("key_text").alias("text"), "relation", "gist")
-    cells = rows.groupBy("category", "norm", "product").agg(F.count("*").alias("n"), F.countDistinct("quote").alias("quotes"), F.countDistinct(F.nullif("review_id", F.lit(""))).alias("reviews"), F.min_by(said, "phrase_seq").alias("q"), F.min("phrase_seq").alias("s"))
-    total = Window.partitionBy("category", "norm")  # a row each product
-    out = cells.withColumns({"total": F.sum("n").over(total), "first_seq": F.min("s").over(total), "_q": F.min_by("q", "s").over(total)})
-    return out.select("category", "norm", "product", "n", "quotes", "reviews", "total", F.col("_q.text").alias("text"), F.col("_q.relation").alias("relation"), F.col("_q.gist").alias("gist"), "first_seq")
+    # a phrase and a quote are known by 128 bits, so that wordings are shuffled once; what is normalised holds no NUL
+    mark = lambda c: F.unhex(F.md5(c.cast("binary")))
+    key = F.concat(F.coalesce(F.concat(F.lit("c"), "category"), F.lit("")), F.lit("\0"), F.coalesce(F.concat(F.lit("n"), "norm"), F.lit("")))
+    rows = rows.withColumn("_key", mark(key))
+    said = F.struct("category", F.trim("key_text").alias("text"), "relation", "gist")
+    first = rows.groupBy("_key").agg(F.min_by(said, "phrase_seq").alias("_q"), F.min("phrase_seq").alias("first_seq"))
+    marked = rows.select("_key", "product", "review_id", mark(F.col("quote")).alias("_quote"))
+    cells = marked.groupBy("_key", "product").agg(F.count("*").alias("n"), F.countDistinct("_quote").alias("quotes"), F.countDistinct(F.nullif("review_id", F.lit(""))).alias("reviews"))
+    cells = cells.withColumn("total", F.sum("n").over(Window.partitionBy("_key")))  # a row each product
+    out = cells.join(first, "_key")
+    return out.select("_q.category", normalize(F.col("_q.text")).alias("norm"), "product", "n", "quotes", "reviews", "total", "_q.text", "_q.relation", "_q.gist", "first_seq")
 
 
 def unique_pairs(phrases: DataFrame, relations: tuple[str, ...] = ()) -> DataFrame:
